@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash
+from . import decontaminate, langid, linededup, mixing, pii, secrets, simhash
 from .common import documents, held_in
 
 
@@ -15,10 +15,30 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), limit=3)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    live = F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), live)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"] < 4)
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base, pii.KINDS), 256).alias("base_sha256"), secrets.digest(F.col("spans"), pii.KINDS).alias("spans"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_in("doc_id", 4) == 2)
     found = langid.identify(docs.select("doc_id", "text", "held_out"), docs.where("not held_out").select("text", "lang"))
@@ -33,7 +53,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_linededup": op3_linededup,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
 }
