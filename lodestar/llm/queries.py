@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, linededup, mixing, pii, secrets, simhash
 from .common import documents, held_in
 
 
+def _of_kind(k: int) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
@@ -27,7 +31,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    counts = [_of_kind(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     live = F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live")
     return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), live)
 
@@ -35,7 +39,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"] < 4)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    counts = [_of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(secrets.digest(base, pii.KINDS), 256).alias("base_sha256"), secrets.digest(F.col("spans"), pii.KINDS).alias("spans"))
 
 

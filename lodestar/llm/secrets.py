@@ -38,10 +38,11 @@ def _candidates(text: Column) -> Column:
         (find_all(text, HEX, text.rlike(HEX)), lambda m: m),
         (find_all(text, WIDER, text.rlike(WIDER)), lambda m: F.regexp_replace(m, r"^(?i:bearer)\x20+", "")),
     ]
-    parts = [
-        F.transform(spans, lambda x, k=k, secret=secret: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.sha2(secret(x["match"]), 256).alias("secret")))
-        for k, (spans, secret) in enumerate(found)
-    ]
+
+    def shaped(k: int, spans: Column, secret) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.sha2(secret(x["match"]), 256).alias("secret")))
+
+    parts = [shaped(k, spans, secret) for k, (spans, secret) in enumerate(found)]
     return F.array_sort(F.concat(*parts))
 
 
