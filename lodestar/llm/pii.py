@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .spans import find_all
+from .spans import find_all, let
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Possessive forms of the base patterns: the same matches without stack or backtracking, however long the text.
@@ -182,15 +182,18 @@ def scan(docs: DataFrame, precision: float = 0.98, doc_id: str = "doc_id", text:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.pmod(F.xxhash64(F.col(text)), F.lit(3)).alias("fold"))
-    own = own.select("doc_id", "text", "fold", base_spans(F.col("text")).alias("base"), generated(F.col("text")).alias("more"))
 
     def described(x: Column) -> Column:
         names = [f"f{i}" for i in range(len(BINS))]
         return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *[c.cast("int").alias(n) for n, c in zip(names, _features(F.col("text"), x), strict=True)])
 
-    own = own.withColumn("seen", F.transform("more", lambda x: F.struct(described(x).alias("x"), F.exists("base", lambda b: (b["start"] <= x["start"] + 1) & (x["end"] <= b["end"] + 1)).alias("valid"))))
-    slim = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    own = stage(own.select("doc_id", "fold", slim.alias("base"), "seen"), "pii")
+    def judged(base: Column) -> Column:
+        slim = F.transform(base, lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+        seen = F.transform(generated(F.col("text")), lambda x: F.struct(described(x).alias("x"), F.exists(base, lambda b: (b["start"] <= x["start"] + 1) & (x["end"] <= b["end"] + 1)).alias("valid")))
+        return F.struct(slim.alias("base"), seen.alias("seen"))
+
+    # the base spans are bound once: a column named in a lambda would be computed anew for every candidate
+    own = stage(own.select("doc_id", "fold", let(base_spans(F.col("text")), judged).alias("b")).select("doc_id", "fold", "b.base", "b.seen"), "pii")
     cells = own.select("fold", F.explode("seen").alias("s")).groupBy((F.col("fold") == 0).alias("held"), *[F.col(f"s.x.f{i}").alias(f"f{i}") for i in range(len(BINS))]).agg(F.count_if("s.valid").alias("pos"), F.count("*").alias("n"))
     rows = cells.collect()  # at most 2 * CELLS rows
     table = [[(tuple(r[f"f{i}"] for i in range(len(BINS))), r.pos, r.n) for r in rows if r.held == held] for held in (False, True)]

@@ -71,7 +71,7 @@ def test_pii(spark, tmp_path):
     got = op8_pii(spark, write(spark, tmp_path, rows)).collect()
     want = {}
     for i, t, _ in rows:
-        spans = base_pii(t or "") if i != 903 else []
+        spans = base_pii(t or "") if i < 902 else [(0, 0, len(t))] if i == 904 else []
         text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
         want[i] = (*[sum(k == x for k, _, _ in spans) for x in range(4)], hashlib.sha256(text.encode()).hexdigest())
     assert len(got) == len(rows)
