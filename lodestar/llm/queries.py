@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, pii, secrets, simhash
+from . import decontaminate, langid, linededup, mixing, ngram, pii, secrets, simhash
 from .common import documents, held_in
 
 
@@ -24,6 +24,12 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_in("doc_id", 7) == 2)
+    found = ngram.score(docs, docs.where("not held_out").select("text"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), limit=3)
 
@@ -58,6 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_linededup": op3_linededup,
+    "op4_lm": op4_lm,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_pii": op8_pii,
