@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, ngram, pii, secrets, simhash
-from .common import documents, held_in
+from . import decontaminate, embeddings, langid, linededup, mixing, ngram, pii, quality, secrets, simhash
+from .common import checked_broadcast, documents, held_in
 
 
 def _of_kind(k: int) -> Column:
@@ -19,6 +19,15 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("rated"), quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    # the sample is drawn before the texts are fetched
+    chosen = checked_broadcast(labels.where("grade is not null").orderBy(F.xxhash64("rated")).limit(quality.SAMPLE))
+    rated = docs.join(chosen, F.col("doc_id") == F.col("rated")).select("doc_id", "text", "grade")
+    return quality.classify(docs, rated).select("doc_id", "expected_grade", "tail", "kept")
+
+
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -30,6 +39,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), limit=3)
 
@@ -63,8 +76,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_quality": op2_quality,
     "op3_linededup": op3_linededup,
     "op4_lm": op4_lm,
+    "op5_embeddings": op5_embeddings,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_pii": op8_pii,
