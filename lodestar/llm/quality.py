@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 from .textnp import Words, batches_of, mix64
@@ -89,7 +90,7 @@ class Ordinal:
         return np.bincount(of, self.weights[at], len(size)) / np.sqrt(np.maximum(size, 1))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         out = []
