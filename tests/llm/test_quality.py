@@ -18,7 +18,8 @@ def test_learns_ordered_grades(spark):
     held = [r for r in got if r.doc_id < 600]
     mean = [np.mean([r.expected_grade for r in held if r.grade == g]) for g in range(3)]
     assert mean[0] < mean[1] < mean[2]
-    assert np.mean([r.kept == (r.grade == 2) for r in held]) > 0.9
+    best = sorted(held, key=lambda r: -r.tail)[: len(held) // 3]
+    assert np.mean([r.grade == 2 for r in best]) > 0.9
     assert len(got) == 202 and all(0 <= r.tail <= 1 for r in got)
 
 
