@@ -39,16 +39,6 @@ def _mask(places: DataFrame) -> DataFrame:
     return at.select("u", F.split(F.array_join(bits, ""), "").alias("mask"))
 
 
-def _segments(n: Column, k: int) -> list[tuple[Column, Column]]:
-    """1-based start and length of each of k segments of a line of n characters, the last ones longer by one."""
-    base, extra = F.floor(n / k).cast("int"), (n % k).cast("int")
-    out = []
-    for i in range(k):
-        longer_before = F.greatest(F.lit(i) - (F.lit(k) - extra), F.lit(0))
-        out.append((base * i + longer_before + 1, base + (F.lit(i) >= F.lit(k) - extra).cast("int")))
-    return out
-
-
 def probe_offsets(edits: int, delta: int) -> list[tuple[int, int]]:
     """(segment, shift) of the substrings by which a line probes lines shorter by ``delta``."""
     out = []
@@ -60,20 +50,25 @@ def probe_offsets(edits: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _keys(line: Column, n: Column, edits: int) -> Column:
-    """Array of (key, role): role 1 in the index, 2 as probe."""
-    out = []
-    for delta in range(edits + 1):
-        m = n - delta
-        seg = _segments(m, edits + 1)
-        if delta == 0:
-            out += [(i, m, *seg[i], 1, 0) for i in range(edits + 1)]
-        out += [(i, m, *seg[i], 2, s) for i, s in probe_offsets(edits, delta)]
-    parts = []
-    for i, m, start, length, role, shift in out:
-        key = F.xxhash64(F.lit(i), m, F.substring(line, start + shift, length))
-        parts.append(F.struct(F.when((start + shift >= 1) & (start + shift + length - 1 <= n), key).alias("key"), F.lit(role).cast("byte").alias("role")))
-    return F.array(*parts)
+def _keys(distinct: DataFrame, edits: int) -> DataFrame:
+    """``id, key, role`` of ``id, line, n``: role 1 in the index, 2 as probe.
+
+    Of k = edits + 1 segments of a line of m characters the last m % k are longer by one. The exploded list is a constant, so that
+    one short expression makes all keys.
+    """
+    k = edits + 1
+    wanted = [(0, i, 0, 1) for i in range(k)] + [(delta, i, s, 2) for delta in range(k) for i, s in probe_offsets(edits, delta)]
+    names = ("delta", "segment", "shift", "role")
+    list_ = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, w, strict=True)]) for w in wanted])
+    rows = distinct.select("id", "line", "n", F.explode(list_).alias("w")).select("id", "line", "n", "w.*")
+    m = F.col("n") - F.col("delta")
+    short = F.lit(k) - m % k  # segments without the further character
+    base = F.floor(m / k).cast("int")
+    start = F.col("segment") * base + F.greatest(F.col("segment") - short, F.lit(0)) + 1 + F.col("shift")
+    length = base + (F.col("segment") >= short).cast("int")
+    rows = rows.select("id", "line", "n", "segment", m.alias("m"), F.col("role").cast("byte").alias("role"), start.alias("start"), length.alias("length"))
+    key = F.xxhash64("segment", "m", F.substring("line", F.col("start"), F.col("length")))
+    return rows.where("start >= 1 and start + length - 1 <= n").select("id", key.alias("key"), "role")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -147,7 +142,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     at = held.join(mask, F.col("unit") == F.col("u"))
     distinct = at.select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= least) & (F.get(F.col("mask"), i) == "1"))).alias("line"))
     distinct = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"))
-    keys = distinct.select("id", F.explode(_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("id", "k.key", "k.role").where("key is not null")
+    keys = _keys(distinct, edits)
     w = Window.partitionBy("key")
     met = keys.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "r1": F.min("role").over(w), "r2": F.max("role").over(w)})
     met = stage(met.where("lo <> hi and r1 <> r2").select("key", "id", "role").distinct(), "met")
