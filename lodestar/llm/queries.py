@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, langid, linededup, mixing, ngram, pii, quality, secrets, simhash
 from .common import checked_broadcast, documents, held_in
+from .oracle import ORACLE  # noqa: F401  part of this module's interface
 
 
 def _of_kind(k: int) -> Column:
