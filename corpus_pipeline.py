@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 #: Language ID, fingerprints and mixing cannot be put in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
-#: A text whose best cosine is below this resembles no language that was learnt.
-LEAST_SCORE = 0.1
+#: A text whose best cosine is below this resembles no language that was learnt; texts of fewer characters cannot be told.
+LEAST_SCORE, LEAST_CHARS = 0.1, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages; ``lang`` stays as it was."""
     taught = docs.where(held_in("doc_id", 4) != 2).select("text", "lang")
     found = langid.predictor(*langid.learn(taught))
-    return docs.withColumn("__lang", found("text")).where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= LEAST_SCORE)).drop("__lang")
+    told = (F.col("__lang.score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)
+    return docs.withColumn("__lang", found("text")).where((F.col("__lang.lang_pred") != "und") & told).drop("__lang")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
