@@ -12,8 +12,11 @@ from ..operators import community as C
 from ..operators import documents as D
 from ..operators import entity as E
 from ..operators import graph as G
+from ..operators import rag
 from ..operators import retrieval as R
+from ..operators import symbols
 from ..operators import traverse as V
+from ..sources import corpus
 from ..sources.tables import edges, key, nodes, table
 from ..streaming.debounce import batch_sessions
 
@@ -569,3 +572,91 @@ def workspace_stats(spark, sf):
 @register("WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 3600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k")
 def debounce_sessions(spark, sf):
     return batch_sessions(table(spark, sf, "events"), 3600)
+
+
+# --- lifecycle, federation, web
+
+
+_PHASE = "CASE WHEN doc_id % 10 = 1 THEN 'deleted' WHEN doc_id % 10 = 2 THEN 'new' WHEN doc_id % 10 = 3 THEN 'changed' ELSE 'unchanged' END"
+
+
+@register(f"SELECT CAST(doc_id AS VARCHAR) AS path, {_PHASE} AS change FROM documents")
+def incremental_scan(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("hash"), (F.col("doc_id") % 10).alias("k"))
+    new = d.where("k <> 1").withColumn("hash", F.when(F.col("k") == 3, F.md5("hash")).otherwise(F.col("hash")))
+    return corpus.changes(d.where("k <> 2"), new)
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 10 = 1 THEN 'remove' WHEN doc_id % 10 = 2 THEN 'add' WHEN doc_id % 10 = 3 THEN 'replace' ELSE 'keep' END AS action FROM documents")
+def reconcile_sources(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.md5("text").alias("content_hash"), (F.col("doc_id") % 10).alias("k"))
+    incoming = d.where("k <> 1").withColumn("content_hash", F.when(F.col("k") == 3, F.md5("content_hash")).otherwise(F.col("content_hash")))
+    return rag.reconcile(d.where("k <> 2"), incoming)
+
+
+@register("SELECT source AS source_id, count(*) AS n, count(*) FILTER (lang = 'en') AS expected, count(*) = count(*) FILTER (lang = 'en') AS ok FROM documents GROUP BY source")
+def stage_counts(spark, sf):
+    d = table(spark, sf, "documents").withColumnRenamed("source", "source_id")
+    return rag.verified(d, d.groupBy("source_id").agg(F.count_if(F.col("lang") == "en").alias("expected")))
+
+
+@register("SELECT conv_id AS answer_id, count(*) AS unresolved FROM conversations WHERE turn NOT IN (SELECT item_id FROM benchmark) GROUP BY conv_id")
+def citation_check(spark, sf):
+    cited = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("cited"))
+    return rag.unresolved_citations(cited, table(spark, sf, "benchmark").select(F.col("item_id").alias("id")))
+
+
+@register(_sql("SELECT 'a::'||id AS id, 'a' AS repo, label FROM nodes WHERE file_type = 'code' UNION ALL SELECT 'b::'||id, 'b', label FROM nodes WHERE file_type = 'document'"))
+def merge_graphs(spark, sf):
+    n = nodes(spark, sf)
+    both = rag.retag(n.where("file_type = 'code'"), "a").unionByName(rag.retag(n.where("file_type = 'document'"), "b"))
+    return both.select("id", "repo", "label")
+
+
+@register(_sql("SELECT s.community AS a, d.community AS b, relation, count(*) AS n FROM edges LEFT JOIN nodes s ON s.id = src LEFT JOIN nodes d ON d.id = dst GROUP BY ALL"))
+def section_edges(spark, sf):
+    return rag.sections(nodes(spark, sf), edges(spark, sf))
+
+
+@register(_sql("SELECT id, CASE WHEN i = 0 THEN 'entry' WHEN o = 0 THEN 'leaf' ELSE 'normal' END AS role FROM (SELECT id, max(o) AS o, max(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges WHERE relation IN ('contains', 'supplied_by') UNION ALL SELECT dst, 0, 1 FROM edges WHERE relation IN ('contains', 'supplied_by')) GROUP BY id)"))
+def call_roles(spark, sf):
+    return symbols.call_roles(edges(spark, sf).where("relation in ('contains', 'supplied_by')").withColumn("relation", F.lit("calls")))
+
+
+@register("WITH l AS (SELECT 'x:'||l_partkey AS label, 'o:'||l_orderkey||'/'||l_partkey AS id FROM lineitem), k AS (SELECT label, min(id) AS keep, count(DISTINCT id) AS n FROM l GROUP BY label) SELECT keep AS id, label, n AS merged FROM k")
+def external_collapse(spark, sf):
+    li = table(spark, sf, "lineitem")
+    ext = li.select(F.concat(key("o", "l_orderkey"), F.lit("/"), F.col("l_partkey").cast("string")).alias("id"), key("x", "l_partkey").alias("label"), F.lit("").alias("source_file")).distinct()
+    loops = ext.select(F.col("id").alias("src"), F.col("label").alias("dst"))
+    left, moved = rag.collapse_externals(ext, loops)
+    per = moved.groupBy(F.col("src").alias("k"), F.col("dst").alias("kl")).agg(F.count("*").alias("merged"))
+    return left.join(per, (F.col("id") == F.col("k")) & (F.col("label") == F.col("kl"))).select("id", "label", "merged")
+
+
+@register("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://(www\\.)?(twitter|x)\\.com/') THEN 'tweet' WHEN regexp_matches(url, '(?i)^https?://(www\\.)?arxiv\\.org/') THEN 'arxiv' WHEN regexp_matches(url, '(?i)^https?://(www\\.)?(youtube\\.com|youtu\\.be)/') THEN 'youtube' WHEN regexp_matches(url, '(?i)\\.pdf($|\\?)') THEN 'pdf' WHEN regexp_matches(url, '(?i)\\.(png|jpe?g|gif|webp|svg)($|\\?)') THEN 'image' ELSE 'web' END AS kind FROM pages")
+def url_kinds(spark, sf):
+    return table(spark, sf, "pages").select("page_id", corpus.url_kind(F.col("url")).alias("kind"))
+
+
+@register("SELECT source AS scope, lang, count(*) AS files, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY source, lang")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("scope"), "lang").agg(F.count("*").alias("files"), F.sum(F.floor(F.length("text") / 4)).alias("tokens"))
+
+
+@register("WITH b AS (SELECT c_nationkey AS old, c_custkey % 25 AS new, count(*) AS overlap FROM customer GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY overlap DESC, old, new) AS x, row_number() OVER (PARTITION BY new ORDER BY overlap DESC, old, new) AS y FROM b) SELECT CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, overlap FROM r WHERE x = 1 AND y = 1")
+def stable_ids(spark, sf):
+    c = table(spark, sf, "customer")
+    a = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("community"))
+    return rag.match_communities(a, c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 25).alias("community")))
+
+
+@register(_sql("SELECT src, dst, relation, count(*) AS n FROM edges WHERE confidence = 'AMBIGUOUS' GROUP BY src, dst, relation HAVING count(*) > 1"))
+def suggested_questions(spark, sf):
+    """Ambiguous links that several rows assert: the first generator of questions."""
+    return edges(spark, sf).where("confidence = 'AMBIGUOUS'").groupBy("src", "dst", "relation").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@register()
+def embed_documents(spark, sf):
+    v = table(spark, sf, "benchmark").select("item_id", symbols.embed("text").alias("v"))
+    return v.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))

@@ -102,3 +102,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.user_id, r.first_ts, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {(r.user_id, r.first_ts, r.n) for r in debounce.batch_sessions(df, 3).where("user_id < 3").collect()}
     assert want and want <= got
+
+
+def test_query_guard():
+    from lodestar.operators.rag import guard
+
+    good = "MATCH (n {workspace_id: $workspace_id}) RETURN n.text LIMIT $limit"
+    assert guard(good) is None
+    assert guard(good.replace("RETURN", "SET n.x = 1 RETURN")).startswith("not read-only")
+    assert guard(good + "; MATCH (m) RETURN m") == "several statements"
+    assert guard("MATCH (n) RETURN n LIMIT $limit") == "no workspace"
+    assert guard(good.replace(" LIMIT $limit", "")) == "no limit"
+    assert guard(good.replace("n.text", "'please delete; this'")) is None
+
+
+def test_externals_make_no_new_loops(spark):
+    from lodestar.operators.rag import collapse_externals
+
+    n = spark.createDataFrame([("a", "L", ""), ("b", "L", None), ("c", "M", "f.py")], "id string, label string, source_file string")
+    e = edges(spark, [("a", "b", "x"), ("b", "c", "x"), ("c", "c", "x")])
+    left, moved = collapse_externals(n, e)
+    assert {r.id for r in left.collect()} == {"a", "c"} and {(r.src, r.dst) for r in moved.collect()} == {("a", "c"), ("c", "c")}
