@@ -44,7 +44,7 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ordinal:
-    """Weights and thresholds; ``fit`` descends the full gradient of the mean log-likelihood with Adam."""
+    """Weights and thresholds; ``fit`` climbs the full gradient of the mean log-likelihood, with Nesterov's momentum."""
 
     def __init__(self, grades: int):
         self.weights, self.thresholds = np.zeros(1 << BITS), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
@@ -53,34 +53,37 @@ class Ordinal:
         """P(grade > k) for each k."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -60, 60)))
 
-    def fit(self, at: np.ndarray, rows: np.ndarray, grade: np.ndarray, steps: int = 120, rate: float = 0.3, ridge: float = 5e-6) -> "Ordinal":
+    def fit(self, at: np.ndarray, rows: np.ndarray, grade: np.ndarray, steps: int = 120, rate: float = 4.0, ridge: float = 1e-5, least: int = 4) -> "Ordinal":
+        """Features of fewer than ``least`` texts get no weight; the others step by the root of how rare they are.
+
+        Grades weigh alike however often they occur. Thresholds are sorted after each step, which keeps them ordered.
+        """
         n, k = len(grade), len(self.thresholds)
         size = np.diff(rows)
         scale = 1 / np.sqrt(np.maximum(size, 1))
-        of = np.repeat(np.arange(n), size)
-        balance = n / np.maximum(np.bincount(grade, minlength=k + 1), 1)[grade]
+        count = np.bincount(at, minlength=1 << BITS)
+        often = count[at] >= least
+        of, (used, at) = np.repeat(np.arange(n), size)[often], np.unique(at[often], return_inverse=True)
+        pace = rate * np.sqrt(n / count[used])
+        balance = 1 / np.maximum(np.bincount(grade, minlength=k + 1), 1)[grade]
         balance /= balance.sum()
-        # thresholds stay ordered: the first is free, each step up is the exponential of a parameter
-        theta = np.concatenate([self.thresholds[:1], np.log(np.diff(self.thresholds))])
-        m1, v1, m2, v2 = 0, 0, 0, 0
-        for step in range(1, steps + 1):
-            self.thresholds = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
-            score = np.bincount(of, self.weights[at], n) * scale
-            p = np.hstack([np.ones((n, 1)), self.tails(score), np.zeros((n, 1))])
+        w = ahead = np.zeros(len(used))
+        t = t_ahead = self.thresholds
+        momentum = 1.0
+        for _ in range(steps):
+            self.thresholds = t_ahead
+            p = np.hstack([np.ones((n, 1)), self.tails(np.bincount(of, ahead[at], n) * scale), np.zeros((n, 1))])
             upper, lower = p[np.arange(n), grade], p[np.arange(n), grade + 1]
             like = np.maximum(upper - lower, 1e-12)
             gu, gl = upper * (1 - upper) / like * balance, lower * (1 - lower) / like * balance
-            slope = gu - gl
-            g = np.bincount(at, (slope * scale)[of], 1 << BITS) - ridge * self.weights
+            g = np.bincount(at, ((gu - gl) * scale)[of], len(used)) - ridge * ahead
             gt = np.zeros(k)
             np.add.at(gt, grade[grade > 0] - 1, -gu[grade > 0])
             np.add.at(gt, grade[grade < k], gl[grade < k])
-            gtheta = np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(theta[j]) for j in range(1, k)]])
-            m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
-            m2, v2 = 0.9 * m2 + 0.1 * gtheta, 0.99 * v2 + 0.01 * gtheta * gtheta
-            fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
-            self.weights += rate * m1 / fix1 / (np.sqrt(v1 / fix2) + 1e-9)
-            theta = theta + 0.05 * m2 / fix1 / (np.sqrt(v2 / fix2) + 1e-9)
+            new, t_new, after = ahead + pace * g, np.sort(t_ahead + rate * gt), (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+            ahead, t_ahead = new + (momentum - 1) / after * (new - w), np.sort(t_new + (momentum - 1) / after * (t_new - t))
+            w, t, momentum = new, t_new, after
+        self.weights[used], self.thresholds = w, t
         return self
 
     def score(self, texts) -> np.ndarray:
@@ -132,8 +135,8 @@ def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when((toxic == 0) & (quality == 0), 1).when((toxic == 0) & (quality == 1), 2)
 
 
-def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, text: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade`` (0 to grades - 1), ``tail`` (probability of the best grade) and ``kept`` (tail >= 0.5).
+def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, least_tail: float = 0.4, text: str = "text") -> DataFrame:
+    """``docs`` with ``expected_grade`` (0 to grades - 1), ``tail`` (probability of the best grade) and ``kept`` (tail >= least_tail).
 
     A null or empty text has no features: its score is 0 and the thresholds alone decide.
     """
@@ -141,4 +144,4 @@ def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, text: str = "te
     small_batches(docs.sparkSession)
     out = docs.withColumn("__q", model(F.col(text)))
     tail = F.element_at("__q.tails", grades - 1)
-    return out.withColumns({"expected_grade": F.col("__q.expected_grade"), "tail": tail, "kept": tail >= 0.5}).drop("__q")
+    return out.withColumns({"expected_grade": F.col("__q.expected_grade"), "tail": tail, "kept": tail >= least_tail}).drop("__q")

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from lodestar.llm import decontaminate, langid
 from test_linededup import brute as brute_lines
-from test_operators import groups, plain_fingerprint
+from test_brute import groups, plain_fingerprint
 
 
 def corpus():
