@@ -43,6 +43,12 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
     return (both & mask).astype(np.int64), np.searchsorted(both >> np.uint64(BITS), np.arange(n + 1, dtype=np.uint64))
 
 
+def _apart(thresholds: np.ndarray, least: float = 0.1) -> np.ndarray:
+    """Thresholds in order with at least ``least`` between them: where two meet, the likelihood of the grade between vanishes."""
+    shift = least * np.arange(len(thresholds))
+    return np.maximum.accumulate(thresholds - shift) + shift
+
+
 class Ordinal:
     """Weights and thresholds; ``fit`` climbs the full gradient of the mean log-likelihood, with Nesterov's momentum."""
 
@@ -56,7 +62,7 @@ class Ordinal:
     def fit(self, at: np.ndarray, rows: np.ndarray, grade: np.ndarray, steps: int = 120, rate: float = 4.0, ridge: float = 1e-5, least: int = 4) -> "Ordinal":
         """Features of fewer than ``least`` texts get no weight; the others step by the root of how rare they are.
 
-        Grades weigh alike however often they occur. Thresholds are sorted after each step, which keeps them ordered.
+        Grades weigh alike however often they occur. After each step thresholds are put in order, a little apart.
         """
         n, k = len(grade), len(self.thresholds)
         size = np.diff(rows)
@@ -80,8 +86,8 @@ class Ordinal:
             gt = np.zeros(k)
             np.add.at(gt, grade[grade > 0] - 1, -gu[grade > 0])
             np.add.at(gt, grade[grade < k], gl[grade < k])
-            new, t_new, after = ahead + pace * g, np.sort(t_ahead + rate * gt), (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-            ahead, t_ahead = new + (momentum - 1) / after * (new - w), np.sort(t_new + (momentum - 1) / after * (t_new - t))
+            new, t_new, after = ahead + pace * g, _apart(t_ahead + gt), (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+            ahead, t_ahead = new + (momentum - 1) / after * (new - w), _apart(t_new + (momentum - 1) / after * (t_new - t))
             w, t, momentum = new, t_new, after
         self.weights[used], self.thresholds = w, t
         return self

@@ -31,7 +31,7 @@ def test_features_against_plain():
 
 def test_gradient_lowers_loss():
     at = np.array([1, 2, 1, 3, 2])
-    model = quality.Ordinal(3).fit(at, np.array([0, 1, 2, 3, 4, 5]), np.array([0, 1, 0, 2, 1]), steps=300)
+    model = quality.Ordinal(3).fit(at, np.array([0, 1, 2, 3, 4, 5]), np.array([0, 1, 0, 2, 1]), steps=300, least=1)
     p = model.tails(model.weights[at])
     assert p[0, 0] < 0.3 and p[3, 1] > 0.6 and model.thresholds[0] < model.thresholds[1]
 
