@@ -660,3 +660,13 @@ def suggested_questions(spark, sf):
 def embed_documents(spark, sf):
     v = table(spark, sf, "benchmark").select("item_id", symbols.embed("text").alias("v"))
     return v.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+@register(_sql("SELECT community, intra, degree, round(2.0::DOUBLE * intra / m2 - power(degree / m2, 2), 9) AS q FROM (SELECT c AS community, CAST(sum(i) AS BIGINT) AS intra, count(*) AS degree, sum(count(*)) OVER () AS m2 FROM (SELECT sc AS c, CASE WHEN sc = dc THEN 1 ELSE 0 END AS i FROM x WHERE sc IS NOT NULL AND dc IS NOT NULL UNION ALL SELECT dc, 0 FROM x WHERE sc IS NOT NULL AND dc IS NOT NULL) GROUP BY c)", _X))
+def modularity(spark, sf):
+    return C.modularity(nodes(spark, sf), edges(spark, sf))
+
+
+@register()
+def label_propagation(spark, sf):
+    return C.propagate(edges(spark, sf).where("relation in ('in_region', 'located_in', 'placed_by')"))

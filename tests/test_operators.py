@@ -123,3 +123,12 @@ def test_externals_make_no_new_loops(spark):
     e = edges(spark, [("a", "b", "x"), ("b", "c", "x"), ("c", "c", "x")])
     left, moved = collapse_externals(n, e)
     assert {r.id for r in left.collect()} == {"a", "c"} and {(r.src, r.dst) for r in moved.collect()} == {("a", "c"), ("c", "c")}
+
+
+def test_label_propagation_and_modularity(spark):
+    clique = [(a, b, "x") for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]]
+    got = {r.id: r.community for r in C.propagate(edges(spark, [*clique, ("d", "w", "x")])).collect()}
+    assert len({got[i] for i in "abcd"}) == 1 and len({got[i] for i in "wxyz"}) == 1 and got["a"] != got["z"]
+    n = spark.createDataFrame([(i, 1 if i in "abcd" else 2) for i in "abcdwxyz"], "id string, community long")
+    q = sum(r.q for r in C.modularity(n, edges(spark, [*clique, ("d", "w", "x")])).collect())
+    assert abs(q - (12 / 13 - 0.5)) < 1e-6
