@@ -6,8 +6,8 @@ are dealt by the second word instead and their totals are added up afterwards. E
 shared folder; scoring workers map those files and search them with whole batches of sorted keys.
 
 A word is 64 bits of hash in the unigram arrays. A bigram key is 64 bits: 28 of the first word, besides those that choose the
-shard, and 36 of the second. Of a million words about 7 share the second part with another, of 3 million words in 32 shards about
-500 share the first.
+shard, and 36 of the second. Among a million words about 7 pairs share the second part, among 3 million words in 32 shards about 500 pairs
+share the first.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, release, small_batches
+from .common import WORD, new_folder, release, small_batches
 from .textnp import Words, batches_of, mix64, sum_by_doc
 
 END, BEGIN = (mix64(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 FLUSH = 1 << 22
+SHARD_TOKENS = 1 << 22
 _U = np.uint64
 
 
@@ -157,13 +158,12 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 PAYLOAD = "shard int, keys binary, counts binary"
 
 
-def _words(folder: str, most_hot: int):
+def _words(folder: str, hot: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, n = _merged(pdf)
         put(folder, f"word-{key[0]}.npy", k)
         put(folder, f"count-{key[0]}.npy", n)
-        top = np.argsort(-n, kind="stable")[:most_hot]
-        return pd.DataFrame({"shard": [key[0]], "types": [len(k)], "tokens": [int(n.sum())], "top": [k[top].view(np.int64).tolist()], "top_n": [n[top].tolist()]})
+        return pd.DataFrame({"shard": [key[0]], "types": [len(k)], "tokens": [int(n.sum())], "hot": [k[n > hot].view(np.int64).tolist()]})
 
     return run
 
@@ -299,19 +299,26 @@ class Model:
         return pd.DataFrame({"n_tokens": np.diff(begin), "n_known": sum_by_doc((c > 0)[back], begin).astype(np.int64), "base_score": sum_by_doc(base[back], begin), "score": sum_by_doc(np.log10(p), begin)})
 
 
-def train(texts: DataFrame, bits: int = 5) -> Model:
-    """Model of the column ``text`` (null: empty). Every row is counted in full; ``bits``: log2 of the number of shards."""
+def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """Model of the column ``text`` (null: empty). Every row is counted in full.
+
+    The number of shards (a power of two, at least 32) follows the corpus, so that a shard has ``shard_tokens`` tokens at most on
+    average, whatever the size; a word is dealt by its followers if it would fill an eighth of a shard.
+    """
     spark = texts.sparkSession
     small_batches(spark)
     folder = new_folder(spark, "ngram")
+    texts = texts.select("text")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1
+    tokens = texts.agg(F.sum(size.cast("long"))).first()[0] or 0
+    bits = max(5, ((tokens - 1) // shard_tokens).bit_length()) if tokens else 5
     shards = 1 << bits
     layout = Layout(bits, np.array([BEGIN], _U))
-    texts = texts.select("text")
-    rows = texts.mapInPandas(_counter(layout, False), PAYLOAD).groupBy("shard").applyInPandas(_words(folder, 8 * shards), "shard int, types long, tokens long, top array<long>, top_n array<long>").collect()
-    tokens, types = sum(r.tokens for r in rows), sum(r.types for r in rows)
-    hot = [w for r in rows for w, n in zip(r.top, r.top_n, strict=True) if n * 8 * shards > tokens]  # fewer than 8 * shards
+    rows = texts.mapInPandas(_counter(layout, False), PAYLOAD).groupBy("shard").applyInPandas(_words(folder, tokens / (8 * shards)), "shard int, types long, tokens long, hot array<long>").collect()
+    types = sum(r.types for r in rows)
+    hot = [w for r in rows for w in r.hot]  # fewer than 8 * shards
     layout = Layout(bits, np.unique(np.append(np.array(hot, np.int64).view(_U), BEGIN)))
-    model = Model(folder, layout, tokens, types)
+    model = Model(folder, layout, sum(r.tokens for r in rows), types)
     model.word_shards = {r.shard for r in rows}
     release(spark)
     told = texts.mapInPandas(_counter(layout, True), PAYLOAD).groupBy("shard").applyInPandas(_pairs(folder, layout), PAYLOAD)

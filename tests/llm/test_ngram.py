@@ -60,6 +60,16 @@ def test_matches_brute_force(spark):
         assert math.isclose(r.base_score, b, abs_tol=1e-9) and math.isclose(r.score, s, rel_tol=1e-9, abs_tol=1e-9), i
 
 
+def test_more_shards_change_nothing(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(30)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = ngram.train(df), ngram.train(df, shard_tokens=10)
+    assert (few.layout.bits, many.layout.bits) == (5, 8)
+    a, b = few.score(texts), many.score(texts)
+    assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a["score"], b["score"], strict=True))
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = ngram.score(df, df.where("doc_id < 0").select("text")).first()
