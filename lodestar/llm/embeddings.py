@@ -39,6 +39,11 @@ def _blocks(dim: int) -> list[slice]:
     return [slice(a, min(a + WIDTH, dim)) for a in range(0, dim, WIDTH)]
 
 
+def _budget(part: slice, dim: int, least: float) -> float:
+    """A block's share of the squared distance, with room for rounding."""
+    return (2 - 2 * least) * (part.stop - part.start) / dim * (1 + 1e-9) + 1e-9
+
+
 def _place(least: float):
     """Slabs of each vector: its own and those its radius reaches, for each block."""
 
@@ -49,7 +54,7 @@ def _place(least: float):
             for dim, own in pdf.groupby(pdf["vector"].map(len)):
                 turned = units(own["vector"].tolist()) @ rotation(dim)
                 for b, part in enumerate(_blocks(dim)):
-                    radius = np.sqrt((2 - 2 * least) * (part.stop - part.start) / dim) * (1 + 1e-9) + 1e-9
+                    radius = np.sqrt(_budget(part, dim, least)) + 1e-9
                     x, step = turned[:, part.start], max(4 * radius, 1e-3)
                     home = np.floor(x / step).astype(np.int64)
                     for shift in (-1, 0, 1):
@@ -63,21 +68,25 @@ def _place(least: float):
 def _compare(least: float):
     def close(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         dim, block = int(x["dim"].iloc[0]), int(x["block"].iloc[0])
+        blocks = _blocks(dim)
+        part, budget = blocks[block], [_budget(p, dim, least) for p in blocks]
         unit = units(x["vector"].tolist())
         turned = unit @ rotation(dim)
-        node, n, home = x["node"].to_numpy(), x["n"].to_numpy(), np.flatnonzero(x["home"])
-        budget = [(2 - 2 * least) * (p.stop - p.start) / dim * (1 + 1e-9) + 1e-9 for p in _blocks(dim)]
-        part = _blocks(dim)[block]
+        order = np.argsort(turned[:, part.start], kind="stable")
+        unit, turned = unit[order], turned[order]
+        node, n, home = x["node"].to_numpy()[order], x["n"].to_numpy()[order], np.flatnonzero(x["home"].to_numpy()[order])
         links = np.zeros(len(x), np.int64)
         root = np.arange(len(x))
-        own = turned[:, part]
-        square = (own * own).sum(axis=1)
-        for a in range(0, len(home), 512):
-            rows = home[a : a + 512]
-            for c in range(0, len(x), 4096):
-                there = slice(c, c + 4096)
-                far = square[rows, None] + square[None, there] - 2 * own[rows] @ own[there].T
-                i, j = np.nonzero(far <= budget[block] + 1e-9)
+        own, lead, reach = turned[:, part], turned[:, part.start], np.sqrt(budget[block]) + 1e-9
+        # squared distances as one product, in single precision and with slack; whoever passes is compared in double
+        square, one = (own * own).sum(axis=1)[:, None], np.ones((len(x), 1))
+        mine, theirs = (np.hstack(y).astype(np.float32) for y in ((own, square, one), (-2 * own, one, square)))
+        for a in range(0, len(home), 256):
+            rows = home[a : a + 256]
+            lo, hi = np.searchsorted(lead, [lead[rows[0]] - reach, lead[rows[-1]] + reach], "left")
+            for c in range(lo, min(hi + 1, len(x)), 4096):
+                there = theirs[c : min(c + 4096, hi + 1)]
+                i, j = np.divmod(np.flatnonzero(mine[rows] @ there.T <= np.float32(budget[block] + 1e-5)), len(there))
                 i, j = rows[i], j + c
                 differ = node[i] != node[j]
                 i, j = i[differ], j[differ]
@@ -85,11 +94,9 @@ def _compare(least: float):
                     p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                     ok = (unit[p] * unit[q]).sum(axis=1) >= least
                     p, q = p[ok], q[ok]
-                    first = np.ones(len(p), bool)
+                    first = _apart(turned, p, q, part) <= budget[block]
                     for earlier in range(block):
-                        s = _blocks(dim)[earlier]
-                        diff = turned[p, s] - turned[q, s]
-                        first &= (diff * diff).sum(axis=1) > budget[earlier]
+                        first &= _apart(turned, p, q, blocks[earlier]) > budget[earlier]
                     p, q = p[first], q[first]
                     np.add.at(links, p, n[q])
                     _unite(root, p, q)
@@ -117,6 +124,11 @@ def _compare(least: float):
     return run
 
 
+def _apart(turned: np.ndarray, p: np.ndarray, q: np.ndarray, part: slice) -> np.ndarray:
+    diff = turned[p, part] - turned[q, part]
+    return (diff * diff).sum(axis=1)
+
+
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     while len(a):
         ra, rb = root[a], root[b]
