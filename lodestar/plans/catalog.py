@@ -670,3 +670,6 @@ def modularity(spark, sf):
 @register()
 def label_propagation(spark, sf):
     return C.propagate(edges(spark, sf).where("relation in ('in_region', 'located_in', 'placed_by')"))
+
+
+from . import upkeep  # noqa: E402,F401  registers its queries in the tables above
