@@ -78,7 +78,7 @@ def mix(
     Whole documents are taken, 0, 1 or more times: ``taken = copies * size``. ``most`` bounds both a source's target and a
     document's copies. Null texts have size 0 and are never taken; a null source is a source of its own, the last. Draws
     depend on ``seed`` and the id, so reruns agree; repeated rows are separate documents with equal keys. With ``carry`` all
-    columns of ``docs`` follow (then the result is joined back by position, not by id).
+    columns of ``docs`` follow (then the result is joined back by position, not by id); of two columns of one name ours is given.
     """
     size = words(text)
     keep = [F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if carry else []
@@ -121,5 +121,6 @@ def mix(
     out = out.withColumn("copies", copies)
     cols = ["doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
     if carry:
-        cols = [F.col("doc")[c].alias(c) for c in docs.columns] + ["size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
+        ours = ["size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
+        cols = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "copies")] + ours
     return out.select(*cols)
