@@ -193,3 +193,62 @@ def sanitized(label: Column, most: int = 256) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(raw), F.lit(safe))
     return x
+
+
+def survivors(rows: DataFrame, fill: list[str]) -> DataFrame:
+    """One row per id: definers before others, active before archived, then the shortest and smallest label.
+
+    ``rows``: id, source_file, definer, lifecycle, label, seq and ``fill``, whose nulls are filled from the next best row of the
+    survivor's source_file that has a value. One aggregation per (id, source_file), then one per id.
+    """
+    rank = F.struct((~F.col("definer")).alias("d"), "lifecycle", F.length("label").alias("n"), "label", "seq")
+    values = [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in fill]
+    per = rows.groupBy("id", "source_file").agg(F.min(rank).alias("rank"), *values)
+    best = per.groupBy("id").agg(F.min_by(F.struct("source_file", F.col("rank.label").alias("label"), *fill), "rank").alias("x"))
+    return best.select("id", "x.*")
+
+
+def doc_twins(nodes: DataFrame) -> DataFrame:
+    """``old, new``: a bare slug folds into the node of the same slug with ``_doc``."""
+    twins = nodes.where(F.col("id").endswith("_doc")).select(F.regexp_replace("id", "_doc$", "").alias("old"), F.col("id").alias("new"))
+    return nodes.select(F.col("id").alias("old")).join(twins, "old").distinct()
+
+
+def common_folders(a: Column, b: Column) -> Column:
+    """How many leading segments two slash-separated paths share, their file names apart."""
+
+    def folders(x):
+        return F.slice(F.split(x, "/"), 1, F.size(F.split(x, "/")) - 1)
+
+    same = F.zip_with(folders(a), folders(b), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+
+def tie_break(candidates: DataFrame) -> DataFrame:
+    """``call, target`` of (call, call_file, target, target_file) where one candidate is left: a call outside tests drops those
+    in tests, then only candidates that share the most leading folders stay."""
+
+    def in_tests(x):
+        return F.col(x).rlike("(^|/)tests?/")
+
+    left = candidates.where(in_tests("call_file") | ~in_tests("target_file"))
+    near = left.groupBy("call", common_folders(F.col("call_file"), F.col("target_file")).alias("near")).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
+    return near.groupBy("call").agg(F.max(F.struct("near", "n", "target")).alias("x")).where("x.n = 1").select("call", F.col("x.target").alias("target"))
+
+
+def expand(hits: DataFrame, edges: DataFrame, limit: int = 50, most: int = 3) -> DataFrame:
+    """``src, dst, relation``: distinct edges that touch one of the best ``most`` hits (``id, score``), the first ``limit`` in order."""
+    best = hits.orderBy(F.desc("score"), "id").limit(most).select("id")
+    e = edges.select("src", "dst", "relation")
+    out = e.join(F.broadcast(best), F.col("src") == F.col("id"), "left_semi").unionByName(e.join(F.broadcast(best), F.col("dst") == F.col("id"), "left_semi"))  # at most ``most`` rows
+    return out.distinct().orderBy("src", "dst", "relation").limit(limit)
+
+
+def overlay(lessons: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, status, score, stale``: lessons on the nodes that exist; stale where the content has another hash than when learnt.
+
+    ``lessons``: node, status, score, seen_hash. ``nodes``: id, hash.
+    """
+    got = lessons.join(nodes.select("id", "hash"), F.col("node") == F.col("id"))
+    return got.select("id", "status", "score", (~F.col("hash").eqNullSafe(F.col("seen_hash"))).alias("stale"))

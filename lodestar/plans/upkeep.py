@@ -154,3 +154,47 @@ def hyperedge_remap(spark, sf):
 @register("SELECT page_id, md5(replace(replace(replace(replace(replace(substr(regexp_replace(html, '[\\x00-\\x1F\\x7F]', '', 'g'), 1, 256), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS label_md5 FROM pages")
 def sanitized_labels(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(U.sanitized(F.col("html"))).alias("label_md5"))
+
+
+@register("""WITH r AS (SELECT 'c:'||o_custkey AS id, o_orderstatus AS source_file, o_orderstatus = 'F' AS definer, CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END AS lifecycle, o_orderpriority AS label, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY NOT definer, lifecycle, length(label), label, seq) AS rn FROM r), f AS (SELECT id, source_file, min_by(price, rn) FILTER (price IS NOT NULL) AS price FROM k GROUP BY ALL)
+SELECT k.id, k.source_file, label, f.price FROM k JOIN f ON f.id = k.id AND f.source_file = k.source_file WHERE rn = 1""")
+def collision_survivors(spark, sf):
+    status = F.col("o_orderstatus")
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price")
+    rows = table(spark, sf, "orders").select(key("c", "o_custkey").alias("id"), status.alias("source_file"), (status == "F").alias("definer"), F.when(status == "P", 1).otherwise(0).alias("lifecycle"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq"), price)
+    return U.survivors(rows, ["price"])
+
+
+@register("SELECT 'd'||doc_id AS old, 'd'||doc_id||'_doc' AS new FROM documents JOIN labels USING (doc_id) GROUP BY doc_id")
+def doc_twins(spark, sf):
+    bare = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    twin = table(spark, sf, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_doc")).alias("id"))
+    return U.doc_twins(bare.unionByName(twin))
+
+
+_PLACE = "CASE WHEN {k} % 4 = 0 THEN 'tests/' ELSE 'src/' END || ({k} % 3) || '/' || ({k} % 2) || '/x.py'"
+
+
+@register(f"""WITH c AS (SELECT 'o:'||l_orderkey AS call, {_PLACE.format(k='l_orderkey')} AS cf, 'p:'||l_partkey AS target, {_PLACE.format(k='l_partkey')} AS tf FROM lineitem),
+n AS (SELECT call, target, CASE WHEN string_split(cf, '/')[1] <> string_split(tf, '/')[1] THEN 0 WHEN string_split(cf, '/')[2] <> string_split(tf, '/')[2] THEN 1 WHEN string_split(cf, '/')[3] <> string_split(tf, '/')[3] THEN 2 ELSE 3 END AS near FROM c WHERE cf LIKE 'tests/%' OR tf NOT LIKE 'tests/%'),
+m AS (SELECT *, max(near) OVER (PARTITION BY call) AS top FROM n) SELECT call, min(target) AS target FROM m WHERE near = top GROUP BY call HAVING count(DISTINCT target) = 1""")
+def tie_break(spark, sf):
+    def place(c):
+        n = F.col(c)
+        return F.concat(F.when(n % 4 == 0, "tests/").otherwise("src/"), (n % 3).cast("string"), F.lit("/"), (n % 2).cast("string"), F.lit("/x.py"))
+
+    return U.tie_break(table(spark, sf, "lineitem").select(key("o", "l_orderkey").alias("call"), place("l_orderkey").alias("call_file"), key("p", "l_partkey").alias("target"), place("l_partkey").alias("target_file")))
+
+
+@register(_sql("SELECT DISTINCT src, dst, relation FROM edges WHERE src IN (SELECT id FROM h) OR dst IN (SELECT id FROM h) ORDER BY src, dst, relation LIMIT 50", "h AS (SELECT 's:'||s_suppkey AS id FROM supplier ORDER BY s_acctbal DESC, 's:'||s_suppkey LIMIT 3)"))
+def entity_expansion(spark, sf):
+    return U.expand(table(spark, sf, "supplier").select(key("s", "s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), edges(spark, sf))
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) AS id, CASE quality WHEN 1 THEN 'preferred' ELSE 'avoid' END AS status, CAST(quality AS DOUBLE) AS score, doc_id % 5 = 0 AS stale FROM labels JOIN documents USING (doc_id)")
+def learning_overlay(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("hash"))
+    seen = d.select(F.col("id").alias("node"), F.when(F.col("id").cast("long") % 5 == 0, F.md5("hash")).otherwise(F.col("hash")).alias("seen_hash"))
+    told = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("node"), F.when(F.col("quality") == 1, "preferred").otherwise("avoid").alias("status"), F.col("quality").cast("double").alias("score"))
+    return U.overlay(told.join(seen, "node"), d)
