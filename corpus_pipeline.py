@@ -5,7 +5,7 @@ Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, langid, linededup, mixing, simhash
+from lodestar.llm import decontaminate, langid, linededup, mixing, shingles
 from lodestar.llm.common import documents, held_in, stage
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +31,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id."""
+    own = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = stage(shingles.groups(own), "groups").withColumnRenamed("row", "r")
+    told = stage(own.select("row", "doc_id").join(groups, F.col("row") == F.col("r")).drop("r"), "told")
+    first = told.groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "c")
+    gone = stage(told.join(first, F.col("component") == F.col("c")).where("doc_id <> least").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -35,20 +35,25 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash over word shingles; texts without words have 0."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles in order of place; fewer than ``width`` words are one shingle, none have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = (ends - [len(w) for w in words])[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = (ends - [len(w) for w in words])[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash over word shingles; texts without words have 0."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 1 << 18):
         ones += np.unpackbits(h[a : a + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
