@@ -31,13 +31,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id."""
-    own = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = stage(shingles.groups(own), "groups").withColumnRenamed("row", "r")
-    told = stage(own.select("row", "doc_id").join(groups, F.col("row") == F.col("r")).drop("r"), "told")
-    first = told.groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "c")
-    gone = stage(told.join(first, F.col("component") == F.col("c")).where("doc_id <> least").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the smallest id, then row; null ids come last."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    # rows are told apart by number: ids may repeat or be null
+    own = stage(docs.select(whole).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = stage(shingles.groups(own.select("row", F.col("doc.text").alias("text"))), "groups").withColumnRenamed("row", "r")
+    told = own.select("row", F.col("doc.doc_id").alias("id")).join(groups, F.col("row") == F.col("r"))
+    told = stage(told.select("row", "component", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place")), "told")
+    first = told.groupBy("component").agg(F.min("place").alias("first")).select(F.col("component").alias("c"), F.col("first.row").alias("kept"))
+    gone = stage(told.join(first, F.col("component") == F.col("c")).where("row <> kept").select(F.col("row").alias("gone")), "copies")
+    return own.join(gone, F.col("row") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,16 @@ def test_near_copies_of_every_similarity(spark):
     assert kept == clean
 
 
+def test_rows_not_ids_decide(spark):
+    copy = "one text of quite enough words to be compared with others"
+    rows = [(1, copy), (1, copy), (None, copy), (5, copy), (5, "a clean text which shares its id with a copy of another one")]
+    rows += [(None, "this text has only rows without an id to its name")] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, copy), (5, rows[4][1]), (0, rows[5][1])])
+
+
 def test_groups_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(shingles, "CHUNK", 6)
     rnd = random.Random(8)
