@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: Language ID, fingerprints and mixing cannot be put in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 #: A text whose best cosine is below this resembles no language that was learnt; texts of fewer characters cannot be told.
-LEAST_SCORE, LEAST_CHARS = 0.1, 100
+#: Of 2,429 held-out texts of sf0.1 one is below (a word repeated, 0.24); random letters and base64 reach 0.23, Finnish 0.268.
+LEAST_SCORE, LEAST_CHARS = 0.27, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
