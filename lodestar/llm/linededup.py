@@ -119,19 +119,21 @@ def _parity(codes: Column, width: int) -> Column:
     return F.aggregate(codes, start, lambda s, c: F.struct(s["x"].bitwiseXOR(F.call_function("shiftleft", one, F.pmod(s["p"] * 31 + c, F.lit(61)).cast("int"))).alias("x"), c.alias("p")), lambda s: s["x"])
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, and ``n_lines``, ``n_dropped`` (long).
 
-    Lines end at a line feed. Lines of fewer than ``least`` characters stay as they are, and so do null texts (0 lines). Texts
-    of which nothing is left become empty; no document is dropped. Rows that repeat both id and text count once and get the
+    Lines end at a line feed. Lines of fewer than ``least`` characters go only as exact repeats, and only from ``exact``
+    characters on (``least`` if not given); shorter ones stay as they are, and so do null texts (0 lines). Texts of which
+    nothing is left become empty; no document is dropped. Rows that repeat both id and text count once and get the
     same result. All other columns are kept.
     """
     if least < 2 * (edits + 1):
         raise ValueError("lines must be long enough for their segments")
+    exact = least if exact is None else min(exact, least)
     # an extra column may bear one of our names: what is not looked at goes in a struct
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = _units(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), rest), "id", "text")
-    lines = own.select("unit", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= least)
+    lines = own.select("unit", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= exact)
     place = (F.col("unit") * _number(_LINE)).cast(DEC) + F.col("no").cast(DEC)
     hashed = lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit("again"), "line").alias("id2"), place.cast(DEC).alias("ord"))
     firsts = stage(hashed.groupBy("id", "id2").agg(F.min("ord").alias("ord")).select("id", "ord"), "firsts")
@@ -167,7 +169,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     gone = stage(left.join(right, near, "left_semi").select("ord").distinct(), "near")
     kept = firsts.select("ord").join(checked_broadcast(gone.withColumnRenamed("ord", "g")), F.col("ord") == F.col("g"), "left_anti")
     out = own.join(_mask(kept), F.col("unit") == F.col("u"), "left")
-    good = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) < least) | F.coalesce(F.get(F.col("mask"), i) == "1", F.lit(False)))
+    good = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) < exact) | F.coalesce(F.get(F.col("mask"), i) == "1", F.lit(False)))
     out = out.withColumn("good", good)
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     cols = [F.array_join("good", "\n").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]

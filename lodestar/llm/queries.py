@@ -30,7 +30,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    done = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), exact=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
