@@ -58,8 +58,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
-    base = F.filter("spans", lambda x: x["kind"] < 4)
-    counts = [_of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    base = F.filter("spans", lambda x: x["kind"] < pii.BASE)
+    counts = [_of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE])]
     return found.select("doc_id", *counts, F.sha2(secrets.digest(base, pii.KINDS), 256).alias("base_sha256"), secrets.digest(F.col("spans"), pii.KINDS).alias("spans"))
 
 

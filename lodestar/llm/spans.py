@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
+#: A match with its ends, the last AROUND characters of the gap before it and the first of the gap after it.
+SPAN = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
 _PART = 256
+AROUND = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,21 +25,27 @@ def _offsets(pairs: Column) -> Column:
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
         end = start + F.length(p["match"])
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), p["match"].alias("match"))
+        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), p["match"].alias("match"), F.right(p["gap"], F.lit(AROUND)).alias("before"), p["after"].alias("after"))
         return F.struct(end.cast("long").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
     return F.aggregate(pairs, zero, step)
 
 
 def find_all(text: Column, regex: str, gate: Column) -> Column:
-    """Leftmost non-overlapping matches of ``regex`` as an array of (start, end, match); empty where ``gate`` is not true.
+    """Leftmost non-overlapping matches of ``regex`` as an array of SPAN's elements; empty where ``gate`` is not true.
 
     Gaps and matches alternate; their lengths add up to offsets. Long lists are summed slice by slice, so that the work stays
     linear in their number.
     """
     matches = F.regexp_extract_all(text, F.lit(regex), 0)
     gaps = F.split(text, regex, -1)
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+
+    def paired(g: Column) -> Column:
+        own = F.zip_with(g, matches, lambda a, m: F.struct(a.alias("gap"), m.alias("match")))
+        next_ = F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0)))
+        return F.zip_with(own, next_, lambda p, a: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.left(a, F.lit(1)).alias("after")))
+
+    pairs = let(gaps, paired)
 
     def slices(z: Column) -> Column:
         n = F.ceil(F.size(z) / _PART).cast("int")
@@ -46,7 +54,7 @@ def find_all(text: Column, regex: str, gate: Column) -> Column:
     def shift(parts: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
         bases = F.aggregate(parts, zero, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-        moved = F.zip_with(parts, bases, lambda p, b: F.transform(p["out"], lambda x: F.struct((x["start"] + b).alias("start"), (x["end"] + b).alias("end"), x["match"].alias("match"))))
+        moved = F.zip_with(parts, bases, lambda p, b: F.transform(p["out"], lambda x: F.struct((x["start"] + b).alias("start"), (x["end"] + b).alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))))
         return F.flatten(moved)
 
     whole = let(let(F.filter(pairs, lambda p: p["match"].isNotNull()), slices), shift)
