@@ -30,7 +30,7 @@ p AS (SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.k <> b.k AND len(a.e) =
 r AS (SELECT k, k AS t FROM v UNION SELECT r.k, p.b FROM r JOIN p ON p.a = r.t),
 c AS (SELECT r.k, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.t GROUP BY r.k),
 n AS (SELECT a AS k, count(*) AS n FROM p GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (k) LEFT JOIN n USING (k)"""
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (k) LEFT JOIN n USING (k)"""
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _WIDER = r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|(?i:bearer)\x20+[A-Za-z0-9+/_.=-]{20,}"

@@ -24,8 +24,9 @@ def brute(rows, least):
                 root[find(a)] = find(b)
     least_of = {}
     for k, (i, _) in enumerate(rows):
-        least_of[find(k)] = min(i, least_of.get(find(k), i))
-    return {i: (links[k], least_of[find(k)]) for k, (i, _) in enumerate(rows)}
+        if i is not None:
+            least_of[find(k)] = min(i, least_of.get(find(k), i))
+    return {i: (links[k], least_of.get(find(k))) for k, (i, _) in enumerate(rows)}
 
 
 def test_matches_brute_force(spark):
@@ -42,8 +43,9 @@ def test_matches_brute_force(spark):
     assert got == brute(rows, 0.95)
 
 
-def test_tiles_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "TILE", 10)
+def test_chunks_leaves_and_empty(spark, monkeypatch):
+    for name, value in (("CHUNK", 7), ("LEAF", 4), ("SHALLOW", 3), ("WIDTH", 5)):
+        monkeypatch.setattr(embeddings, name, value)
     rnd = np.random.default_rng(3)
     c = rnd.standard_normal(16)
     rows = [(i, (c + 0.1 * rnd.standard_normal(16)).astype(np.float32).tolist()) for i in range(60)]
@@ -51,3 +53,25 @@ def test_tiles_and_empty(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
     assert got == brute(rows, 0.95)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_null_id_links(spark):
+    v = np.eye(8)[0]
+    chain = [np.cos(a) * np.eye(8)[0] + np.sin(a) * np.eye(8)[1] for a in (0.0, 0.25, 0.5)]
+    rows = [(7, chain[0].tolist()), (None, chain[1].tolist()), (3, chain[2].tolist()), (9, (-v).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {7: (1, 3, False), None: (2, 3, False), 3: (1, 3, True), 9: (0, 9, True)}
+
+
+def test_splits_reach_whatever_is_near():
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((400, 6))
+    tree = embeddings.Splits(x[:100], 5)
+    row, leaf, home = tree.leaves(x, 0.7)
+    assert (np.sort(row[home]) == np.arange(400)).all()
+    own = np.empty(400, int)
+    own[row[home]] = leaf[home]
+    visits = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    assert len(visits) == len(row)
+    near = np.argwhere(((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.49)
+    assert all((a, own[b]) in visits for a, b in near.tolist())
