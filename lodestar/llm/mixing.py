@@ -2,12 +2,13 @@
 
 Each source has a target number of words. All its documents get the whole copies that the target allows (target / size, rounded
 down); what is left is filled by a sample of fixed size, measured in words: documents are ranked by their random odds
-U / (1 - U) divided by their inclusion odds, and taken in that order as long as they fit. Inclusion odds rise with the
-``power`` of a document's length. At most CLOSERS further documents per source, each the one whose length is nearest to what is
-still missing, close the gap as far as they bring the source nearer to its target.
+U / (1 - U) divided by their inclusion odds, and taken in that order whenever they fit in what is still open. Inclusion odds rise
+with the ``power`` of a document's length. Then the document whose length is nearest to what is missing is added if it brings the
+source nearer to its target; both steps are repeated until no document does.
 
-Ranks are never sorted in one place: rank keys are cut into cells, words are summed by (source, cell), and only the cell that
-holds the cut is looked at more closely, twice, before rows are ordered.
+Ranks are never sorted in one place: a pass takes the documents up to the first that doesn't fit, found by summing words by
+(source, cell of the rank) and ordering only the one cell that holds the cut. Documents beyond it are looked at in the next pass, from
+which those that no longer fit are left out; so a very long document never ends a source's sample.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checked_broadcast, stage
 
-CELLS = 4096
-#: Documents per source that may close what the sample left open.
-CLOSERS = 3
+#: Cells of the rank key for each doubling of it.
+CELLS = 512
 
 
 def words(text: str = "text") -> Column:
@@ -52,13 +52,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def _cut(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
-    """For each group the cell that holds the cut, and the words in the cells before it."""
-    w = Window.partitionBy(*by, "rest").orderBy(cell)
-    upto = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return cells.select(*by, "rest", "before", cell, "size", upto.alias("upto")).where("before + upto > rest and before + upto - size <= rest").select(
-        *[F.col(c).alias(f"{c}_") for c in by], F.col(cell).alias(f"{cell}_"), (F.col("before") + F.col("upto") - F.col("size")).alias("before_")
-    )
+def _fits(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``rid`` of the documents that come, in order of their rank, before the first that doesn't fit.
+
+    ``left``: documents not taken yet (``rid, doc_id, source, size, key, cell``). ``gaps``: ``source, gap``; documents above the
+    gap are passed over.
+    """
+    gap = checked_broadcast(gaps.select(F.col("source").alias("s"), "gap"))
+    own = left.join(gap, F.col("source").eqNullSafe(F.col("s"))).where("size <= gap").drop("s")
+    cells = own.groupBy("source", "gap", "cell").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source", "gap").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    cut = cells.withColumn("upto", upto).where("upto > gap").groupBy("source").agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
+    cut = checked_broadcast(stage(cut.select(F.col("source").alias("s"), F.col("x.cell").alias("at"), F.col("x.before").alias("before")), "cut"))
+    own = own.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    edge = own.where("cell = at").withColumn("upto", F.col("before") + F.sum("size").over(order)).where("upto <= gap")
+    return own.where("at is null or cell < at").select("rid").unionByName(edge.select("rid"))
+
+
+def _nearest(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``rid`` of one document per source: that of the size nearest to the gap, if it is nearer than none."""
+    gap = checked_broadcast(gaps.select(F.col("source").alias("s"), "gap"))
+    near = left.join(gap, F.col("source").eqNullSafe(F.col("s"))).where("abs(gap - size) < abs(gap)")
+    return near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("rid"))
+
+
+def _sampled(ranked: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rid`` of the sample: both steps in turn until nothing is added."""
+    gaps = stage(goal.select("source", F.col("rest").alias("gap")), "gaps")
+    left, taken, step = ranked, None, 0
+    while True:
+        more = stage((_fits if step % 2 == 0 else _nearest)(left, gaps), "more")
+        taken = more if taken is None else taken.unionByName(more)
+        left = ranked.join(checked_broadcast(taken.withColumnRenamed("rid", "r")), F.col("rid") == F.col("r"), "left_anti")
+        got = ranked.join(checked_broadcast(more.withColumnRenamed("rid", "r")), F.col("rid") == F.col("r"), "left_semi").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("words"))
+        gaps = gaps.join(got, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"))
+        gaps = checked_broadcast(stage(gaps, "gaps"))
+        step += 1
+        if step % 2 == 0:
+            near = left.join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+            if near.where("abs(gap - size) < abs(gap)").isEmpty():
+                return taken
 
 
 def mix(
@@ -93,29 +127,9 @@ def mix(
     odds = part / (1 - part) * F.pow(F.col("size").cast("double"), F.lit(power))
     rank = F.col("u") / (1 - F.col("u")) / odds
     ranked = base.drop("doc").join(g, F.col("source").eqNullSafe(F.col("s"))).withColumn("u", u)
-    ranked = ranked.where("size > 0 and rest > 0").select("rid", "doc_id", "source", "size", "rest", rank.alias("key"))
-    place = F.col("key") / (1 + F.col("key")) * F.lit(float(CELLS * CELLS))
-    ranked = ranked.withColumn("fine", F.least(F.floor(place), F.lit(CELLS * CELLS - 1)).cast("long"))
-    ranked = stage(ranked.withColumn("coarse", F.floor(F.col("fine") / CELLS)), "ranked")
-    coarse = ranked.groupBy("source", "rest", "coarse").agg(F.sum("size").alias("size")).withColumn("before", F.lit(0))
-    first = stage(_cut(coarse, ["source"], "coarse"), "coarse")
-    held = ranked.join(checked_broadcast(first), F.col("source").eqNullSafe(F.col("source_")) & (F.col("coarse") == F.col("coarse_")))
-    cells = held.groupBy("source", "rest", "fine", F.col("before_").alias("before")).agg(F.sum("size").alias("size"))
-    second = stage(_cut(cells.withColumn("source", F.col("source")), ["source"], "fine"), "fine")
-    # rows of the one fine cell in which a source is cut, in order
-    row = ranked.join(checked_broadcast(second), F.col("source").eqNullSafe(F.col("source_")) & (F.col("fine") == F.col("fine_")))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    row = stage(row.withColumn("upto", F.col("before_") + F.sum("size").over(order)).where("upto <= rest").select("rid"), "cut")
-    cut = checked_broadcast(second.select("source_", F.col("fine_").alias("cut")))
-    drawn = ranked.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left").join(checked_broadcast(row.withColumn("hit", F.lit(1))), "rid", "left")
-    drawn = stage(drawn.select("rid", "doc_id", "source", "size", "rest", "key", F.coalesce(F.col("fine") < F.col("cut"), F.lit(True)).__or__(F.col("hit").isNotNull()).alias("in")), "drawn")
-    for _ in range(CLOSERS):
-        gap = drawn.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap")).withColumnRenamed("source", "s")
-        near = drawn.where("not in").join(checked_broadcast(gap), F.col("source").eqNullSafe(F.col("s"))).where("abs(gap - size) < abs(gap)")
-        last = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("r"))
-        last = checked_broadcast(stage(last, "closing"))
-        drawn = drawn.join(last, F.col("rid") == F.col("r"), "left").withColumn("in", F.col("in") | F.col("r").isNotNull()).drop("r")
-    extra = stage(drawn.where("in").select(F.col("rid").alias("r2")), "extra")
+    ranked = ranked.where("size > 0 and rest > 0").select("rid", "doc_id", "source", "size", rank.alias("key"))
+    ranked = stage(ranked.withColumn("cell", F.floor(F.log2("key") * CELLS).cast("long")), "ranked")
+    extra = stage(_sampled(ranked, goal).select(F.col("rid").alias("r2")), "extra")
     out = base.join(g, F.col("source").eqNullSafe(F.col("s"))).join(extra, F.col("rid") == F.col("r2"), "left")
     copies = F.when(F.col("size") > 0, F.col("copies0") + F.col("r2").isNotNull().cast("long")).otherwise(F.lit(0).cast("long"))
     out = out.withColumn("copies", copies)

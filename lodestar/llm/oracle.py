@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 
-def _mix() -> str:
+def _mix(turns: int = 6) -> str:
+    """Each turn takes, in order, what fits up to the first document that doesn't, then the one nearest to what is missing."""
     rounds = ""
-    for k in range(3):
+    for k in range(turns):
+        gap = f"SELECT source, any_value(rest) - coalesce(sum(size) FILTER (hit), 0) AS gap FROM {{}}{k} GROUP BY source"
+        order = "PARTITION BY d.source ORDER BY key, doc_id, size, rid ROWS UNBOUNDED PRECEDING"
         rounds += f""",
-g{k} AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (hit), 0) AS gap FROM d{k} GROUP BY source),
-c{k} AS (SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY d.source ORDER BY abs(gap - size), key, doc_id, rid) AS rn FROM d{k} d JOIN g{k} g ON g.source IS NOT DISTINCT FROM d.source WHERE NOT hit AND abs(gap - size) < abs(gap)) WHERE rn = 1),
-d{k + 1} AS (SELECT * REPLACE (hit OR rid IN (SELECT rid FROM c{k}) AS hit) FROM d{k})"""
+f{k} AS ({gap.format('d')}),
+p{k} AS (SELECT rid, sum(size) OVER ({order}) <= gap AS fits FROM d{k} d JOIN f{k} f ON f.source IS NOT DISTINCT FROM d.source WHERE NOT hit AND size <= gap),
+e{k} AS (SELECT * REPLACE (hit OR rid IN (SELECT rid FROM p{k} WHERE fits) AS hit) FROM d{k}),
+g{k} AS ({gap.format('e')}),
+c{k} AS (SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY d.source ORDER BY abs(gap - size), key, doc_id, rid) AS rn FROM e{k} d JOIN g{k} g ON g.source IS NOT DISTINCT FROM d.source WHERE NOT hit AND abs(gap - size) < abs(gap)) WHERE rn = 1),
+d{k + 1} AS (SELECT * REPLACE (hit OR rid IN (SELECT rid FROM c{k}) AS hit) FROM e{k})"""
     return f"""WITH base AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM base GROUP BY source),
 wt AS (SELECT *, 2.0::DOUBLE * ss AS cap, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w FROM src),
@@ -19,9 +25,9 @@ goal AS (SELECT source, ss, least(cap, w * l) AS target, CASE WHEN ss > 0 THEN C
 g AS (SELECT *, target - copies0 * ss AS rest FROM goal),
 u AS (SELECT rid, doc_id, base.source, size, rest, ss, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM base JOIN g ON g.source IS NOT DISTINCT FROM base.source WHERE size > 0 AND rest > 0),
 k AS (SELECT *, u / (1 - u) / (rest / ss / (1 - rest / ss) * sqrt(size)) AS key FROM u),
-d0 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= rest AS hit FROM k){rounds}
+d0 AS (SELECT *, false AS hit FROM k){rounds}
 SELECT base.doc_id, base.size, g.ss AS source_size, target, CASE WHEN base.size > 0 THEN copies0 + CASE WHEN coalesce(hit, false) THEN 1 ELSE 0 END ELSE 0 END * base.size AS taken, CASE WHEN base.size > 0 THEN copies0 + CASE WHEN coalesce(hit, false) THEN 1 ELSE 0 END ELSE 0 END AS copies
-FROM base JOIN g ON g.source IS NOT DISTINCT FROM base.source LEFT JOIN d3 ON d3.rid = base.rid"""
+FROM base JOIN g ON g.source IS NOT DISTINCT FROM base.source LEFT JOIN d{turns} d ON d.rid = base.rid"""
 
 
 EMBEDDINGS = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -105,6 +105,21 @@ def test_mixing(spark):
         assert abs(taken[s] - min(2 * size[s], weight[s] * level)) <= max(3, 0.01 * size[s])
 
 
+def test_mixing_goes_on_past_long_documents(spark):
+    """A document that doesn't fit is passed over: sources of many short and two very long documents still meet their targets."""
+    rnd = random.Random(5)
+    rows = [(1000 * s + i, "w " * rnd.randint(50, 450), f"s{s}") for s in range(3) for i in range(150)] + [(9000 + k, "w " * 20_000, f"s{k % 3}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in ("a", "b", "c"):
+        got = defaultdict(int)
+        target = {}
+        for r in mixing.mix(docs, seed=seed, carry=True).collect():
+            got[r.source] += r.taken
+            target[r.source] = (r.target, r.source_size)
+        assert all(abs(got[s] - t) <= 0.002 * n for s, (t, n) in target.items()), (seed, got, target)
+    docs.unpersist()
+
+
 def test_mixing_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0
