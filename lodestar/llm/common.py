@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 #: A word: what lies between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a side may have to be broadcast; a row of ours has at most a few hundred bytes.
-BROADCAST_ROWS = 100_000
+#: Bytes that a side may have to be broadcast, by the estimate below.
+BROADCAST_BYTES = 32 << 20
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of sessions that have no ``spark.checkpoint.dir``, by their context.
+_own: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(id(spark.sparkContext))
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[id(spark.sparkContext)] = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
     return found.rstrip("/")
 
 
@@ -65,9 +66,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else unchanged (then Spark shuffles both sides)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` bytes: a row counts 48, 16 for each column, and what its strings, binaries and arrays hold as text."""
+    row = 48 + 16 * len(df.columns)
+    loose = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    extra = F.sum(sum(loose[1:], loose[0]).cast("long")) if loose else F.lit(0).cast("long")
+    got = df.limit(most // row + 1).agg(F.count("*").alias("n"), extra.alias("b")).first()
+    return got.n * row + (got.b or 0) <= most
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it fits, else unchanged (then Spark shuffles both sides)."""
+    return F.broadcast(df) if fits(df, most) else df
+
+
+def unused(df: DataFrame, tag: str) -> str:
+    """A column name that ``df`` does not have."""
+    name, taken = f"__{tag}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
