@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stage
+from .common import checked_broadcast, fits, stage
 
 #: Bits that a position's line number and the text's hash take beside the document id.
 _LINE, _HASH = 1 << 28, 1 << 32
@@ -122,10 +122,10 @@ def _parity(codes: Column, width: int) -> Column:
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, and ``n_lines``, ``n_dropped`` (long).
 
-    Lines end at a line feed. Lines of fewer than ``least`` characters go only as exact repeats, and only from ``exact``
-    characters on (``least`` if not given); shorter ones stay as they are, and so do null texts (0 lines). Texts of which
-    nothing is left become empty; no document is dropped. Rows that repeat both id and text count once and get the
-    same result. All other columns are kept.
+    Lines end at a line feed. Lines of fewer than ``least`` characters go only as exact repeats, as two edits may well turn a short line
+    into another one, and only from ``exact`` characters on (``least`` if not given); shorter ones stay as they are, and so do null texts
+    (0 lines). Texts of which nothing is left become empty; no document is dropped. Rows that repeat both id and text
+    count once and get the same result. All other columns are kept; of two columns of one name, whatever its case, ours is given.
     """
     if least < 2 * (edits + 1):
         raise ValueError("lines must be long enough for their segments")
@@ -148,9 +148,15 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     w = Window.partitionBy("key")
     met = keys.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "r1": F.min("role").over(w), "r2": F.max("role").over(w)})
     met = stage(met.where("lo <> hi and r1 <> r2").select("key", "id", "role").distinct(), "met")
-    ids = checked_broadcast(met.select(F.col("id").alias("i")).distinct(), 2_000_000)
-    first = checked_broadcast(firsts.join(ids, F.col("id") == F.col("i"), "left_semi").select(F.col("id").alias("i"), F.col("ord").alias("o")), 2_000_000)
-    chosen = lines.select(F.xxhash64("line").alias("id"), place.cast(DEC).alias("ord"), "line").join(first, (F.col("id") == F.col("i")) & (F.col("ord") == F.col("o"))).select("id", "ord", "line").distinct()
+    ids = checked_broadcast(met.select(F.col("id").alias("i")).distinct())
+    first = stage(firsts.join(ids, F.col("id") == F.col("i"), "left_semi").select(F.col("id").alias("i"), F.col("ord").alias("o")), "first")
+    if fits(first):
+        chosen = lines.select(F.xxhash64("line").alias("id"), place.cast(DEC).alias("ord"), "line").join(F.broadcast(first), (F.col("id") == F.col("i")) & (F.col("ord") == F.col("o")))
+    else:
+        # too many to send to all: each document is sent the numbers of its lines that are wanted
+        wanted = held.join(_mask(first.select(F.col("o").alias("ord"))), F.col("unit") == F.col("u")).select("unit", "mask", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+        chosen = wanted.where(F.get("mask", F.col("no")) == "1").select(F.xxhash64("line").alias("id"), place.cast(DEC).alias("ord"), "line")
+    chosen = chosen.select("id", "ord", "line").distinct()
     codes = chosen.select("id", "ord", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("codes"))
     codes = stage(codes, "codes")
     codes = stage(codes.withColumns({"p1": _parity(F.col("codes"), 1), "p2": _parity(F.col("codes"), 2)}), "sketches")
@@ -172,5 +178,5 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     good = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) < exact) | F.coalesce(F.get(F.col("mask"), i) == "1", F.lit(False)))
     out = out.withColumn("good", good)
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    cols = [F.array_join("good", "\n").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    cols = [F.array_join("good", "\n").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return out.select(*cols, n.alias("n_lines"), (n - F.coalesce(F.size("good"), F.lit(0))).alias("n_dropped"))
