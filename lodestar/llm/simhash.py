@@ -1,10 +1,12 @@
 """SimHash near-duplicates: whole-text fingerprints, joined through pivot distance tables.
 
-Two fingerprints within 3 bits agree exactly on at least two of five bit blocks, so pairs are only looked for among
-fingerprints that share two blocks. There each fingerprint's Hamming distances to many reference fingerprints (*pivots*) are
-tabulated once; as ``|d(x, p) - d(y, p)| <= d(x, y)`` for each pivot p, a pair whose largest coordinate difference exceeds the
-limit is discarded, and the few survivors are verified on the fingerprints themselves. A task emits a spanning forest of the
-links it found, never the pairs, so a group of n near copies costs n rows. Exact copies are one fingerprint from the start.
+Each fingerprint's Hamming distances to many reference fingerprints (*pivots*) are tabulated, over all bits and over groups of bits. As
+``|d(x, p) - d(y, p)| <= d(x, y)`` for each pivot p, over any group of bits, a pair whose largest coordinate difference exceeds what the
+group allows is discarded. Two fingerprints within 3 bits differ in at most three of five blocks; so in at least one pair of blocks they
+do not differ at all, and none of that table's coordinates may differ either: the tables of the ten pairs of blocks give the
+candidates, as rows of equal coordinates. Candidates whose coordinates over all 64 bits differ by more than the limit are discarded
+next, and the few survivors are verified on the fingerprints themselves. A task emits a spanning forest of the links it found, never
+the pairs, so a group of n near copies costs n rows. Exact copies are one fingerprint from the start.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +53,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash over word shingles; texts without words have 0."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero if there are none."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -146,6 +152,14 @@ def _links(limit: int):
     return run
 
 
+def _coordinates(i: int, j: int) -> Column:
+    """Hash of the distances to all pivots over the bits of two blocks."""
+    mask = sum(((1 << width) - 1) << at for at, width in (BLOCKS[i], BLOCKS[j]))
+    signed = [x - (1 << 64) if x >> 63 else x for x in (mask, *(int(p) & mask for p in pivots()))]
+    own = F.col("fp").bitwiseAND(F.lit(signed[0]).cast("long"))
+    return F.xxhash64(F.lit(i), F.lit(j), *[F.bit_count(own.bitwiseXOR(F.lit(p).cast("long"))) for p in signed[1:]])
+
+
 def link_forest(prints: DataFrame, limit: int = 3) -> DataFrame:
     """Spanning edges (u, v) between nodes whose fingerprints differ in at most ``limit`` = 3 or fewer bits.
 
@@ -154,12 +168,7 @@ def link_forest(prints: DataFrame, limit: int = 3) -> DataFrame:
     if not 0 <= limit <= 3:
         raise ValueError("five blocks of which two agree prove at most 3 differing bits")
 
-    def block(at: int, width: int):
-        return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = [
-        F.shiftleft(F.shiftleft(block(*BLOCKS[i]), 13).bitwiseOR(block(*BLOCKS[j])), 6).bitwiseOR(F.lit(k).cast("long")) for k, (i, j) in enumerate(combinations(range(5), 2))
-    ]
+    keys = [_coordinates(i, j) for i, j in combinations(range(5), 2)]
     rows = stage(prints.select("fp", "node", F.explode(F.array(*keys)).alias("key")), "blocks")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # groups above CHUNK: rows are dealt to chunks by a hash, and a row goes to each pair of chunks that holds its own
@@ -176,14 +185,16 @@ def link_forest(prints: DataFrame, limit: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, limit: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``docs``; fingerprints link at ``limit`` or fewer differing bits.
 
-    A null or empty text has fingerprint zero and links like any other. Rows with a null id get a component as well, whose
-    number is the smallest id that is not null (null if there is none). Repeated rows stay repeated.
+    A null or empty text has fingerprint zero and links like any other; texts are read whole, however long. Rows with a null id link
+    as well; a component's number is the smallest id in it that is not null (null if there is none). Repeated rows stay
+    repeated, an empty table gives no rows, and further columns are not looked at.
     """
-    prints = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fp")
-    # a class is all rows of one fingerprint; it is known by its smallest id
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.xxhash64("fp").alias("h")).select("fp", "least"), "classes")
-    keyed = classes.where("least is not null").select("fp", F.col("least").alias("node"))
-    found = components(link_forest(keyed, limit))
-    labels = classes.join(found, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
+    prints = stage(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "fp"), "fp")
+    # a class is all rows of one fingerprint, which is also its number in the graph
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = components(link_forest(classes.select("fp", F.col("fp").alias("node")), limit))
+    labels = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), "least", F.coalesce("component", "fp").alias("group"))
     labels = stage(labels, "labels")
+    first = labels.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id"))
+    labels = stage(labels.join(first, F.col("group") == F.col("g")).select("f", "component_id"), "named")
     return prints.join(labels, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
