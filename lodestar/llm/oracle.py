@@ -39,7 +39,10 @@ n AS (SELECT a AS k, count(*) AS n FROM p GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (k) LEFT JOIN n USING (k)"""
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_WIDER = r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|(?i:bearer)\x20+[A-Za-z0-9+/_.=-]{20,}"
+_KEYS = r"""(?i:pwd|credential|access_key|auth_key|conn_string)["'']?\x20*[:=]\x20*["'']?"""
+_WIDER = r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|(?i:bearer)\x20+[A-Za-z0-9+/_.=-]{20,}|" + _KEYS + r"[A-Za-z0-9+/_.=-]{16,}|[a-z]{2,12}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+!-]{8,}@"
+_LEAD = r"^(?:(?i:bearer)\x20+|" + _KEYS + r"|[a-z]{2,12}://[A-Za-z0-9._-]{1,64}:)|@$"
+_PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]|xxxx|12345678|abcdefgh|deadbeef"
 
 
 def _secrets() -> str:
@@ -51,12 +54,12 @@ def _secrets() -> str:
     told = f"string_agg({name} || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
     return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM documents), s AS ({parts}),
 x AS (SELECT rid, doc_id, source, kind, m[i] AS hit, CAST(list_sum(list_transform(gap[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS start FROM s),
-y AS (SELECT *, start + length(hit) AS stop, CASE kind WHEN 0 THEN regexp_extract(hit, '{_ASSIGN}', 2) WHEN 3 THEN regexp_replace(hit, '^(?i:bearer)\\x20+', '') ELSE hit END AS secret FROM x),
+y AS (SELECT *, start + length(hit) AS stop, CASE kind WHEN 0 THEN regexp_extract(hit, '{_ASSIGN}', 2) WHEN 3 THEN regexp_replace(hit, '{_LEAD}', '', 'g') ELSE hit END AS secret FROM x),
 z AS (SELECT * FROM y WHERE CASE kind WHEN 0 THEN length(secret) >= 12 WHEN 1 THEN length(hit) >= 18 WHEN 2 THEN length(hit) >= 16 ELSE true END),
-o AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners FROM z GROUP BY secret),
-w AS (SELECT z.*, owners < 3 AS live FROM z JOIN o USING (secret) WHERE kind < 3 OR owners < 3),
-a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, coalesce({told.replace(', stop)', ', stop) FILTER (kind < 3)')}, '') AS base, {told} AS spans, count(*) FILTER (live) AS n_live FROM w GROUP BY rid)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM t LEFT JOIN a USING (rid)"""
+o AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), chr(0))) AS repos, NOT regexp_matches(secret, '{_PLACEHOLDER}') AND len(list_distinct(string_split(secret, ''))) >= 6 AS drawn FROM z GROUP BY secret),
+w AS (SELECT z.*, owners, repos, drawn AND owners < 3 AND repos < 25 AS live FROM z JOIN o USING (secret) WHERE kind < 3 OR (drawn AND owners < 3 AND repos < 25)),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, coalesce({told.replace(', stop)', ', stop) FILTER (kind < 3)')}, '') AS base, {told} AS spans, count(*) FILTER (live) AS n_live, max(owners) AS max_owners, max(repos) AS max_repositories FROM w GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(max_owners, 0) AS max_owners, coalesce(max_repositories, 0) AS max_repositories FROM t LEFT JOIN a USING (rid)"""
 
 
 ORACLE = {"op1_mix": _mix(), "op5_embeddings": EMBEDDINGS, "op7_secrets": _secrets()}

@@ -53,7 +53,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < 3)
     counts = [_of_kind(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     live = F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live")
-    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), live)
+    owners = F.coalesce(F.array_max(F.transform("spans", lambda x: x["n_owners"])), F.lit(0)).cast("long").alias("max_owners")
+    repositories = F.coalesce(F.array_max(F.transform("spans", lambda x: x["n_repositories"])), F.lit(0)).cast("long").alias("max_repositories")
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), live, owners, repositories)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
