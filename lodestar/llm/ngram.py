@@ -12,9 +12,10 @@ share the first.
 
 from __future__ import annotations
 
-import io
+import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -23,12 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, new_folder, release, small_batches
+from .common import WORD, new_folder, release, small_batches, unused
 from .textnp import Words, batches_of, mix64, sum_by_doc
 
 END, BEGIN = (mix64(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 FLUSH = 1 << 22
 SHARD_TOKENS = 1 << 22
+#: Files of arrays that a worker keeps mapped; a shard has one for each of its three tables.
+OPEN = 256
+FILE_OF = {"word": "words", "count": "words", "second": "seconds", "second_n": "seconds"} | dict.fromkeys(("pair", "pair_n", "pair_over", "first", "stats"), "pairs")
 _U = np.uint64
 
 
@@ -43,31 +47,48 @@ def _path(folder: str, name: str) -> tuple[object, str]:
     return system, path
 
 
-def put(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array; a task that is run again writes the same file again, and readers see a whole file or none."""
+def put(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Writes arrays to one file: the length of a list of (name, type, shape, place), the list, then the arrays at multiples of 64."""
+    at, told, flat = 0, [], []
+    for key, x in arrays.items():
+        x = np.ascontiguousarray(x)
+        told.append([key, x.dtype.str, x.shape, at])
+        flat.append(x.tobytes() + bytes(-x.nbytes % 64))
+        at += len(flat[-1])
+    head = json.dumps(told).encode()
+    head += b" " * (-(len(head) + 8) % 64)
+    data = len(head).to_bytes(8, "little") + head + b"".join(flat)
     system, path = _path(folder, name)
     if system is None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-            np.save(f, array)
-        os.replace(f.name, path)
+        part = f"{path}.{os.getpid()}-{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, path)  # a task that runs twice writes the same
     else:
-        data = io.BytesIO()
-        np.save(data, array)
         with system.open_output_stream(path) as out:
-            out.write(data.getvalue())
+            out.write(data)
 
 
-def mapped(folder: str, name: str) -> np.ndarray:
-    """The array, mapped from the shared folder; from a remote store it is first copied to an unlinked temporary file."""
+def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped from the shared folder; from a remote store it is first copied to an unlinked temporary file."""
     system, path = _path(folder, name)
     if system is None:
-        return np.load(path, mmap_mode="r")
-    with tempfile.NamedTemporaryFile(suffix=".npy") as f, system.open_input_stream(path) as src:
+        return _arrays(np.memmap(path, np.uint8, "r"))
+    with tempfile.NamedTemporaryFile(suffix=".arrays") as f, system.open_input_stream(path) as src:
         while block := src.read(1 << 24):
             f.write(block)
         f.flush()
-        return np.load(f.name, mmap_mode="r")
+        return _arrays(np.memmap(f.name, np.uint8, "r"))
+
+
+def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+    n = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+    out = {}
+    for key, kind, shape, at in json.loads(raw[8:n].tobytes()):
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[key] = raw[n + at : n + at + size].view(kind).reshape(shape)
+    return out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +182,7 @@ PAYLOAD = "shard int, keys binary, counts binary"
 def _words(folder: str, hot: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, n = _merged(pdf)
-        put(folder, f"word-{key[0]}.npy", k)
-        put(folder, f"count-{key[0]}.npy", n)
+        put(folder, f"words-{key[0]}", word=k, count=n)
         return pd.DataFrame({"shard": [key[0]], "types": [len(k)], "tokens": [int(n.sum())], "hot": [k[n > hot].view(np.int64).tolist()]})
 
     return run
@@ -172,16 +192,14 @@ def _pairs(folder: str, layout: Layout):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = key[0]
         k, n = _merged(pdf)
-        put(folder, f"pair-{shard}.npy", k)
-        put(folder, f"pair_n-{shard}.npy", np.minimum(n, 65535).astype(np.uint16))
         over = np.flatnonzero(n >= 65535)
-        put(folder, f"pair_over-{shard}.npy", np.stack([over, n[over]]))
+        held = {"pair": k, "pair_n": np.minimum(n, 65535).astype(np.uint16), "pair_over": np.stack([over, n[over]])}
         first = k >> _U(36)
         starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         stats = np.stack([np.add.reduceat(x, starts) for x in (n, n == 1, n == 2, n > 2)]).astype(np.int64)
         if shard < layout.shards:
-            put(folder, f"first-{shard}.npy", first[starts].astype(np.uint32))
-            put(folder, f"stats-{shard}.npy", stats)
+            held |= {"first": first[starts].astype(np.uint32), "stats": stats}
+        put(folder, f"pairs-{shard}", **held)
         # one row per shard of the second word: how many different first words precede it
         second, times = summed(k & _U((1 << 36) - 1))
         to = (second >> _U(36 - layout.bits)).astype(np.int32)
@@ -198,8 +216,7 @@ def _pairs(folder: str, layout: Layout):
 def _followers(folder: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, n = _merged(pdf)
-        put(folder, f"second-{key[0]}.npy", k)
-        put(folder, f"second_n-{key[0]}.npy", n)
+        put(folder, f"seconds-{key[0]}", second=k, second_n=n)
         return pd.DataFrame({"n": [[int((n == x).sum()) for x in (1, 2, 3, 4)]], "types": [len(k)], "total": [int(n.sum())]})
 
     return run
@@ -227,15 +244,21 @@ class Model:
         self.second_shards: set[int] = set()
         self.hot: dict[int, np.ndarray] = {}
         self.total, self.second_types = 0, np.zeros(4)
-        self._open: dict[str, np.ndarray] = {}
+        self._open: dict[str, dict[str, np.ndarray]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def array(self, name: str) -> np.ndarray:
-        if name not in self._open:
-            self._open[name] = mapped(self.folder, f"{name}.npy")
-        return self._open[name]
+    def array(self, name: str, shard: int) -> np.ndarray:
+        """An array of a shard. At most OPEN files stay mapped, those that were used last."""
+        file = f"{FILE_OF[name]}-{shard}"
+        held = self._open.pop(file, None)
+        if held is None:
+            while len(self._open) >= OPEN:
+                del self._open[next(iter(self._open))]
+            held = mapped(self.folder, file)
+        self._open[file] = held
+        return held[name]
 
     def _search(self, shards: np.ndarray, keys: np.ndarray, known: set[int], table: str, read) -> None:
         """Calls ``read(shard, rows of the batch, places in the table)`` for the keys that the table holds."""
@@ -244,7 +267,7 @@ class Model:
         for part in np.split(order, cuts):
             if len(part) and (s := int(shards[part[0]])) in known:
                 part = part[np.argsort(keys[part])]
-                held, want = self.array(f"{table}-{s}"), keys[part]
+                held, want = self.array(table, s), keys[part]
                 at = np.searchsorted(held, want)
                 at[at == len(held)] = 0
                 ok = held[at] == want
@@ -252,13 +275,13 @@ class Model:
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
-        self._search(self.layout.word(h), h, self.word_shards, "word", lambda s, rows, at: out.__setitem__(rows, self.array(f"count-{s}")[at]))
+        self._search(self.layout.word(h), h, self.word_shards, "word", lambda s, rows, at: out.__setitem__(rows, self.array("count", s)[at]))
         return out
 
     def unigram(self, h: np.ndarray) -> np.ndarray:
         """Continuation probability, interpolated with the uniform one."""
         n = np.zeros(len(h), np.int64)
-        self._search(self.layout.word(h), h >> _U(28), self.second_shards, "second", lambda s, rows, at: n.__setitem__(rows, self.array(f"second_n-{s}")[at]))
+        self._search(self.layout.word(h), h >> _U(28), self.second_shards, "second", lambda s, rows, at: n.__setitem__(rows, self.array("second_n", s)[at]))
         if not self.total:
             return np.full(len(h), 1 / (self.types + 1))
         rest = float(self.d1[1:] @ self.second_types[1:]) / self.total
@@ -268,7 +291,7 @@ class Model:
         """Total of the followers of each word, and the mass left by discounting."""
         stats = np.zeros((4, len(h)))
         key = self.layout.first(h).astype(np.uint32)
-        self._search(self.layout.word(h), key, {s for s in self.pair_shards if s < self.layout.shards}, "first", lambda s, rows, at: stats.__setitem__((slice(None), rows), self.array(f"stats-{s}")[:, at]))
+        self._search(self.layout.word(h), key, {s for s in self.pair_shards if s < self.layout.shards}, "first", lambda s, rows, at: stats.__setitem__((slice(None), rows), self.array("stats", s)[:, at]))
         at = np.minimum(np.searchsorted(self.layout.hot, h), len(self.layout.hot) - 1)
         for i in np.flatnonzero(self.layout.hot[at] == h):
             stats[:, i] = self.hot.get(int(h[i]), np.zeros(4))
@@ -286,9 +309,9 @@ class Model:
         n = np.zeros(len(tokens), np.int64)
 
         def read(s: int, rows: np.ndarray, at: np.ndarray) -> None:
-            got = self.array(f"pair_n-{s}")[at].astype(np.int64)
+            got = self.array("pair_n", s)[at].astype(np.int64)
             if (full := got == 65535).any():
-                place, value = self.array(f"pair_over-{s}")
+                place, value = self.array("pair_over", s)
                 got[full] = value[np.searchsorted(place, at[full])]
             n[rows] = got
 
@@ -364,9 +387,14 @@ def scorer(model: Model, spark):
 
 
 def score(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens, n_known, train_tokens, base_score, score`` and ``perplexity`` (10 to the mean negative log)."""
+    """``docs`` with ``n_tokens, n_known, train_tokens, base_score, score`` and ``perplexity`` (10 to the mean negative log).
+
+    Null texts count as empty: one token, the end. Texts are read whole, however long. Repeated training rows count as often as they
+    occur; an empty training table gives the uniform model. Columns of ``docs`` named like ours are replaced, all others stay.
+    """
     model = train(training)
     small_batches(docs.sparkSession)
-    out = docs.withColumn("__lm", scorer(model, docs.sparkSession)(F.col(text)))
-    out = out.withColumns({c: F.col("__lm")[c] for c in ("n_tokens", "n_known", "base_score", "score")}).drop("__lm")
+    name = unused(docs, "lm")
+    out = docs.withColumn(name, scorer(model, docs.sparkSession)(F.col(f"`{text}`")))
+    out = out.withColumns({c: F.col(name)[c] for c in ("n_tokens", "n_known", "base_score", "score")}).drop(name)
     return out.withColumns({"train_tokens": F.lit(model.tokens).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
