@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .textnp import batches_of
 
 #: Letter classes: 0 is whatever is no letter, 1-26 are a-z, the rest are the other letters by code point.
 CLASSES, DIM = 40, 512
-#: Languages that one model holds (2 KB each, shipped to every worker).
-MOST_LANGUAGES = 10_000
+#: Prototypes that a text is compared with at once; a prototype has 2 KB, and all are shipped to every worker.
+BLOCK = 4096
 _state: dict[str, np.ndarray] = {}
 
 
@@ -98,13 +98,15 @@ def _bundle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and their unit prototypes. ``labelled``: ``text``, ``lang``; nulls in either teach nothing."""
+    """Languages in code point order and their unit prototypes.
+
+    ``labelled``: ``text``, ``lang``; nulls in either teach nothing, nor do texts without letters; repeated rows count as often as
+    they occur. An empty table gives no languages, and then every prediction is ``und``.
+    """
     small_batches(labelled.sparkSession)
     counts = labelled.select("text", "lang").where("lang is not null and text is not null").mapInPandas(_count, "lang string, code int, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").applyInPandas(_bundle, "lang string, vector array<double>").limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = counts.groupBy("lang").applyInPandas(_bundle, "lang string, vector array<double>").collect()  # a row per language
     rows.sort(key=lambda r: r.lang)
     return [r.lang for r in rows], np.array([r.vector for r in rows], np.float32).reshape(-1, DIM)
 
@@ -143,10 +145,14 @@ def predict_batch(texts, langs: list[str], prototypes: np.ndarray, vectors: Vect
         v = np.zeros(DIM, np.float32)
         for x in range(0, len(at), 2048):
             v += n[at[x : x + 2048]].astype(np.float32) @ vectors.get(at[x : x + 2048])
-        cos = prototypes @ (v / max(float(np.linalg.norm(v)), 1e-12))
-        k = int(np.argmax(cos))
+        v /= max(float(np.linalg.norm(v)), 1e-12)
+        k, best = 0, -np.inf
+        for x in range(0, len(langs), BLOCK):
+            cos = prototypes[x : x + BLOCK] @ v
+            if cos.max() > best:  # of equal ones the first in code point order
+                k, best = x + int(np.argmax(cos)), float(cos.max())
         pred.append(langs[k])
-        score.append(float(min(1.0, max(0.0, cos[k]))))
+        score.append(min(1.0, max(0.0, best)))
     return pred, score
 
 
@@ -168,8 +174,13 @@ def predictor(langs: list[str], prototypes: np.ndarray):
 
 
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, learnt from ``labelled`` (``text``, ``lang``)."""
+    """``docs`` with ``lang_pred`` and ``score``, learnt from ``labelled`` (``text``, ``lang``).
+
+    Null texts and texts without letters are ``und`` with score 0. Texts are read whole, however long. Of languages of equal cosine the
+    first in code point order is given; a cosine below 0 counts as 0. Columns of ``docs`` named like ours are replaced, all others stay.
+    """
     model = predictor(*learn(labelled))
     small_batches(docs.sparkSession)
-    out = docs.withColumn("__lang", model(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    name = unused(docs, "lang")
+    out = docs.withColumn(name, model(F.col(f"`{text}`")))
+    return out.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
