@@ -11,16 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, stage, unused
 from .textnp import Words, batches_of, mix64
 
 BITS = 20
 #: Rated rows that the regression is fitted on at most (documented bound; the model is far smaller than what they teach).
 SAMPLE = 12_000
+#: Bytes of their features that the driver fetches at most (4 a feature): rows beyond teach nothing.
+SAMPLE_BYTES = 64 << 20
 
 
 def features(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,17 @@ def _features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def learn(rated: DataFrame, grades: int, sample: int = SAMPLE) -> Ordinal:
-    """``rated``: ``doc_id, text, grade`` (0 to grades - 1). Rows with a null text or grade teach nothing."""
+    """``rated``: ``doc_id, text, grade`` (0 to grades - 1). Rows with a null text or grade teach nothing.
+
+    The sample is that of the smallest hashes of id and text; rows of equal hash are repeats of one another, and it does not matter
+    which are in. A table without rated rows gives a model without weights.
+    """
     small_batches(rated.sparkSession)
     order = F.xxhash64("doc_id", "text")
-    chosen = rated.where("text is not null and grade is not null").orderBy(order).limit(sample)
-    rows = chosen.select("grade", _features("text").alias("at")).collect()  # at most ``sample`` rows
+    chosen = rated.where("text is not null and grade is not null").withColumn("place", order).orderBy("place").limit(sample)
+    chosen = stage(chosen.select("place", "grade", _features("text").alias("at")), "rated")
+    upto = F.sum(F.octet_length("at").cast("long")).over(Window.orderBy("place", "grade").rowsBetween(Window.unboundedPreceding, 0))
+    rows = chosen.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("grade", "at").collect()  # at most SAMPLE_BYTES
     model = Ordinal(grades)
     if rows:
         sizes = np.cumsum([0] + [len(r["at"]) // 4 for r in rows])
@@ -144,10 +152,12 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, least_tail: float = 0.4, text: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade`` (0 to grades - 1), ``tail`` (probability of the best grade) and ``kept`` (tail >= least_tail).
 
-    A null or empty text has no features: its score is 0 and the thresholds alone decide.
+    A null or empty text has no features: its score is 0 and the thresholds alone decide. Texts are read whole. Rows of ``rated``
+    that repeat count as often as they occur. Columns of ``docs`` named like ours are replaced, all others stay.
     """
     model = scorer(learn(rated, grades), docs.sparkSession)
     small_batches(docs.sparkSession)
-    out = docs.withColumn("__q", model(F.col(text)))
-    tail = F.element_at("__q.tails", grades - 1)
-    return out.withColumns({"expected_grade": F.col("__q.expected_grade"), "tail": tail, "kept": tail >= least_tail}).drop("__q")
+    name = unused(docs, "q")
+    out = docs.withColumn(name, model(F.col(f"`{text}`")))
+    tail = F.element_at(F.col(f"{name}.tails"), grades - 1)
+    return out.withColumns({"expected_grade": F.col(f"{name}.expected_grade"), "tail": tail, "kept": tail >= least_tail}).drop(name)
