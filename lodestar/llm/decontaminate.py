@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .textnp import Words, batches_of
 
 _MUL = np.uint64(0x100000001B3)
@@ -169,19 +169,28 @@ def _matches(shipped):
     return run
 
 
+def report(items: DataFrame, error_rate: float = 0.2, least_words: int = 4) -> DataFrame:
+    """``item_id, n_words, budget, status`` of every item: ``matched``, ``too_short`` (fewer than ``least_words`` words) or ``no_id``."""
+    n = F.coalesce(F.size(F.filter(F.split(F.lower("text"), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"), lambda w: w != "")), F.lit(0))
+    n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    status = F.when(F.col("item_id").isNull(), "no_id").when(n < least_words, "too_short").otherwise("matched")
+    return items.select("item_id", n.alias("n_words"), F.floor(n * error_rate).cast("long").alias("budget"), status.alias("status"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, least_words: int = 4, text: str = "text") -> DataFrame:
     """``docs`` with ``leaks``: an array of (item_id, distance), one entry per item found in the document, by item id.
 
     ``items`` has ``item_id`` (not null) and ``text``. Items of fewer than ``least_words`` words (null and empty texts among
-    them) are too short to tell a leak from chance and never match; of repeated item ids the nearest match is given. A null
-    text has no leaks.
+    them) are too short to tell a leak from chance and never match; ``report`` names them. Of repeated item ids the nearest
+    match is given. A null or empty text has no leaks; texts are searched whole, however long. Repeated rows each get their row,
+    an empty table gives none; of ``docs`` a column named ``leaks`` is replaced, all others stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
     found = []
     for k, block in enumerate(_blocks(items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").orderBy("item_id"), error_rate, least_words)):
         if block.ids:
-            docs = docs.withColumn(f"__leaks_{k}", _matches(spark.sparkContext.broadcast(block))(F.col(text)))
-            found.append(f"__leaks_{k}")
+            found.append(unused(docs, f"leaks_{k}"))
+            docs = docs.withColumn(found[-1], _matches(spark.sparkContext.broadcast(block))(F.col(f"`{text}`")))
     empty = F.array().cast("array<struct<item_id:bigint,distance:int>>")
     return docs.withColumn("leaks", F.concat(*found) if len(found) > 1 else F.col(found[0]) if found else empty).drop(*found)
