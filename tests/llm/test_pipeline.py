@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from lodestar.llm import decontaminate, langid
-from test_linededup import brute as brute_lines
+from test_short_lines import plain as brute_lines
 from test_brute import groups, plain_fingerprint
 
 
