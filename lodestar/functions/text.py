@@ -48,3 +48,21 @@ def html_to_text(html: Column) -> Column:
 def decay(age_days: Column, half_life: float) -> Column:
     """0.5 ** (age / half-life); the future counts as today, an unknown age as 1."""
     return F.coalesce(F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life), F.lit(1.0))
+
+
+def norm_path(path: Column, root: str = "") -> Column:
+    """Slashes forward, no leading ./, relative to ``root`` where it lies below it."""
+    out = F.regexp_replace(F.regexp_replace(path, r"[\\\\]+", "/"), r"^(?:\./)+", "")
+    base = root.rstrip("/") + "/"
+    return F.when(out.startswith(base), F.substring(out, len(base) + 1, 1 << 30)).otherwise(out) if root else out
+
+
+def path_stems(path: Column) -> Column:
+    """All tails of a path without its suffix, as slugs, the longest first."""
+    parts = F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.regexp_replace(F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "_")), r"[^a-z0-9]+", "_"))
+
+
+def parse_time(x: Column) -> Column:
+    """An ISO time, UTC where it names no zone; null if it can't be read."""
+    return F.try_to_timestamp(F.regexp_replace(x, r"Z$", "+00:00"))

@@ -1,17 +1,9 @@
-"""Symbol store: lookups, calls and their resolution by proximity, repair of parents; hashing embedder; tokeniser."""
+"""Symbol store: lookups, calls and their resolution by proximity, repair of parents."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Words dropped by the tokeniser.
-STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not")
 
 
 def family(language: Column) -> Column:
@@ -63,53 +55,23 @@ def call_roles(edges: DataFrame) -> DataFrame:
     return n.select("id", F.when(F.col("i") == 0, "entry").when(F.col("o") == 0, "leaf").otherwise("normal").alias("role"))
 
 
-def stem(word: str) -> str:
-    """Strips ing, edly, ed, es and s where three letters stay, then a last e of words longer than three."""
-    for end in ("ing", "edly", "ed", "es", "s"):
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            word = word[: -len(end)]
-            break
-    return word[:-1] if word.endswith("e") and len(word) > 3 else word
-
-
-def words(text: str) -> list[str]:
-    out, run = [], []
-    for ch in (text or "").lower() + " ":
-        if ch.isalnum():
-            run.append(ch)
-        elif run:
-            w = "".join(run)
-            run = []
-            if len(w.encode()) >= 2 and w not in STOP:
-                out.append(stem(w))
-    return out
-
-
-def fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-def embedding(text: str, dim: int = 512) -> list[float]:
-    """Unigrams and bigrams weigh 1, trigrams of longer tokens 0.25; 1 + ln of each sum, unit length."""
-    toks = words(text)
-    tf: dict[str, float] = {}
-    for key in toks + [f"{a} {b}" for a, b in zip(toks, toks[1:], strict=False)]:
-        tf[key] = tf.get(key, 0) + 1
-    for t in toks:
-        if len(t.encode()) >= 4:
-            for i in range(len(t) - 2):
-                tf["#" + t[i : i + 3]] = tf.get("#" + t[i : i + 3], 0) + 0.25
-    v = [0.0] * dim
-    for key, n in tf.items():
-        v[fnv1a(key.encode()) % dim] += 1 + math.log(n)
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield pd.Series([embedding(x) for x in s])
+def in_file(symbols: DataFrame, path: str) -> DataFrame:
+    """Top-level symbols of a file, by line."""
+    return symbols.where((F.col("file_path") == path) & (F.coalesce("parent_id", F.lit("")) == "")).orderBy("start_line", "id")
+
+
+def members(symbols: DataFrame, parent_id: str) -> DataFrame:
+    return symbols.where(F.col("parent_id") == parent_id).orderBy("start_line", "id")
+
+
+def lookup(symbols: DataFrame, symbol_id: str) -> DataFrame:
+    """The symbol of an id: one row or none."""
+    return symbols.where(F.col("id") == symbol_id).limit(1)
+
+
+def search(symbols: DataFrame, query: str, kind: str = "", most: int = 200) -> DataFrame:
+    """Symbols whose name holds ``query`` in either case: exact names first, then prefixes; at most ``most``."""
+    name, q = F.lower("name"), query.lower()
+    rank = F.when(name == q, 0).when(name.startswith(q), 1).otherwise(2)
+    got = symbols.where(name.contains(q) & (F.lit(True) if not kind else F.col("kind") == kind))
+    return got.withColumn("rank", rank).orderBy("rank", "name", "id").limit(most)

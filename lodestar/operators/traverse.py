@@ -65,8 +65,17 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def path_length(edges: DataFrame, start: DataFrame, end: str, hops: int = 8, directed: bool = True) -> DataFrame:
-    """``id, depth``: the length of the shortest path to ``end``, no row if there is none within ``hops``."""
-    return bfs(edges, start, hops, directed).where(F.col("id") == end)
+    """``id, depth``: the length of the shortest path to ``end``, no row if there is none within ``hops``; walks no further than needed."""
+    steps = settle(_adjacent(edges, directed))
+    reached = front = settle(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    for level in range(1, hops + 1):
+        found = front.where(F.col("id") == end)
+        if not found.isEmpty():
+            return found
+        new = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        front = settle(new.join(reached, "id", "left_anti").withColumn("depth", F.lit(level)))
+        reached = reached.unionByName(front)
+    return front.where(F.col("id") == end)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -89,7 +98,14 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     """Simple cycles of at most ``longest`` nodes, each once, written from its smallest node."""
     e = edges.select("src", "dst").distinct()
     loops = e.where("src = dst").select(F.array("src").alias("path"))
-    step = settle(e.where("src <> dst"))
+    step, left = settle(e.where("src <> dst")), None
+    while True:  # a node without edges in or out lies on no cycle
+        n = step.count()
+        if n == left:
+            break
+        left = n
+        on = step.select(F.col("src").alias("id")).intersect(step.select(F.col("dst").alias("id")))
+        step = settle(step.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     paths = step.where("src < dst").select(F.array("src", "dst").alias("path"))
     out = loops
     for _ in range(longest - 1):
@@ -97,3 +113,122 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
         out = out.unionByName(paths.join(step, (last == F.col("src")) & (first == F.col("dst"))).select("path"))
         paths = settle(paths.where(F.size("path") < longest).join(step, last == F.col("src")).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
     return out.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+
+def _adjacent(edges: DataFrame, directed: bool) -> DataFrame:
+    steps = edges.where("src <> dst").select("src", "dst").distinct()
+    return steps if directed else steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 8, directed: bool = True) -> DataFrame:
+    """``step, id, relations``: the nodes of a shortest path in order, the relations that lead to each joined by ``/``; empty if none.
+
+    Steps are taken from both ends in turn, always from the smaller frontier, and end where the two meet; of equal paths the one of smallest
+    predecessors is given. Only what a frontier touches is read from the edges.
+    """
+    spark = edges.sparkSession
+    steps = settle(_adjacent(edges, directed))
+    if start == end:
+        return spark.createDataFrame([(0, start, None)], "step long, id string, relations string")
+    known = [settle(spark.createDataFrame([(x, None, 0)], "id string, parent string, depth int")) for x in (start, end)]
+    front, size, depth = list(known), [1, 1], [0, 0]
+    while sum(depth) < hops and all(size):
+        side = 0 if size[0] <= size[1] else 1
+        here, there = ("src", "dst") if side == 0 else ("dst", "src")
+        new = front[side].select(F.col("id").alias(here)).join(steps, here).groupBy(F.col(there).alias("id")).agg(F.min(here).alias("parent"))
+        depth[side] += 1
+        front[side] = settle(new.join(known[side], "id", "left_anti").withColumn("depth", F.lit(depth[side])))
+        size[side] = front[side].count()
+        known[side] = known[side].unionByName(front[side])
+        met = front[side].select("id").join(known[1 - side], "id", "left_semi").agg(F.min("id")).first()[0]
+        if met is not None:
+            break
+    else:
+        met = None
+    if met is None:
+        return spark.createDataFrame([], "step long, id string, relations string")
+
+    def chain(table: DataFrame, at: str) -> list[str]:
+        out = []
+        while at is not None:
+            out.append(at)
+            at = table.where(F.col("id") == at).select("parent").first()[0]  # a row a step, at most ``hops``
+        return out
+
+    path = chain(known[0], met)[::-1] + chain(known[1], met)[1:]
+    hop = spark.createDataFrame([(k, x, path[k - 1] if k else None) for k, x in enumerate(path)], "step long, id string, before string")
+    ends = [(F.col("src") == F.col("before")) & (F.col("dst") == F.col("id"))] + ([] if directed else [(F.col("dst") == F.col("before")) & (F.col("src") == F.col("id"))])
+    between = hop.where("before is not null").join(edges.select("src", "dst", "relation").distinct(), ends[0] if directed else ends[0] | ends[1])
+    told = between.groupBy("step").agg(F.array_join(F.array_sort(F.collect_set("relation")), "/").alias("relations"))
+    return hop.join(told, "step", "left").select("step", "id", "relations")
+
+
+def dfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, hub: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """``id, depth, place``: what a depth-first walk visits within ``depth`` steps, in order, from the seeds in order of id.
+
+    A node counts as visited when it is taken from the stack, at the depth it was found at then. That order can't be had set by set, so
+    the walk is done in one place, over the edges among what a breadth-first walk reaches; more than ``most`` of them are refused.
+    """
+    spark = edges.sparkSession
+    ball = bfs(edges, seeds, depth, hub=hub).select("id")
+    inner = induced(edges, ball).select("src", "dst").distinct()
+    if hub is not None:
+        hubs = degree(edges).where(F.col("degree") >= hub).select(F.col("id").alias("src")).join(seeds.select(F.col("id").alias("src")), "src", "left_anti")
+        inner = inner.join(hubs, "src", "left_anti")
+    inner = settle(inner)
+    if (n := inner.count()) > most:
+        raise ValueError(f"a depth-first walk over {n} edges is refused; the bound is {most}")
+    after: dict[str, list[str]] = {}
+    for r in inner.collect():
+        after.setdefault(r.src, []).append(r.dst)
+    stack = [(r.id, 0) for r in seeds.select("id").distinct().orderBy(F.desc("id")).collect()]
+    seen: dict[str, int] = {}
+    while stack:
+        at, far = stack.pop()
+        if at in seen or far > depth:
+            continue
+        seen[at] = far
+        stack += [(x, far + 1) for x in sorted(after.get(at, ()), reverse=True) if x not in seen]
+    return spark.createDataFrame([(i, d, k) for k, (i, d) in enumerate(seen.items())], "id string, depth long, place long")
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(``id, score``; ``src, dst, score``): how much of the shortest paths from ``pivots`` (``id``) goes through each node and edge.
+
+    Paths are counted forward level by level for all pivots at once, then dependencies are added up backward; every level is a
+    join and an aggregation keyed by (pivot, node). With all nodes as pivots the scores are exact (each undirected pair counts twice).
+    """
+    steps = settle(_adjacent(edges, directed))
+    front = settle(pivots.select(F.col("id").alias("p"), "id", F.lit(1.0).alias("paths")).distinct())
+    levels, seen = [front], front.select("p", "id")
+    while True:
+        new = front.join(steps, F.col("id") == F.col("src")).groupBy("p", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = settle(new.join(seen, ["p", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("p", "id"))
+    below, flows, sums = None, [], []
+    for upper, lower in reversed(list(zip(levels, levels[1:], strict=False))):
+        lower = lower.withColumn("depends", F.lit(0.0)) if below is None else lower.join(below, ["p", "id"], "left").withColumn("depends", F.coalesce("depends", F.lit(0.0)))
+        to = lower.select("p", F.col("id").alias("dst"), F.col("paths").alias("all"), F.col("depends").alias("after"))
+        flow = upper.join(steps, F.col("id") == F.col("src")).join(to, ["p", "dst"]).select("p", "src", "dst", (F.col("paths") / F.col("all") * (1 + F.col("after"))).alias("flow"))
+        flow = settle(flow)
+        flows.append(flow)
+        below = flow.groupBy("p", F.col("src").alias("id")).agg(F.sum("flow").alias("depends"))
+        sums.append(below.where("p <> id"))
+    if not flows:
+        none = edges.sparkSession.createDataFrame([], "src string, dst string, score double")
+        return none.select(F.col("src").alias("id"), "score"), none
+    nodes, ties = sums[0], flows[0]
+    for x in sums[1:]:
+        nodes = nodes.unionByName(x)
+    for x in flows[1:]:
+        ties = ties.unionByName(x)
+    a, b = (F.col("src"), F.col("dst")) if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+    return nodes.groupBy("id").agg(F.sum("depends").alias("score")), ties.groupBy(a.alias("src"), b.alias("dst")).agg(F.sum("flow").alias("score"))
+
+
+def sampled_pivots(edges: DataFrame, exact: int = 1000, sample: int = 100) -> DataFrame:
+    """All nodes on an edge where there are at most ``exact``, else the ``sample`` of smallest hash."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ids if ids.limit(exact + 1).count() <= exact else ids.orderBy(F.xxhash64(F.lit(42), "id"), "id").limit(sample)

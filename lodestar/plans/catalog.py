@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import community as C
+from ..operators import cluster, federation, rag, symbols, vectors
 from ..operators import documents as D
 from ..operators import entity as E
 from ..operators import graph as G
-from ..operators import rag
 from ..operators import retrieval as R
-from ..operators import symbols
 from ..operators import traverse as V
 from ..sources import corpus
 from ..sources.tables import edges, key, nodes, table
@@ -193,26 +192,27 @@ def resolve_endpoints(spark, sf):
     return G.resolve_endpoints(nodes(spark, sf), raw).select("src", "dst")
 
 
-@register("WITH one AS (SELECT p_name, min('p:'||p_partkey) AS dst FROM part GROUP BY p_name HAVING count(*) = 1) SELECT DISTINCT 'o:'||l_orderkey AS src, dst, 'calls' AS relation, 'INFERRED' AS confidence, 0.85::DOUBLE AS confidence_score FROM lineitem JOIN part ON p_partkey = l_partkey JOIN one USING (p_name)")
+@register("WITH p AS (SELECT *, concat_ws(' ', p_name, p_type, p_brand, CAST(p_size AS VARCHAR)) AS label FROM part), one AS (SELECT label, min('p:'||p_partkey) AS dst FROM p GROUP BY label HAVING count(*) = 1) SELECT DISTINCT 'o:'||l_orderkey AS src, dst, 'calls' AS relation, 'INFERRED' AS confidence, 0.85::DOUBLE AS confidence_score FROM lineitem JOIN p ON p_partkey = l_partkey JOIN one USING (label)")
 def resolve_calls_unique(spark, sf):
-    part = table(spark, sf, "part")
-    calls = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(key("o", "l_orderkey").alias("src"), F.col("p_name").alias("callee"))
-    return G.unique_targets(calls, part.select(key("p", "p_partkey").alias("id"), F.col("p_name").alias("label")))
+    part = table(spark, sf, "part").withColumn("label", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")))
+    calls = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(key("o", "l_orderkey").alias("src"), F.col("label").alias("callee"))
+    return G.unique_targets(calls, part.select(key("p", "p_partkey").alias("id"), "label"))
 
 
-@register("""WITH impl AS (SELECT p_type AS interface, min(p_brand) AS impl FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) = 1), m AS (SELECT p_brand AS type, CAST(p_size AS VARCHAR) AS name, min('p:'||p_partkey) AS "to" FROM part GROUP BY ALL HAVING count(*) = 1)
-SELECT 'i:'||p_partkey AS "from", "to" FROM part JOIN impl ON interface = p_type JOIN m ON m.type = impl AND m.name = CAST(p_size AS VARCHAR)""")
+@register("""WITH p AS (SELECT *, p_name||'/'||p_size AS face, p_type||'/'||p_size AS name FROM part), impl AS (SELECT face, min(p_brand) AS impl FROM p GROUP BY face HAVING count(DISTINCT p_brand) = 1), m AS (SELECT p_brand AS type, name, min('p:'||p_partkey) AS "to" FROM p GROUP BY ALL HAVING count(*) = 1)
+SELECT 'i:'||p_partkey AS "from", "to" FROM p JOIN impl USING (face) JOIN m ON m.type = impl AND m.name = p.name""")
 def interface_dispatch(spark, sf):
     p = table(spark, sf, "part")
-    own = p.select(F.col("p_brand").alias("type"), key("p", "p_partkey").alias("id"), F.col("p_size").cast("string").alias("name"))
-    face = p.select(F.col("p_type").alias("type"), key("i", "p_partkey").alias("id"), F.col("p_size").cast("string").alias("name"))
-    return G.interface_dispatch(p.select(F.col("p_brand").alias("type"), F.col("p_type").alias("interface")), own.unionByName(face))
+    face, name = F.concat_ws("/", "p_name", F.col("p_size").cast("string")), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("name")
+    own = p.select(F.col("p_brand").alias("type"), key("p", "p_partkey").alias("id"), name)
+    faces = p.select(face.alias("type"), key("i", "p_partkey").alias("id"), name)
+    return G.interface_dispatch(p.select(F.col("p_brand").alias("type"), face.alias("interface")), own.unionByName(faces))
 
 
-@register("WITH p AS (SELECT DISTINCT 'n'||s_nationkey AS provider, CAST(l_partkey AS VARCHAR) AS key FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT DISTINCT 'n'||c_nationkey AS repo, CAST(l_partkey AS VARCHAR) AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) SELECT repo, key, min(provider) AS provider FROM n JOIN p USING (key) WHERE repo <> provider GROUP BY repo, key HAVING count(*) = 1")
+@register("WITH p AS (SELECT DISTINCT 'n'||s_nationkey AS provider, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT DISTINCT 'n'||c_nationkey AS repo, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) SELECT repo, key, min(provider) AS provider FROM n JOIN p USING (key) WHERE repo <> provider GROUP BY repo, key HAVING count(*) = 1")
 def package_links(spark, sf):
     li = table(spark, sf, "lineitem")
-    k = F.col("l_partkey").cast("string").alias("key")
+    k = F.col("l_orderkey").cast("string").alias("key")
     provides = li.join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("repo"), k)
     o = li.join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return G.package_links(o.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repo"), k), provides)
@@ -287,10 +287,10 @@ def find_node_tiers(spark, sf):
     return R.tiers(nodes(spark, sf), "Customer#00000001")
 
 
-@register("SELECT p_name AS name, 'p:'||p_partkey AS id, CAST(CASE WHEN lower(p_name) = 'part' THEN 0 WHEN lower(p_name) LIKE 'part%' THEN 1 ELSE 2 END AS BIGINT) AS rank FROM part WHERE lower(p_name) LIKE '%part%'")
+@register("SELECT p_name AS name, 'p:'||p_partkey AS id, CAST(CASE WHEN lower(p_name) = 'widget' THEN 0 WHEN lower(p_name) LIKE 'widget%' THEN 1 ELSE 2 END AS BIGINT) AS rank FROM part WHERE lower(p_name) LIKE '%widget%' ORDER BY rank, name, id LIMIT 200")
 def symbol_search(spark, sf):
-    n = F.lower("p_name")
-    return table(spark, sf, "part").where(n.contains("part")).select(F.col("p_name").alias("name"), key("p", "p_partkey").alias("id"), F.when(n == "part", 0).when(n.startswith("part"), 1).otherwise(2).cast("long").alias("rank"))
+    own = table(spark, sf, "part").select(F.col("p_name").alias("name"), key("p", "p_partkey").alias("id"))
+    return symbols.search(own, "Widget").select("name", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @register(_sql("SELECT label, count(*) AS n, count(DISTINCT source_file) AS files, min(id) AS first_id FROM nodes GROUP BY label HAVING count(DISTINCT source_file) > 1"))
@@ -392,11 +392,9 @@ def import_cycles(spark, sf):
     return V.cycles(_files(spark, sf))
 
 
-@register("""WITH RECURSIVE e AS (SELECT 'c:'||c_custkey AS a, 'n:'||c_nationkey AS b FROM customer UNION ALL SELECT 's:'||s_suppkey, 'n:'||s_nationkey FROM supplier UNION ALL SELECT 'n:'||n_nationkey, 'r:'||n_regionkey FROM nation),
-st AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT 'r:'||r_regionkey AS id, r_regionkey AS root FROM region UNION SELECT b, root FROM w JOIN st ON a = id),
-c AS (SELECT root, min(id) AS component FROM w GROUP BY root) SELECT DISTINCT id, component FROM w JOIN c USING (root)""")
+@register(_sql("SELECT DISTINCT id, component FROM w JOIN c USING (root)", "st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT DISTINCT dst, src FROM edges WHERE src <> dst), w AS (SELECT 'r:'||r_regionkey AS id, r_regionkey AS root FROM region UNION SELECT b, root FROM w JOIN st ON a = id), c AS (SELECT root, min(id) AS component FROM w GROUP BY root)", True))
 def components(spark, sf):
-    return V.components(edges(spark, sf).where("relation in ('in_region', 'located_in')"))
+    return V.components(edges(spark, sf))
 
 
 # --- communities
@@ -412,9 +410,9 @@ def hub_labels(spark, sf):
     return C.hub_labels(nodes(spark, sf), edges(spark, sf))
 
 
-@register(_sql("SELECT community, count(*) AS n, substr(sha256(string_agg(id || chr(0), '' ORDER BY id)), 1, 16) AS signature FROM nodes WHERE community IS NOT NULL AND file_type = 'document' GROUP BY community"))
+@register(_sql("SELECT community, count(*) AS n, substr(sha256(string_agg(id || chr(0), '' ORDER BY id)), 1, 16) AS signature FROM nodes WHERE community IS NOT NULL GROUP BY community"))
 def community_sigs(spark, sf):
-    return C.signatures(nodes(spark, sf).where("file_type = 'document'"))
+    return C.signatures(nodes(spark, sf))
 
 
 _X = "x AS (SELECT e.*, s.community AS sc, d.community AS dc, s.source_file AS sf, d.source_file AS df, s.file_type AS st, d.file_type AS dt FROM edges e JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst)"
@@ -441,9 +439,12 @@ def isolated_nodes(spark, sf):
     return C.isolated(nodes(spark, sf), edges(spark, sf))
 
 
-@register(_sql(f"SELECT community, count(*) FILTER ({FILE}) AS n FROM nodes WHERE community IS NOT NULL AND file_type = 'document' GROUP BY community HAVING count(*) FILTER ({FILE}) < 30"))
+@register(_sql(f"SELECT community, count(*) FILTER ({FILE}) AS n FROM nodes WHERE community IS NOT NULL GROUP BY community HAVING count(*) FILTER ({FILE}) < (SELECT count(*) FILTER ({FILE}) / count(DISTINCT community) FROM nodes WHERE community IS NOT NULL)"))
 def thin_communities(spark, sf):
-    return C.thin(nodes(spark, sf).where("file_type = 'document'"), 30)
+    """Thin here: below the mean."""
+    n = nodes(spark, sf).where("community is not null")
+    mean = n.agg(F.count_if(~G.is_concept(F.col("source_file"))) / F.countDistinct("community")).first()[0]
+    return C.thin(n, mean)
 
 
 @register(_sql("SELECT community, CAST(sum(n) AS BIGINT) AS crossing, count(*) AS neighbours, rank() OVER (ORDER BY sum(n) DESC) AS rank FROM (SELECT least(sc, dc) AS a, greatest(sc, dc) AS b, count(*) AS n FROM x WHERE sc <> dc GROUP BY 1, 2), LATERAL (SELECT unnest([a, b]) AS community) GROUP BY community", _X))
@@ -478,12 +479,18 @@ def shingles(spark, sf):
 _BLOCK = f"n AS (SELECT 'c:'||c_custkey AS id, trim(regexp_replace(lower(c_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm, c_nationkey||'|'||c_mktsegment AS block FROM customer)"
 
 
-@register(f"WITH {_BLOCK} SELECT a.id AS a, b.id AS b, round(jaro_winkler_similarity(a.norm, b.norm), 6) AS score FROM n a JOIN n b ON a.block = b.block AND a.id < b.id AND a.norm <> b.norm WHERE round(jaro_winkler_similarity(a.norm, b.norm), 6) >= 0.97")
+_LABELS = "l AS (SELECT min(doc_id) AS id, norm FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents) WHERE length(norm) >= 12 GROUP BY norm), d AS (SELECT *, list_sort(list_transform(regexp_extract_all(norm, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))) AS digits FROM l)"
+
+
+def _labels(spark, sf):
+    norm = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]+", " "))  # DuckDB compares bytes
+    return table(spark, sf, "documents").select("doc_id", norm.alias("norm")).where(F.length("norm") >= 12).groupBy("norm").agg(F.min("doc_id").alias("id"))
+
+
+@register(f"WITH {_LABELS} SELECT x.id AS a, y.id AS b, round(jaro_winkler_similarity(x.norm, y.norm), 6) AS score FROM d x JOIN d y ON substr(x.norm, 1, 8) = substr(y.norm, 1, 8) AND x.id < y.id AND x.digits = y.digits WHERE round(jaro_winkler_similarity(x.norm, y.norm), 6) >= 0.9")
 def fuzzy_pairs(spark, sf):
-    c = table(spark, sf, "customer")
-    own = c.select(key("c", "c_custkey").alias("id"), X.norm_label(F.col("c_name")).alias("norm"), F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("block"))
-    pairs = E.shared_block(own, F.col("block"))
-    return pairs.select("a", "b", F.round(E.jaro_winkler("na", "nb"), 6).alias("score")).where("score >= 0.97")
+    """Labels of documents that begin alike; blocks of eight characters are small by nature."""
+    return E.fuzzy_pairs(_labels(spark, sf), F.left("norm", F.lit(8)), 0.9)
 
 
 @register("WITH d AS (SELECT 'c:'||c_custkey AS id, list_sort(list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))) AS digits FROM customer) SELECT array_to_string(digits, ',') AS digits, count(*) AS n, min(id) AS first_id FROM d GROUP BY ALL")
@@ -499,8 +506,7 @@ def exact_label_merge(spark, sf):
 
 @register()
 def minhash_candidates(spark, sf):
-    own = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), X.norm_label(F.col("c_name")).alias("norm"))
-    return E.minhash_bands(own).groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    return E.candidates(_labels(spark, sf))
 
 
 # --- documents, memory, chat
@@ -511,9 +517,14 @@ def doc_word_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+")).cast("long").alias("words"))
 
 
-@register()
+_B = "[\\x20\\x09-\\x0D]"
+_CHUNKS = f"""t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^{_B}+', ''), '{_B}+$', '') AS body FROM documents), u AS (SELECT *, length(body) AS n FROM t),
+cut AS (SELECT doc_id, body, n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, CAST(0 AS BIGINT) AS nxt FROM u WHERE n > 0 UNION ALL SELECT doc_id, body, n, start, stop, CASE WHEN stop >= n THEN n ELSE aft + length(regexp_extract(substr(body, aft + 1), '^{_B}+')) END FROM (SELECT *, greatest(stop - 200, start + 1) AS aft FROM (SELECT doc_id, body, n, nxt AS start, CASE WHEN hard < n AND back > 0 AND hard + 1 - back > nxt + 200 THEN hard + 1 - back ELSE hard END AS stop FROM (SELECT *, instr(reverse(substr(body, nxt + 2, hard - nxt)), ' ') AS back FROM (SELECT *, least(nxt + 2000, n) AS hard FROM cut WHERE nxt < n)))))"""
+
+
+@register(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, start, stop AS \"end\", md5(regexp_replace(regexp_replace(substr(body, start + 1, stop - start), '^{_B}+', ''), '{_B}+$', '')) AS chunk, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS seq FROM cut WHERE stop > 0")
 def chunk_documents(spark, sf):
-    return D.chunk(table(spark, sf, "documents"))
+    return D.chunk(table(spark, sf, "documents")).withColumn("chunk", F.md5("chunk"))
 
 
 @register("SELECT doc_id, CAST(i AS BIGINT) AS seq, CAST(i * 2000 AS BIGINT) AS start, CAST(least((i + 1) * 2000, n) AS BIGINT) AS \"end\" FROM (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)")
@@ -600,17 +611,25 @@ def stage_counts(spark, sf):
     return rag.verified(d, d.groupBy("source_id").agg(F.count_if(F.col("lang") == "en").alias("expected")))
 
 
-@register("SELECT conv_id AS answer_id, count(*) AS unresolved FROM conversations WHERE turn NOT IN (SELECT item_id FROM benchmark) GROUP BY conv_id")
+@register("SELECT conv_id AS answer_id, count(*) AS unresolved FROM conversations WHERE conv_id * 7 + turn NOT IN (SELECT item_id FROM benchmark) GROUP BY conv_id")
 def citation_check(spark, sf):
-    cited = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("cited"))
+    cited = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), (F.col("conv_id") * 7 + F.col("turn")).alias("cited"))
     return rag.unresolved_citations(cited, table(spark, sf, "benchmark").select(F.col("item_id").alias("id")))
 
 
-@register(_sql("SELECT 'a::'||id AS id, 'a' AS repo, label FROM nodes WHERE file_type = 'code' UNION ALL SELECT 'b::'||id, 'b', label FROM nodes WHERE file_type = 'document'"))
+@register(_sql("SELECT 'a::'||src AS src, 'a::'||dst AS dst, relation, count(*) AS n FROM edges WHERE relation IN ('in_region', 'located_in') GROUP BY ALL UNION ALL SELECT 'b::'||src, 'b::'||dst, relation, count(*) FROM edges WHERE relation NOT IN ('in_region', 'located_in') GROUP BY ALL"))
 def merge_graphs(spark, sf):
-    n = nodes(spark, sf)
-    both = rag.retag(n.where("file_type = 'code'"), "a").unionByName(rag.retag(n.where("file_type = 'document'"), "b"))
-    return both.select("id", "repo", "label")
+    n, e = nodes(spark, sf), edges(spark, sf)
+    own = F.col("relation").isin("in_region", "located_in")
+    _, both = federation.merge_graphs([("a", n.where("file_type = 'code'"), e.where(own)), ("b", n, e.where(~own))])
+    return both.groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
+
+
+@register(_sql("SELECT 'a::'||id AS id, 'a' AS repo, label, community FROM nodes WHERE file_type = 'code' UNION ALL SELECT 'b::'||id, 'b', label, community + (SELECT max(community) + 1 FROM nodes WHERE file_type = 'code') FROM nodes"))
+def merge_graph_nodes(spark, sf):
+    n, e = nodes(spark, sf), edges(spark, sf)
+    both, _ = federation.merge_graphs([("a", n.where("file_type = 'code'"), e), ("b", n, e)])
+    return both.select("id", "repo", "label", "community")
 
 
 @register(_sql("SELECT s.community AS a, d.community AS b, relation, count(*) AS n FROM edges LEFT JOIN nodes s ON s.id = src LEFT JOIN nodes d ON d.id = dst GROUP BY ALL"))
@@ -643,23 +662,48 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").groupBy(F.col("source").alias("scope"), "lang").agg(F.count("*").alias("files"), F.sum(F.floor(F.length("text") / 4)).alias("tokens"))
 
 
-@register("WITH b AS (SELECT c_nationkey AS old, c_custkey % 25 AS new, count(*) AS overlap FROM customer GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY overlap DESC, old, new) AS x, row_number() OVER (PARTITION BY new ORDER BY overlap DESC, old, new) AS y FROM b) SELECT CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, overlap FROM r WHERE x = 1 AND y = 1")
+_PAIRS = "pairs AS (SELECT old, new, count(*) AS n FROM x GROUP BY ALL)"
+_GREEDY = f"""WITH RECURSIVE x AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS old, c_custkey % 31 AS new FROM customer), {_PAIRS},
+r AS (SELECT 0 AS k, []::BIGINT[] AS uo, []::BIGINT[] AS un, NULL::BIGINT AS o, NULL::BIGINT AS w UNION ALL SELECT k + 1, list_append(uo, best.b), list_append(un, best.c), best.b, best.c FROM (SELECT k, any_value(uo) AS uo, any_value(un) AS un, min(struct_pack(a := -p.n, b := p.old, c := p.new)) AS best FROM r, pairs p WHERE NOT list_contains(uo, p.old) AND NOT list_contains(un, p.new) GROUP BY k)),
+got AS (SELECT w AS new, o AS number FROM r WHERE w IS NOT NULL),
+fresh AS (SELECT new, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS place FROM x WHERE new NOT IN (SELECT new FROM got) GROUP BY new),
+free AS (SELECT i AS number, row_number() OVER (ORDER BY i) AS place FROM range(31) t(i) WHERE i NOT IN (SELECT number FROM got))
+SELECT id, number AS community FROM x JOIN (SELECT * FROM got UNION ALL SELECT new, number FROM fresh JOIN free USING (place)) USING (new)"""
+
+
+@register(_GREEDY)
 def stable_ids(spark, sf):
     c = table(spark, sf, "customer")
-    a = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("community"))
-    return rag.match_communities(a, c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 25).alias("community")))
+    old = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("community"))
+    return cluster.stable(c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 31).alias("community")), old)
+
 
+_QUESTIONS = """SELECT 'ambiguous' AS kind, concat_ws(' ', src, relation, dst) AS about, count(*) AS n FROM edges WHERE confidence = 'AMBIGUOUS' GROUP BY src, dst, relation HAVING count(*) > 1
+UNION ALL SELECT 'inferred', id, count(*) FROM (SELECT id FROM nodes JOIN deg USING (id) ORDER BY degree DESC, id LIMIT 5) JOIN edges ON id IN (src, dst) WHERE confidence = 'INFERRED' GROUP BY id HAVING count(*) >= 2
+UNION ALL SELECT 'isolated', 'nodes', count(*) FROM nodes LEFT JOIN deg USING (id) WHERE coalesce(degree, 0) <= 1
+UNION ALL SELECT 'loose', CAST(community AS VARCHAR), n FROM (SELECT community, count(*) AS n FROM nodes WHERE community IS NOT NULL GROUP BY community HAVING count(*) >= 5) LEFT JOIN (SELECT x.community, count(*) AS k FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst) e JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst WHERE x.community = y.community GROUP BY 1) USING (community) WHERE coalesce(k, 0) / (n * (n - 1) / 2.0::DOUBLE) < 0.15"""
 
-@register(_sql("SELECT src, dst, relation, count(*) AS n FROM edges WHERE confidence = 'AMBIGUOUS' GROUP BY src, dst, relation HAVING count(*) > 1"))
+
+@register(_sql(_QUESTIONS))
 def suggested_questions(spark, sf):
-    """Ambiguous links that several rows assert: the first generator of questions."""
-    return edges(spark, sf).where("confidence = 'AMBIGUOUS'").groupBy("src", "dst", "relation").agg(F.count("*").alias("n")).where("n > 1")
+    """All generators but that of bridges, whose betweenness has its own query."""
+    return C.questions(nodes(spark, sf), edges(spark, sf))
 
 
-@register()
+def _embed_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in vectors.STOP)
+    cut = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND strlen(w) - {len(e)} >= 3 THEN left(w, -{len(e)})" for e in vectors.ENDINGS) + " ELSE w END"
+    return f"""WITH t AS (SELECT doc_id, list_transform(list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 2 AND NOT list_contains([{stop}], w)), lambda w: {cut}), lambda w: CASE WHEN ends_with(w, 'e') AND strlen(w) > 3 THEN left(w, -1) ELSE w END) AS k FROM documents),
+each AS (SELECT doc_id, unnest(k) AS tok FROM t),
+f AS (SELECT doc_id, tok AS f, 1.0::DOUBLE AS w FROM each UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])), 1.0 FROM t UNION ALL SELECT doc_id, '#' || substr(tok, i, 3), 0.25 FROM (SELECT doc_id, tok, unnest(range(1, length(tok) - 1)) AS i FROM each WHERE strlen(tok) >= 4)),
+h AS (SELECT f, list_reduce(list_prepend(CAST({vectors.START} AS BIGINT), list_transform(range(0, strlen(f)), lambda i: CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT))), lambda x, y: (xor(x, y) * {vectors.FACTOR}) % 4294967296) % 512 AS bucket FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT doc_id, bucket, 1 + ln(sum(w)) AS w FROM f JOIN h USING (f) GROUP BY ALL)
+SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM b"""
+
+
+@register(_embed_sql())
 def embed_documents(spark, sf):
-    v = table(spark, sf, "benchmark").select("item_id", symbols.embed("text").alias("v"))
-    return v.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return vectors.weights(table(spark, sf, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 @register(_sql("SELECT community, intra, degree, round(2.0::DOUBLE * intra / m2 - power(degree / m2, 2), 9) AS q FROM (SELECT c AS community, CAST(sum(i) AS BIGINT) AS intra, count(*) AS degree, sum(count(*)) OVER () AS m2 FROM (SELECT sc AS c, CASE WHEN sc = dc THEN 1 ELSE 0 END AS i FROM x WHERE sc IS NOT NULL AND dc IS NOT NULL UNION ALL SELECT dc, 0 FROM x WHERE sc IS NOT NULL AND dc IS NOT NULL) GROUP BY c)", _X))
@@ -669,7 +713,7 @@ def modularity(spark, sf):
 
 @register()
 def label_propagation(spark, sf):
-    return C.propagate(edges(spark, sf).where("relation in ('in_region', 'located_in', 'placed_by')"))
+    return C.propagate(edges(spark, sf))
 
 
-from . import upkeep  # noqa: E402,F401  registers its queries in the tables above
+from . import more, upkeep  # noqa: E402,F401  register their queries in the tables above

@@ -114,10 +114,10 @@ def topology_compare(spark, sf):
     return U.same_topology(e.where("o_orderstatus <> 'F'"), e.where("o_orderstatus <> 'P'"), ["src", "dst"])
 
 
-@register("SELECT doc_id, len(m) > 0 AND len(list_filter(m, lambda x: contains(lower(text), x))) = 0 AS unverified FROM (SELECT doc_id, d.text, regexp_extract_all(lower(b.text), '[a-z_][a-z0-9_]{3,}') AS m FROM documents d JOIN benchmark b ON item_id = doc_id)")
+@register("SELECT doc_id, len(m) > 0 AND len(list_filter(m, lambda x: contains(lower(text), x))) = 0 AS unverified FROM (SELECT doc_id, d.text, regexp_extract_all(lower(b.text), '[a-z_][a-z0-9_]{3,}') AS m FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark))")
 def evidence_binding(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("label"))
-    return table(spark, sf, "documents").join(b, "doc_id").select("doc_id", U.unverified(F.col("label"), F.col("text")).alias("unverified"))
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("label"))
+    return table(spark, sf, "documents").join(b, F.col("doc_id") % b.count() == F.col("item_id")).select("doc_id", U.unverified(F.col("label"), F.col("text")).alias("unverified"))
 
 
 @register("SELECT doc_id, CAST(i AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(2, 5)) AS i FROM documents) WHERE i <= len(l)")

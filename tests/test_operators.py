@@ -1,6 +1,7 @@
 """Operators on the reference-style edge cases: self-loops, reversed twins, dangling ends, isolated nodes, empty tables."""
 
 import datetime
+import random
 
 from lodestar.functions import text as X
 from lodestar.operators import community as C
@@ -66,19 +67,43 @@ def test_jaro_winkler_known_values():
     assert E.winkler("abc", "xyz") == 0.0
 
 
-def test_chunks_overlap_and_cover():
-    text = "word " * 1000
-    spans = D.cut(text, 200, 20)
-    assert spans[0][0] == 0 and spans[-1][1] == len(text)
-    assert all(b - a <= 200 for a, b in spans) and all(c < b for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
-    assert D.cut("", 10, 2) == [] and D.cut("   ", 10, 2) == []
-    assert D.cut("x" * 25, 10, 2)[-1][1] == 25
-
-
-def test_python_symbols(spark):
-    src = "import os\nclass A:\n    def m(self):\n        pass\ndef f():\n    pass\n"
-    df = spark.createDataFrame([("a.py", src), ("bad.py", "def ("), ("none.py", None)], "path string, content string")
-    assert {(r.kind, r.name, r.line) for r in D.python_symbols(df).collect()} == {("import", "os", 1), ("class", "A", 2), ("method", "m", 3), ("function", "f", 5)}
+def test_chunks_overlap_and_cover(spark):
+    rnd = random.Random(2)
+    texts = ["word " * 1000, "x" * 725, "", "  \n", None, " " * 30 + "a b" + " " * 300 + "c" * 90 + " d" * 200, "".join(rnd.choice("ab  é\n") for _ in range(3000)), "a" * 200, "a" * 199 + " b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in D.chunk(docs, 200, 20).collect():
+        got.setdefault(r.doc_id, []).append((r.seq, r.start, r.end, r.chunk))
+    blank = " \t\n\x0b\x0c\r"
+    for i, t in enumerate(texts):
+        body, want, at = (t or "").strip(blank), [], 0
+        while at < len(body):  # the rule read literally
+            stop = min(at + 200, len(body))
+            cut = max((k for k in range(at + 1, stop + 1) if body[k : k + 1] == " "), default=-1) if stop < len(body) else -1
+            end = cut if cut > at + 20 else stop
+            if piece := body[at:end].strip(blank):
+                want.append((len(want), at, end, piece))
+            if end >= len(body):
+                break
+            at = max(end - 20, at + 1)
+            while at < len(body) and body[at] in blank:
+                at += 1
+        assert sorted(got.get(i, [])) == want, i
+
+
+def test_pack(spark):
+    rnd = random.Random(4)
+    files = [(f"d{rnd.randrange(3)}/{k:03}", rnd.randint(1, 900), rnd.random() < 0.2) for k in range(120)]
+    got = {r.path: (r.directory, r.pack) for r in D.pack(spark.createDataFrame(files, "path string, tokens long, is_image boolean"), 1000, 2).collect()}
+    packs = {}
+    for path, tokens, image in files:
+        packs.setdefault(got[path], []).append((path, tokens, image))
+    assert len(got) == len(files)
+    for (folder, k), own in packs.items():
+        assert all(p.startswith(folder) for p, _, _ in own) and (sum(t for _, t, _ in own) <= 1000 or len(own) == 1) and sum(i for _, _, i in own) <= 2
+        if (folder, k + 1) in packs:  # the next file did not fit
+            _, t, i = min(packs[folder, k + 1])
+            assert sum(x for _, x, _ in own) + t > 1000 or sum(x for _, _, x in own) + i > 2
 
 
 def test_cohesion_of_single_and_pair(spark):
