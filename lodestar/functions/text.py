@@ -66,3 +66,38 @@ def path_stems(path: Column) -> Column:
 def parse_time(x: Column) -> Column:
     """An ISO time, UTC where it names no zone; null if it can't be read."""
     return F.try_to_timestamp(F.regexp_replace(x, r"Z$", "+00:00"))
+
+
+#: What becomes of a page's tags, in order: (pattern, replacement).
+MARKDOWN = (
+    (r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "),
+    (r"(?is)<!--.*?-->", " "),
+    (r"(?is)<h1[^>]*>", "\n\n# "),
+    (r"(?is)<h2[^>]*>", "\n\n## "),
+    (r"(?is)<h[3-6][^>]*>", "\n\n### "),
+    (r"(?is)<li[^>]*>", "\n- "),
+    (r"(?is)</?(?:strong|b)>", "**"),
+    (r"(?is)</?(?:em|i)>", "*"),
+    (r"(?is)</?code>", "`"),
+    (r"(?is)<br[^>]*>", "\n"),
+    (r"(?is)</(?:h[1-6]|p|div|ul|ol|table|tr|title)>", "\n\n"),
+    (r"(?s)<[^>]+>", " "),
+    (r"[ \t\r]+", " "),
+    (r" ?\n ?", "\n"),
+    (r"\n{3,}", "\n\n"),
+)
+LINK = r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+
+
+def html_to_markdown(html: Column) -> Column:
+    """Headings, lists, links, emphasis and code as Markdown; other tags become blanks, blanks and empty lines collapse."""
+    x = F.regexp_replace(html, LINK, "[$2]($1)")
+    for rx, to in MARKDOWN:
+        x = F.regexp_replace(x, rx, to)
+    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+
+
+def front_matter(url: Column, title: Column, kind: Column, body: Column) -> Column:
+    """A document with a head of what it is and where it comes from; quotes in values are escaped."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.concat(F.lit("---\nsource_url: "), quoted(url), F.lit("\ntitle: "), quoted(title), F.lit("\ntype: "), kind, F.lit("\n---\n\n"), body)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Relations that never replace a specific one, and labels too common to rank.
 GENERIC = ("references", "uses", "mentions")
 PLUMBING = ("imports", "imports_from", "contains", "method")
+JSON_KEYS = ("start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -30,9 +31,20 @@ def is_file(label: Column, path: Column, deg: Column) -> Column:
     return (label == last_segment(path)) | (label.startswith(".") & label.endswith("()")) | (label.endswith("()") & (deg <= 1))
 
 
+def is_json_key(label: Column, path: Column) -> Column:
+    """A key that any JSON file may have."""
+    return F.lower(F.coalesce(path, F.lit(""))).endswith(".json") & F.lower(F.trim(label)).isin(*JSON_KEYS)
+
+
+def prune_repo(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without the nodes of a repo and the edges at them."""
+    left = nodes.where(~F.col("repo").eqNullSafe(repo))
+    return left, prune_dangling(left, edges)
+
+
 def god_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10, noise: tuple[str, ...] = ()) -> DataFrame:
     """The ``k`` real entities of highest degree; ties by id."""
-    d = nodes.join(degree(edges), "id").where(~is_concept(F.col("source_file")) & ~is_file(F.col("label"), F.col("source_file"), F.col("degree")))
+    d = nodes.join(degree(edges), "id").where(~is_concept(F.col("source_file")) & ~is_file(F.col("label"), F.col("source_file"), F.col("degree")) & ~is_json_key(F.col("label"), F.col("source_file")))
     return d.where(~F.col("label").isin(*noise) if noise else F.lit(True)).select("id", "label", "degree").orderBy(F.desc("degree"), "id").limit(k)
 
 
@@ -169,7 +181,3 @@ def shared_types(types: DataFrame) -> DataFrame:
     """Pairs of equal (namespace, label) in different repos, in order of id."""
     a, b = types.alias("a"), types.alias("b")
     return a.join(b, (F.col("a.namespace") == F.col("b.namespace")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.repo") != F.col("b.repo"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
-
-def number_first(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cluster, envelope, federation, lifecycle, question, symbols
+from ..operators import cluster, envelope, federation, lifecycle, prs, question, symbols
 from ..operators import documents as D
 from ..operators import entity as E
 from ..operators import traverse as V
-from ..sources import manifests
+from ..sources import manifests, notes
 from ..sources.tables import edges, key, nodes, table
 from .catalog import _sql, register
 
@@ -186,3 +186,24 @@ def publish_report(spark, sf):
     first = d.agg(F.min("source_id")).first()[0]
     expected = new.groupBy("source_id").agg(F.count("*").alias("n")).select("source_id", (F.col("n") + (F.col("source_id") == first).cast("int")).alias("expected"))
     return lifecycle.run_source(d, new, expected)[1].select("source_id", "action", "ok")
+
+
+def _markdown_sql() -> str:
+    quote = lambda x: x.replace("'", "''")
+    out = f"regexp_replace(html, '{X.LINK}', '[\\2](\\1)', 'g')"
+    for rx, to in X.MARKDOWN:
+        to = to.replace("\n", "' || chr(10) || '")
+        out = f"regexp_replace({out}, '{quote(rx)}', '{to}', 'g')"
+    return f"regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+@register(f"SELECT page_id, 'web' AS kind, md5('---' || chr(10) || 'source_url: \"' || url || '\"' || chr(10) || 'title: \"' || replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\', '\\\\'), '\"', '\\\"') || '\"' || chr(10) || 'type: web' || chr(10) || '---' || chr(10) || chr(10) || {_markdown_sql()}) AS text FROM pages")
+def html_to_markdown(spark, sf):
+    return notes.page_documents(table(spark, sf, "pages")).withColumn("text", F.md5("text"))
+
+
+@register(_sql("SELECT number, count(*) AS n_nodes, list_sort(list(DISTINCT community) FILTER (community IS NOT NULL)) AS communities FROM (SELECT DISTINCT number, source_file FROM (SELECT c_nationkey AS number, c_mktsegment || '.tbl' AS path FROM customer UNION SELECT 100, 'orders/1-URGENT.tbl') f JOIN nodes ON source_file = path OR ends_with(source_file, '/' || path) OR ends_with(path, '/' || source_file)) JOIN nodes USING (source_file) GROUP BY number"))
+def pr_impact_paths(spark, sf):
+    files = table(spark, sf, "customer").select(F.col("c_nationkey").alias("number"), F.concat("c_mktsegment", F.lit(".tbl")).alias("path")).distinct()
+    files = files.unionByName(spark.createDataFrame([(100, "orders/1-URGENT.tbl")], "number int, path string"))
+    return prs.impact(files, nodes(spark, sf))

@@ -10,17 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File categories by suffix.
-CODE = ("py", "js", "ts", "tsx", "go", "rs", "java", "c", "h", "cpp", "rb", "cs", "kt", "scala", "php", "lua", "swift", "sql", "sh", "tf", "json")
-DOCUMENT = ("md", "txt", "rst", "html", "docx", "xlsx")
+CODE = tuple(
+    "py ts tsx mts cts js jsx mjs cjs ejs ets go rs java groovy gradle cpp cc cxx c h hpp cu cuh metal rb rake swift kt kts cs scala php lua luau toc zig "
+    "ps1 psm1 psd1 ex exs m mm ml mli jl vue svelte astro dart v sv svh sql r f f90 f95 f03 f08 pas pp dpr dpk lpr inc dfm lfm lpk sh bash json tf tfvars hcl "
+    "dm dme dmi dmm dmf sln slnx csproj fsproj vbproj xaml razor cshtml cls trigger lisp cl lsp asd".split()
+)
+DOCUMENT = ("md", "mdx", "qmd", "skill", "txt", "rst", "html", "yaml", "yml", "docx", "xlsx")
 PAPER = ("pdf",)
-IMAGE = ("png", "jpg", "jpeg", "gif", "svg", "webp")
-VIDEO = ("mp4", "mov", "mkv", "webm", "mp3", "wav")
-#: Names of files that hold credentials, and directories that hold no sources.
-SENSITIVE = r"(?i)(^|/)(\.env(\..*)?|id_rsa|id_ed25519|\.netrc|\.pgpass|credentials?(\.json)?|secrets?\.(ya?ml|json|toml)|.*\.(pem|key|p12|pfx|keystore))$"
-TEMPLATE = r"(?i)\.(example|sample|template|dist)$"
-NOISE = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", "coverage")
-#: Signs of a paper in the first 3000 characters.
-PAPER_SIGNS = (r"(?i)\babstract\b", r"(?i)\barxiv\b", r"(?i)\bdoi\b", r"(?i)\breferences\b", r"(?i)\bwe propose\b", r"\[\d+\]", r"(?i)\bet al\.")
+IMAGE = ("png", "jpg", "jpeg", "gif", "webp", "svg")
+VIDEO = ("mp4", "mov", "webm", "mkv", "avi", "m4v", "mp3", "wav", "m4a", "ogg")
+#: Folders of credentials, folders that may be such, names and words of files that hold them, formats that are prose or data.
+STORES = (".ssh", ".gnupg", ".aws", ".gcloud")
+PERHAPS = ("secrets", "credentials")
+SENSITIVE = r"(?i)(^|/)(\.env(\..*)?|\.envrc(\..*)?|id_rsa|id_dsa|id_ecdsa|id_ed25519|\.netrc|\.pgpass|\.htpasswd|\.npmrc|\.pypirc|\.git-credentials|\.boto|secring(\.(gpg|pgp))?|.*\.(pem|key|p12|pfx|keystore|jks))$"
+TEMPLATE = r"(?i)(^|/)\.(env|envrc)\..*(example|sample|template|dist)$"
+KEYWORD = r"(?i)(?<![a-zA-Z0-9])(?:(?:credential|secret|passwd|password|private_key)s?|tokens?|service[._-]?account)(?![a-zA-Z])"
+PROSE = ("md", "markdown", "rst", "org", "adoc", "tex")
+DATA = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "config", "xml", "properties", "env", "txt", "tfvars")
+#: Folders without sources; those that only are so if they hold such a file.
+NOISE = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "site-packages")
+MARKED = {"env": r"(pyvenv\.cfg|bin/activate|conda-meta/.*)", "coverage": r"(lcov\.info|lcov-report/.*|coverage-final\.json|clover\.xml)", "snapshots": r"[^/]*\.snap"}
+#: Signs of a paper in the first 3000 characters, and how many make one.
+PAPER_SIGNS = (r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b")
+#: Words below which a graph is hardly needed, words and files above which it is costly.
+FEW_WORDS, MANY_WORDS, MANY_FILES = 50_000, 500_000, 500
 
 
 def suffix(path: Column) -> Column:
@@ -41,7 +54,7 @@ def category(path: Column, text: Column) -> Column:
     shebang = (s == "") & text.startswith("#!")
     return (
         F.when(s.isin(*CODE) | shebang, "code")
-        .when(s.isin(*PAPER) | (s.isin("md", "txt", "rst") & F.coalesce(looks_like_paper(text), F.lit(False))), "paper")
+        .when(s.isin(*PAPER) | (s.isin("md", "mdx", "txt", "rst") & F.coalesce(looks_like_paper(text), F.lit(False))), "paper")
         .when(s.isin(*IMAGE), "image")
         .when(s.isin(*VIDEO), "video")
         .when(s.isin(*DOCUMENT), "document")
@@ -49,24 +62,78 @@ def category(path: Column, text: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    return path.rlike(SENSITIVE) & ~path.rlike(TEMPLATE)
+    """Whether a file is likely to hold credentials: by its folder, by its name, or by a word that names its content.
+
+    Such a word counts if it ends the name or the name has at most two words. Source code passes the last test and that of folders which
+    only may be stores; notes of several words pass the last.
+    """
+    parts = F.split(path, "/")
+    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.lower(x))
+    name, kind = F.element_at(parts, -1), suffix(path)
+    source = kind.isin(*[c for c in CODE if c not in DATA])
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"^\.+(?=.)", "")
+    few = F.size(F.filter(F.split(stem, r"[-_\s.]+"), lambda w: w != "")) <= 2
+    named = stem.rlike(KEYWORD) & (stem.rlike(KEYWORD + "$") | few)
+    note = kind.isin(*PROSE) & ~stem.rlike("^" + KEYWORD + "$")
+    stores = F.arrays_overlap(folders, F.array(*map(F.lit, STORES)))
+    perhaps = F.arrays_overlap(folders, F.array(*map(F.lit, PERHAPS))) & ~source
+    return stores | perhaps | (path.rlike(SENSITIVE) & ~path.rlike(TEMPLATE)) | (named & ~source & ~note)
 
 
 def is_noise(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, NOISE)))
+    """Whether a path lies in a folder of caches, dependencies or environments."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.exists(folders, lambda x: x.isin(*NOISE) | x.endswith("_venv") | x.endswith(".egg-info")) | path.rlike(r"(^|/)\.[^/]+/worktrees/")
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path`` (relative), ``content``, ``category``, ``words`` of the files below a folder that any of Spark's file systems holds."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def marked_noise(paths: DataFrame) -> DataFrame:
+    """``folder``: folders that look like environments, coverage reports or snapshots and hold a file that proves it."""
+    out = None
+    for name, proof in MARKED.items():
+        own = "(?:[^/]*_)?env|\\.env" if name == "env" else name
+        hit = paths.select(F.regexp_extract("path", rf"^((?:.*/)?(?:{own}))/{proof}$", 1).alias("folder")).where("folder <> ''").distinct()
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
+
+
+def scan(spark: SparkSession, root: str, glob: str = "*", excludes: str = "", ignore_files: str = ".gitignore") -> DataFrame:
+    """``path`` (relative), ``content``, ``bytes``, ``mtime``, ``category``, ``words`` of the files below a folder that any of Spark's file systems holds.
+
+    Ignore files count for the folder they lie in, ``excludes`` (in the same form) for all. Files in noise folders and files that are
+    likely to hold credentials are left out.
+    """
+    from . import manifests as M
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+://[^/]*", "")
     rel = F.call_function("substring_index", F.col("path"), F.concat(base, F.lit("/")), F.lit(-1))
-    text = F.decode("content", "UTF-8")
-    out = files.select(rel.alias("path"), text.alias("content"), F.col("length").alias("bytes"))
-    out = out.where(~is_noise(F.col("path")) & ~is_sensitive(F.col("path")))
+    files = files.withColumn("rel", rel).where(~is_noise(F.col("rel")))
+    rules = []
+    for r in files.where(F.element_at(F.split("rel", "/"), -1) == ignore_files).select("rel", F.decode("content", "UTF-8").alias("text")).orderBy(F.length("rel"), "rel").collect():
+        rules += M.ignore_rules(r.text, r.rel.rpartition("/")[0])
+    rules += M.ignore_rules(excludes)
+    proven = [r.folder for r in marked_noise(files.select(F.col("rel").alias("path"))).collect()]
+    for folder in proven:
+        files = files.where(~F.col("rel").startswith(f"{folder}/"))
+    out = files.where(~is_sensitive(F.col("rel")))
+    if rules:
+        out = out.where(~M.is_ignored(F.col("rel"), rules))
+    if glob != "*":
+        out = out.where(F.element_at(F.split("rel", "/"), -1).rlike("^" + M._regex(glob) + "$"))
+    out = out.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
     return out.withColumns({"category": category(F.col("path"), F.col("content")), "words": F.regexp_count("content", F.lit(r"\S+")).cast("long")}).where("category is not null")
 
 
+def totals(files: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(``category, files, words``; warnings) of a scan."""
+    by = files.groupBy("category").agg(F.count("*").alias("files"), F.sum("words").alias("words"))
+    row = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    out = [f"{row.words} words: a graph is hardly needed"] if row.words < FEW_WORDS else []
+    out += [f"{row.words} words: extraction will be costly"] if row.words > MANY_WORDS else []
+    return by, out + ([f"{row.files} files: extraction will be costly"] if row.files > MANY_FILES else [])
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """``path, hash``: sha256 over content and path; of Markdown only the body below the front matter counts."""
     body = F.when(suffix(F.col("path")) == "md", F.regexp_replace("content", r"^---\n(?s:.*?)\n---\n", "")).otherwise(F.col("content"))
@@ -80,6 +147,45 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change"))
 
 
+def tiered_changes(files: DataFrame, kept: DataFrame, tier: str = "ast", ignored: DataFrame | None = None) -> DataFrame:
+    """``path, change`` of a scan (``path, mtime, hash``) against a manifest (``path, mtime, ast_hash, semantic_hash``) for one tier.
+
+    A file is new without a row, changed if its tier has no hash yet or both time and hash differ, excluded if it is gone from the scan
+    but ``ignored`` lists it, else deleted. A file written within two seconds of its row is compared by hash whatever its time.
+    """
+    old = kept.select("path", F.col("mtime").alias("then"), F.col(f"{tier}_hash").alias("was"))
+    j = files.select("path", "mtime", "hash").join(old, "path", "full")
+    if ignored is not None:
+        j = j.join(ignored.select("path").distinct().withColumn("out", F.lit(True)), "path", "left")
+    else:
+        j = j.withColumn("out", F.lit(False))
+    change = (
+        F.when(F.col("hash").isNull(), F.when(F.col("out"), "excluded").otherwise("deleted"))
+        .when(F.col("then").isNull() & F.col("was").isNull(), "new")
+        .when(F.col("was").isNull() | ((F.col("hash") != F.col("was")) & ((F.col("mtime") != F.col("then")) | (F.abs(F.unix_micros("mtime") - F.unix_micros("then")) <= 2_000_000))), "changed")
+        .otherwise("unchanged")
+    )
+    return j.select("path", change.alias("change"))
+
+
+def saved_manifest(files: DataFrame, kept: DataFrame | None, tier: str = "ast") -> DataFrame:
+    """The manifest after a tier was read: its hash and time are new, the other tier's hash stays, files that are gone go."""
+    other = "semantic" if tier == "ast" else "ast"
+    now = files.select("path", "mtime", F.col("hash").alias(f"{tier}_hash"))
+    if kept is None:
+        return now.withColumn(f"{other}_hash", F.lit(None).cast("string"))
+    return now.join(kept.select("path", f"{other}_hash"), "path", "left")
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A manifest as JSON lines, one path a line, in order."""
+    rows.orderBy("path").write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("path string, mtime timestamp, ast_hash string, semantic_hash string").json(path)
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a node-link JSON file; edges stand under ``links`` or ``edges``, ends may be called from and to."""
     raw = spark.read.option("multiLine", "true").json(path)

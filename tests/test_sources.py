@@ -53,10 +53,3 @@ def test_symbols(spark):
     assert {r.id: r.parent_id for r in S.repair_parents(sym).collect()}["3"] == "4"
     e = spark.createDataFrame([("1", "2", "calls"), ("2", "3", "calls")], "src string, dst string, relation string")
     assert {r.id: r.role for r in S.call_roles(e).collect()} == {"1": "entry", "2": "normal", "3": "leaf"}
-
-
-def test_embedder(spark):
-    assert S.fnv1a(b"") == 0xCBF29CE484222325 and S.fnv1a(b"a") == 0xAF63DC4C8601EC8C
-    assert S.words("Running the tests, edges!") == ["runn", "test", "edg"]
-    v = spark.createDataFrame([("graph analytics engine",), (None,)], "t string").select(S.embed("t").alias("v")).collect()
-    assert len(v[0].v) == 512 and abs(sum(x * x for x in v[0].v) - 1) < 1e-9 and set(v[1].v) == {0.0}
