@@ -6,6 +6,10 @@ within ``edits`` edits holds one of them unchanged, at a place that the lengths
 hash of the segment) and probe that index with the few substrings that may match (the multi-match-aware selection). Lines that
 meet under a key are compared in a left semi join whose condition holds two parity sketches, then a bit-parallel edit distance
 over the band of ``2 * edits + 1`` diagonals: it stops at the first earlier line, so a group of n variants gives n rows at most.
+
+Lines of one make, such as those of a log, share whole segments by the thousand. A key that a sample of the documents shows to be that
+common tells nothing: its lines are looked at without that segment and without what they all begin and end with, what is left is cut in
+segments in its turn, and so on until the keys are rare. So a common key costs in proportion to its lines.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from .common import checked_broadcast, fits, stage
 
 #: Bits that a position's line number and the text's hash take beside the document id.
 _LINE, _HASH = 1 << 28, 1 << 32
+#: A key is common if a sample of one document in SAMPLE holds SEEN lines of it, or (where it is counted) if its lines make over PAIRS pairs.
+SAMPLE, SEEN, PAIRS = 64, 64, 1 << 22
 DEC = "decimal(38,0)"
 
 
@@ -50,25 +56,72 @@ def probe_offsets(edits: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _keys(distinct: DataFrame, edits: int) -> DataFrame:
-    """``id, key, role`` of ``id, line, n``: role 1 in the index, 2 as probe.
+def _keys(texts: DataFrame, edits: int, rest: bool = False) -> DataFrame:
+    """``id, key, role`` of ``id, line, n``: role 1 in the index, 2 as probe; with ``rest`` also the line without the segment.
 
     Of k = edits + 1 segments of a line of m characters the last m % k are longer by one. The exploded list is a constant, so that
-    one short expression makes all keys.
+    one short expression makes all keys. Where ``texts`` have a group ``g`` and a ``part``, keys differ by group and rows have that role only.
     """
     k = edits + 1
     wanted = [(0, i, 0, 1) for i in range(k)] + [(delta, i, s, 2) for delta in range(k) for i, s in probe_offsets(edits, delta)]
     names = ("delta", "segment", "shift", "role")
     list_ = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, w, strict=True)]) for w in wanted])
-    rows = distinct.select("id", "line", "n", F.explode(list_).alias("w")).select("id", "line", "n", "w.*")
+    deep = "g" in texts.columns
+    own = ["id", "line", "n", "g", "part"] if deep else ["id", "line", "n"]
+    rows = texts.select(*own, F.explode(list_).alias("w")).select(*own, "w.*")
+    rows = rows.where("part = role and n >= delta") if deep else rows
     m = F.col("n") - F.col("delta")
     short = F.lit(k) - m % k  # segments without the further character
     base = F.floor(m / k).cast("int")
     start = F.col("segment") * base + F.greatest(F.col("segment") - short, F.lit(0)) + 1 + F.col("shift")
     length = base + (F.col("segment") >= short).cast("int")
-    rows = rows.select("id", "line", "n", "segment", m.alias("m"), F.col("role").cast("byte").alias("role"), start.alias("start"), length.alias("length"))
-    key = F.xxhash64("segment", "m", F.substring("line", F.col("start"), F.col("length")))
-    return rows.where("start >= 1 and start + length - 1 <= n").select("id", key.alias("key"), "role")
+    rows = rows.select(*own, "segment", m.alias("m"), F.col("role").cast("byte").alias("role"), start.alias("start"), length.alias("length"))
+    piece = F.substring("line", F.col("start"), F.col("length"))
+    key = F.xxhash64("g", "segment", "m", piece) if deep else F.xxhash64("segment", "m", piece)
+    left = [F.concat(F.left("line", F.col("start") - 1), F.substring("line", F.col("start") + F.col("length"), F.col("n"))).alias("line")] if rest else []
+    return rows.where("start >= 1 and start + length - 1 <= n").select("id", key.alias("key"), "role", *left)
+
+
+def _common(lines: DataFrame, edits: int) -> DataFrame:
+    """``h``: keys of which the documents in the sample (``text``) hold SEEN lines or more, and one in either role."""
+    some = lines.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).distinct()
+    met = _keys(some, edits).groupBy("key").agg(F.count_if(F.col("role") == 1).alias("n1"), F.count_if(F.col("role") == 2).alias("n2"))
+    return met.where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") + F.col("n2") >= SEEN)).select(F.col("key").alias("h"))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many characters two strings begin with in common."""
+    differ = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(differ == 0, F.least(F.length(a), F.length(b))).otherwise(differ - 1).cast("int")
+
+
+def _refined(rows: DataFrame, edits: int) -> DataFrame:
+    """``key, id, role`` in place of the rows of common keys (``id, key, role, line``, the line being what is left of it).
+
+    Two lines within ``edits`` edits that share a segment are within as many without it, and without what all lines of the key begin and
+    end with. Where a line is left too short to be cut, its key stays as it is: so few characters make few different lines.
+    """
+    met = None
+    while True:
+        items = stage(rows.select(F.col("key").alias("g"), F.col("role").alias("part"), "id", "line").distinct(), "common")
+        ends = items.groupBy("g").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min(F.reverse("line")).alias("c"), F.max(F.reverse("line")).alias("d"), F.min(F.length("line")).alias("least"))
+        ends = ends.select(F.col("g").alias("e"), "least", _alike(F.col("a"), F.col("b")).alias("head"), _alike(F.col("c"), F.col("d")).alias("tail"))
+        ends = checked_broadcast(stage(ends.withColumn("tail", F.least(F.col("tail"), F.col("least") - F.col("head"))), "ends"))
+        core = F.substring("line", F.col("head") + 1, F.length("line") - F.col("head") - F.col("tail"))
+        texts = items.join(ends, F.col("g") == F.col("e")).select("id", core.alias("line"), "g", "part", (F.col("least") - F.col("head") - F.col("tail") > edits).alias("long"))
+        texts = stage(texts.withColumn("n", F.length("line")).distinct(), "cores")
+        done = texts.where("not long").select(F.col("g").alias("key"), "id", F.col("part").alias("role"))
+        own = texts.where("long").drop("long")
+        keys = _keys(own, edits)
+        sizes = keys.groupBy("key").agg(F.count_if(F.col("role") == 1).alias("n1"), F.count_if(F.col("role") == 2).alias("n2"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        sizes = stage(sizes.where("n1 > 0 and n2 > 0 and lo <> hi").select(F.col("key").alias("h"), (F.col("n1") * F.col("n2") > PAIRS).alias("many")), "sizes")
+        rare = keys.join(checked_broadcast(sizes.where("not many").select("h")), F.col("key") == F.col("h"), "left_semi").select("key", "id", "role")
+        more = stage(done.unionByName(rare).distinct(), "rare")
+        met = more if met is None else met.unionByName(more)
+        many = sizes.where("many").select("h")
+        if many.isEmpty():
+            return met
+        rows = _keys(own, edits, rest=True).join(checked_broadcast(many), F.col("key") == F.col("h"), "left_semi")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -144,10 +197,17 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     at = held.join(mask, F.col("unit") == F.col("u"))
     distinct = at.select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= least) & (F.get(F.col("mask"), i) == "1"))).alias("line"))
     distinct = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"))
-    keys = _keys(distinct, edits)
+    keys, refined = _keys(distinct, edits), None
+    some = own.where(F.pmod(F.xxhash64("unit"), F.lit(SAMPLE)) == 0).select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least)
+    common = stage(_common(some, edits), "often")
+    if not common.isEmpty():
+        common = checked_broadcast(common)
+        refined = _refined(_keys(distinct, edits, rest=True).join(common, F.col("key") == F.col("h"), "left_semi"), edits)
+        keys = keys.join(common, F.col("key") == F.col("h"), "left_anti")
     w = Window.partitionBy("key")
     met = keys.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "r1": F.min("role").over(w), "r2": F.max("role").over(w)})
     met = stage(met.where("lo <> hi and r1 <> r2").select("key", "id", "role").distinct(), "met")
+    met = met if refined is None else met.unionByName(refined.select(met.columns))
     ids = checked_broadcast(met.select(F.col("id").alias("i")).distinct())
     first = stage(firsts.join(ids, F.col("id") == F.col("i"), "left_semi").select(F.col("id").alias("i"), F.col("ord").alias("o")), "first")
     if fits(first):
