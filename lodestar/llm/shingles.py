@@ -135,7 +135,7 @@ def groups(docs: DataFrame, least: float = 0.8, width: int = WIDTH, row: str = "
     near = components(_candidates(prints))
     sizes = near.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "c")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = near.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("m"))
+    dealt = near.join(checked_broadcast(stage(sizes, "sizes")), F.col("component") == F.col("c")).select(F.col("node").alias("k"), "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("m"))
     one = stage(prints.groupBy("node").agg(F.min("row").alias("r")).join(stage(dealt, "chunks"), F.col("node") == F.col("k")).drop("k"), "candidates")
     # a component bears the number of one of its texts, the hub, which goes to all chunks
     to = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("m"))
