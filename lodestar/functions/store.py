@@ -9,15 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of sessions that have no ``spark.checkpoint.dir``, by their context.
+_own: dict[int, str] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read back; a temporary folder serves only where none is set (tests)."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(id(spark.sparkContext))
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own[id(spark.sparkContext)] = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
     path = f"{at.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_sweep)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.store import settle
 
 
 def document_frequency(docs: DataFrame, text: str, terms: list[str] | None = None) -> DataFrame:
@@ -50,9 +51,13 @@ def tiers(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top ``k`` documents; one pass over the texts counts lengths and the few terms asked for."""
-    toks = T.tokens(F.col(text))
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.size(toks).alias("n"), *[F.size(F.filter(toks, _is(t))).alias(f"t{i}") for i, t in enumerate(terms)])
+    """Top ``k`` documents. One pass over the texts, split once each, counts lengths and the few terms asked for; the counts are kept."""
+
+    def counts(toks: Column) -> Column:
+        return F.struct(F.size(toks).alias("n"), *[F.size(F.filter(toks, _is(t))).alias(f"t{i}") for i, t in enumerate(terms)])
+
+    once = F.element_at(F.transform(F.array(T.tokens(F.col(text))), counts), 1)  # binds the tokens
+    counted = settle(docs.select(F.col(doc_id).alias("doc_id"), once.alias("c")).select("doc_id", "c.*"))
     totals = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     total = F.lit(0.0)
     for i in range(len(terms)):

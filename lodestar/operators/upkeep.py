@@ -108,19 +108,26 @@ def edge_scores(edges: DataFrame) -> DataFrame:
     return shown.select("src", "dst", "relation", F.round(F.col("confidence_score") + F.when(c == "EXTRACTED", 2.0).otherwise(0.0) + more, 6).alias("score"))
 
 
-def postings(nodes: DataFrame, text: Column) -> DataFrame:
-    """``gram, id``: which nodes hold a trigram of characters."""
+def grams_of(needle: str) -> list[str]:
+    """The trigrams of a needle, which has three characters or more."""
+    n = needle.lower()
+    if len(n) < 3:
+        raise ValueError("a needle has three characters or more")
+    return sorted({n[i : i + 3] for i in range(len(n) - 2)})
+
+
+def postings(nodes: DataFrame, text: Column, only: list[str] | None = None) -> DataFrame:
+    """``gram, id``: which nodes hold a trigram of characters; of the trigrams ``only``, where given."""
     s = nodes.select("id", F.lower(text).alias("s")).where(F.length("s") >= 3)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, F.lit(3))))
+    if only is not None:
+        grams = F.filter(F.array(*map(F.lit, only)), lambda g: F.contains(F.col("s"), g))
     return s.select(F.explode(grams).alias("gram"), "id")
 
 
 def gram_candidates(index: DataFrame, needle: str) -> DataFrame:
-    """``id`` of the nodes that hold every trigram of ``needle`` (three characters or more); a superset of those that hold it."""
-    n = needle.lower()
-    grams = sorted({n[i : i + 3] for i in range(len(n) - 2)})
-    if not grams:
-        raise ValueError("a needle has three characters or more")
+    """``id`` of the nodes that hold every trigram of ``needle``; a superset of those that hold it."""
+    grams = grams_of(needle)
     return index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.store import settle
 from ..operators import community as C
 from ..operators import cluster, federation, rag, symbols, vectors
 from ..operators import documents as D
@@ -335,7 +336,8 @@ def rrf_fusion(spark, sf):
 @register(f"WITH {_bm25_sql()}, g AS (SELECT doc_id, 0.5::DOUBLE AS score FROM labels WHERE toxic = 0) SELECT doc_id, score FROM (SELECT * FROM bm UNION ALL SELECT * FROM g WHERE doc_id NOT IN (SELECT doc_id FROM bm)) ORDER BY score DESC, doc_id LIMIT 20")
 def evidence_rank(spark, sf):
     graph = table(spark, sf, "labels").where("toxic = 0").select("doc_id", F.lit(0.5).alias("score"))
-    return G.compose(graph.withColumnRenamed("doc_id", "id"), bm25_topk(spark, sf).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
+    found = settle(bm25_topk(spark, sf))
+    return G.compose(graph.withColumnRenamed("doc_id", "id"), found.withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 # --- traversal

@@ -99,7 +99,7 @@ def diagram_scores(spark, sf):
 
 @register(_sql("SELECT id FROM nodes WHERE len(list_filter(['cus', 'ust', 'sto', 'tom', 'ome', 'mer', 'er#', 'r#0'], lambda g: contains(lower(label), g))) = 8"))
 def trigram_candidates(spark, sf):
-    return U.gram_candidates(U.postings(nodes(spark, sf), F.col("label")), "Customer#0")
+    return U.gram_candidates(U.postings(nodes(spark, sf), F.col("label"), U.grams_of("Customer#0")), "Customer#0")
 
 
 @register("SELECT count(*) AS lost, count(*) FILTER (o_orderpriority NOT LIKE '1%') AS unexplained, count(*) FILTER (o_orderpriority NOT LIKE '1%') = 0 AS allowed FROM orders WHERE o_orderstatus = 'P'")
