@@ -481,18 +481,18 @@ def shingles(spark, sf):
 _BLOCK = f"n AS (SELECT 'c:'||c_custkey AS id, trim(regexp_replace(lower(c_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm, c_nationkey||'|'||c_mktsegment AS block FROM customer)"
 
 
-_LABELS = "l AS (SELECT min(doc_id) AS id, norm FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents) WHERE length(norm) >= 12 GROUP BY norm), d AS (SELECT *, list_sort(list_transform(regexp_extract_all(norm, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))) AS digits FROM l)"
+_OPENINGS = "l AS (SELECT min(doc_id) AS id, norm FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents) WHERE length(norm) >= 12 GROUP BY norm), d AS (SELECT *, list_sort(list_transform(regexp_extract_all(norm, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))) AS digits FROM l)"
 
 
-def _labels(spark, sf):
+def _openings(spark, sf):
     norm = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]+", " "))  # DuckDB compares bytes
     return table(spark, sf, "documents").select("doc_id", norm.alias("norm")).where(F.length("norm") >= 12).groupBy("norm").agg(F.min("doc_id").alias("id"))
 
 
-@register(f"WITH {_LABELS} SELECT x.id AS a, y.id AS b, round(jaro_winkler_similarity(x.norm, y.norm), 6) AS score FROM d x JOIN d y ON substr(x.norm, 1, 8) = substr(y.norm, 1, 8) AND x.id < y.id AND x.digits = y.digits WHERE round(jaro_winkler_similarity(x.norm, y.norm), 6) >= 0.9")
+@register(f"WITH {_OPENINGS} SELECT x.id AS a, y.id AS b, round(jaro_winkler_similarity(x.norm, y.norm), 6) AS score FROM d x JOIN d y ON substr(x.norm, 1, 8) = substr(y.norm, 1, 8) AND x.id < y.id AND x.digits = y.digits WHERE round(jaro_winkler_similarity(x.norm, y.norm), 6) >= 0.9")
 def fuzzy_pairs(spark, sf):
     """Labels of documents that begin alike; blocks of eight characters are small by nature."""
-    return E.fuzzy_pairs(_labels(spark, sf), F.left("norm", F.lit(8)), 0.9)
+    return E.fuzzy_pairs(_openings(spark, sf), F.left("norm", F.lit(8)), 0.9)
 
 
 @register("WITH d AS (SELECT 'c:'||c_custkey AS id, list_sort(list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1'))) AS digits FROM customer) SELECT array_to_string(digits, ',') AS digits, count(*) AS n, min(id) AS first_id FROM d GROUP BY ALL")
@@ -508,7 +508,7 @@ def exact_label_merge(spark, sf):
 
 @register()
 def minhash_candidates(spark, sf):
-    return E.candidates(_labels(spark, sf))
+    return E.candidates(_openings(spark, sf))
 
 
 # --- documents, memory, chat
