@@ -117,6 +117,17 @@ def parse_json(raw: str) -> dict:
     return {}
 
 
+#: Models by name: functions of a prompt and the most tokens of the answer.
+BACKENDS: dict[str, Callable[[str, int], str]] = {}
+
+
+def ask_model(prompt: str, backend: str, most_tokens: int = 200) -> str:
+    """The answer of the backend of that name; callers register theirs in ``BACKENDS``."""
+    if backend not in BACKENDS:
+        raise ValueError(f"no backend {backend!r}; there are {', '.join(sorted(BACKENDS)) or 'none'}")
+    return BACKENDS[backend](prompt, most_tokens)
+
+
 def extract_corpus(packs: DataFrame, ask: Callable[[str], str], deepest: int = 3) -> DataFrame:
     """``pack, kind, payload`` (JSON) from a model asked about each pack's text (``pack, text``); an answer that was cut off makes it ask about halves.
 

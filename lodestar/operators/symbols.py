@@ -75,3 +75,8 @@ def search(symbols: DataFrame, query: str, kind: str = "", most: int = 200) -> D
     rank = F.when(name == q, 0).when(name.startswith(q), 1).otherwise(2)
     got = symbols.where(name.contains(q) & (F.lit(True) if not kind else F.col("kind") == kind))
     return got.withColumn("rank", rank).orderBy("rank", "name", "id").limit(most)
+
+
+def full_graph(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All symbols and all edges, in order."""
+    return symbols.orderBy("id"), edges.orderBy("source", "target", "kind")

@@ -108,6 +108,20 @@ def edge_scores(edges: DataFrame) -> DataFrame:
     return shown.select("src", "dst", "relation", F.round(F.col("confidence_score") + F.when(c == "EXTRACTED", 2.0).otherwise(0.0) + more, 6).alias("score"))
 
 
+def diagram_nodes(nodes: DataFrame, edges: DataFrame, scored: DataFrame, most: int = 30) -> list[str]:
+    """Ids of the nodes that a diagram of ``most`` nodes shows: where calls enter, then the ends of the best edges, then others in order of id.
+
+    ``scored``: src, dst, score of the edges shown. Entries are ranked by how many more edges go out than come in.
+    """
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("x")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(-1).alias("x")))
+    own = nodes.select("id").join(ends.groupBy("id").agg(F.sum("x").alias("surplus")), "id", "left")
+    picked = [r.id for r in own.where("surplus > 0").orderBy(F.desc("surplus"), "id").limit(max(1, most // 3)).collect()]
+    for r in scored.orderBy(F.desc("score"), "src", "dst").limit(most).collect():
+        picked += [r.src, r.dst]
+    picked += [r.id for r in nodes.select("id").orderBy("id").limit(most).collect()]
+    return list(dict.fromkeys(picked))[:most]
+
+
 def grams_of(needle: str) -> list[str]:
     """The trigrams of a needle, which has three characters or more."""
     n = needle.lower()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,3 +93,23 @@ def embed(docs: DataFrame, key: str, text: str = "text", dim: int = DIM) -> Data
     got = weights(docs, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0)))
     return docs.select(key).join(got, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+
+
+def remote(call: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64):
+    """A column function that embeds texts through ``call``, a batch at a time in the workers; a batch that fails, or a vector of another length, is zero."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out = []
+            for a in range(0, len(s), batch):
+                texts = [x or "" for x in s.iloc[a : a + batch]]
+                try:
+                    got = call(texts)
+                except Exception:  # noqa: BLE001  an outage gives vectors that match nothing
+                    got = []
+                got = got if len(got) == len(texts) else [[]] * len(texts)
+                out += [[float(x) for x in v] if len(v) == dim else [0.0] * dim for v in got]
+            yield pd.Series(out, dtype=object)
+
+    return run

@@ -179,3 +179,28 @@ def test_build_and_update(spark, tmp_path):
     (root / "b.py").unlink()
     new, changed = app.update(kept, spark, str(root), ["b.py"])
     assert changed and {r.id for r in new.nodes.collect()} == {"a.py", "a.py#f"}
+
+
+def test_plug_ins(spark, small):
+    from lodestar.operators import community as C
+    from lodestar.operators import symbols as S
+    from lodestar.operators import upkeep as U
+    from lodestar.operators import vectors
+
+    hubs = {r.community: r.label for r in C.named(small.nodes, small.edges).collect()}
+    assert hubs == {0: "beta", 1: "Gamma"}
+    assert {r.community: r.label for r in C.named(small.nodes, small.edges, lambda lists: [x[0].upper() for x in lists]).collect()} == {0: "BETA()", 1: "GAMMA"}
+    assert {r.community: r.label for r in C.named(small.nodes, small.edges, lambda lists: 1 / 0).collect()} == hubs
+    fine, broken = vectors.remote(lambda texts: [[1.0, float(len(t))] for t in texts], 2), vectors.remote(lambda texts: 1 / 0, 2)
+    docs = spark.createDataFrame([("abc",), (None,)], "text string")
+    assert sorted(r.v for r in docs.select(fine("text").alias("v")).collect()) == [[1.0, 0.0], [1.0, 3.0]]
+    assert [r.v for r in docs.select(broken("text").alias("v")).collect()] == [[0.0, 0.0]] * 2
+    with pytest.raises(ValueError, match="no backend"):
+        EN.ask_model("hi", "none")
+    EN.BACKENDS["echo"] = lambda prompt, most: prompt[:most]
+    assert EN.ask_model("hello", "echo", 2) == "he"
+    scored = spark.createDataFrame([("b", "c", 2.0), ("d", "c", 1.0)], "src string, dst string, score double")
+    assert U.diagram_nodes(small.nodes, small.edges, scored, 3) == ["a", "b", "c"]
+    sym = spark.createDataFrame([("s2",), ("s1",)], "id string")
+    links = spark.createDataFrame([("s2", "s1", "calls")], "source string, target string, kind string")
+    assert [r.id for r in S.full_graph(sym, links)[0].collect()] == ["s1", "s2"]
