@@ -62,4 +62,25 @@ a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(max_owners, 0) AS max_owners, coalesce(max_repositories, 0) AS max_repositories FROM t LEFT JOIN a USING (rid)"""
 
 
-ORACLE = {"op1_mix": _mix(), "op5_embeddings": EMBEDDINGS, "op7_secrets": _secrets()}
+def _codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Books b and assignments a of each round; the least of distance * entries + entry gives the nearest entry, the first of equals."""
+    near = f"min(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::HUGEINT * {entries} + e) AS m"
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} AS MATERIALIZED (SELECT rid, part, (m % {entries})::INT AS e, (m // {entries})::BIGINT AS far FROM (SELECT rid, part, {near} FROM p JOIN b{k} b USING (part) GROUP BY rid, part))"""
+        if k < rounds:
+            steps += f""",
+s{k} AS (SELECT part, e, list(mean ORDER BY j) AS v FROM (SELECT part, e, j, floor(sum(v[j])::DOUBLE / count(*))::BIGINT AS mean FROM a{k} JOIN p USING (rid, part), range(1, (SELECT w // {parts} + 1 FROM width)) AS t(j) GROUP BY part, e, j) GROUP BY part, e),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(s.v, b.v) AS v FROM b{k} b LEFT JOIN s{k} s ON s.part = b.part AND s.e = b.e)"""
+    return f"""WITH raw AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+width AS (SELECT (max(len(c)) + {parts - 1}) // {parts} * {parts} AS w FROM raw),
+k AS MATERIALIZED (SELECT rid, vec_id, label, list_resize(list_transform(c, lambda y: floor(256 * y)::BIGINT), w, 0::BIGINT) AS x FROM raw, width),
+p AS MATERIALIZED (SELECT rid, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS v FROM k, range({parts}) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, e, v FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM k QUALIFY e < {entries}) USING (rid)){steps},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}),
+r AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN r USING (rid), h"""
+
+
+ORACLE = {"op1_mix": _mix(), "op5_embeddings": EMBEDDINGS, "op7_secrets": _secrets(), "op13_codes": _codes()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, linededup, mixing, ngram, pii, quality, secrets, simhash
+from . import codes, decontaminate, embeddings, langid, linededup, mixing, ngram, packing, pii, quality, secrets, simhash, whitening
 from .common import checked_broadcast, documents, held_in
 from .oracle import ORACLE  # noqa: F401  part of this module's interface
 
@@ -77,6 +77,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"), F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["distance"])).alias("least_distance"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(documents(spark, sf_dir).select("doc_id", "text"), packing.public_tokenizer())
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    books = codes.train(vectors)
+    coded = codes.with_group_errors(codes.encode(vectors, books).drop("embedding"), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_quality": op2_quality,
@@ -88,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whiten": op11_whiten,
+    "op12_pack": op12_pack,
+    "op13_codes": op13_codes,
 }
