@@ -15,7 +15,9 @@ ids too; an empty table gives no rows. Very long texts are tokenised in slices t
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,60 +34,97 @@ from pyspark.sql import types as T
 from .common import checked_broadcast, small_batches, stage, unused
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at most, and the longest (in bytes) that it does.
-WORDS, LONGEST = 500_000, 64
+#: Words whose ids a worker remembers, and their parts, about (more only within a text); the longest word, in bytes, that it does.
+WORDS, LONGEST = 300_000, 64
+#: Words that are parted here, and their parts as the tokenizer has them, in lower case. Its pattern, for these letters.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 PIECE = ("piece", "start", "length", "ids", "task", "turn")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and never joins what it parts (normal form, lower case, words apart): each word between ASCII blanks is encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space and never joins what it parts: normal form, lower case, runs of letters, single digits, runs of other signs.
+
+    A text is parted at ASCII blanks. Words are remembered with their ids; new words of plain Latin letters are parted further, and of those
+    parts only new ones are encoded, all at once. Other new words (other letters, control characters, what may be a special token) are encoded as they are.
+    """
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(zlib.decompress(model).decode())
+        ends = [i for token, i in self.own.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.own.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+        self.parts: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
+        if len(self.parts) > WORDS:
+            self.parts = {}
         self.place: dict[bytes, int] = {}
-        self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.own.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            k, ids = len(self.place), found.ids
-            if k == len(self.begin):
-                self.begin, self.size = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[word] = k
+        self.last, self.flat = array("q", [0]), array("I")  # where the ids of each word end, and all ids
+
+    def encode(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def _new_parts(self, parts: list[str]) -> None:
+        ids = np.array(self.encode(" ".join(parts)), np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(parts):
+            flat = ids.tolist()
+            self.parts.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+        else:
+            self.parts.update((p, self.encode(p)) for p in parts)
+
+    def learn(self, words: set[bytes]) -> None:
+        told = [(w, PART.findall(text.lower()) if PLAIN.fullmatch(text) and "<|" not in text else None, text) for w in words for text in (w.decode(),)]
+        new = {p for _, parts, _ in told if parts for p in parts}.difference(self.parts)
+        if new:
+            self._new_parts(list(new))
+        for word, parts, text in told:
+            if parts is None:
+                self.flat.extend(self.encode(text))
+            else:
+                for p in parts:
+                    self.flat.extend(self.parts[p])
+            self.place[word] = len(self.place)
+            self.last.append(len(self.flat))
 
     def _words(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > WORDS:
             self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        new = set(words).difference(self.place)
         if new:
             self.learn(new)
         k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.size[k]
+        last = np.frombuffer(self.last, np.int64)
+        begin, size = last[k], last[k + 1] - last[k]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.begin[k] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(begin - ends + size, size) + np.arange(ends[-1])] if len(ends) and ends[-1] else np.zeros(0, np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
-        out, held = [], []
-        for word in text.encode().split():
-            if len(word) > LONGEST:
-                out.append(self._words(held))
-                out.append(np.array(self.own.encode(word.decode(), add_special_tokens=False).ids, np.uint32))
-                held = []
-            else:
-                held.append(word)
-                if len(held) >= 100_000:
-                    out.append(self._words(held))
-                    held = []
-        return np.concatenate([*out, self._words(held)])
+        out, words = [], text.encode().split()
+        for k in range(0, len(words), 100_000):
+            own, at = words[k : k + 100_000], 0
+            if max(map(len, own)) > LONGEST:
+                for j, word in enumerate(own):
+                    if len(word) > LONGEST:
+                        out += [self._words(own[at:j]), np.array(self.encode(word.decode()), np.uint32)]
+                        at = j + 1
+            out.append(self._words(own[at:]))
+        return np.concatenate([*out, np.zeros(0, np.uint32)])
+
+
+_encoders: dict[bytes, Encoder] = {}
+
+
+def _encoder(model: bytes) -> Encoder:
+    """A worker's encoder; it keeps what it remembers from task to task."""
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = Encoder(model)
+    return _encoders[model]
 
 
 def cut(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, close: int = 0) -> DataFrame:
@@ -101,7 +140,7 @@ def cut(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAP
     kept = [c for c in docs.columns if c != text and c.lower() not in PIECE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder(model.value), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, task, seen = _encoder(model.value), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows, out = [], []
             for k, own in enumerate(batch.column(len(kept))):
