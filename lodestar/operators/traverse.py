@@ -79,40 +79,118 @@ def path_length(edges: DataFrame, start: DataFrame, end: str, hops: int = 8, dir
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, component`` (smallest id) by hooking to the smallest neighbour and jumping; a few rounds for any shape."""
+    """``id, component`` (smallest id) of every node on an edge to another, by contraction.
+
+    Each round a hash orders the nodes, every node joins the first of itself and its neighbours, and the graph of what is left is a fraction
+    of the last; the rounds' choices are then followed back. All joins are on tables, so that hubs can be split.
+    """
     pairs = edges.where("src <> dst").select("src", "dst")
     pairs = settle(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = settle(pairs.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
-    while True:
-        other = labels.select(F.col("id").alias("dst"), F.col("component").alias("near"))
-        near = pairs.join(other, "dst").groupBy(F.col("src").alias("id")).agg(F.min("near").alias("near"))
-        hooked = settle(labels.join(near, "id").select("id", F.least("component", "near").alias("component")))
-        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = settle(hooked.join(up, "component", "left").select("id", F.least("component", "top").alias("component")))
-        if new.join(labels, ["id", "component"], "left_anti").isEmpty():
-            return new
-        labels = new
-
-
-def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """Simple cycles of at most ``longest`` nodes, each once, written from its smallest node."""
-    e = edges.select("src", "dst").distinct()
-    loops = e.where("src = dst").select(F.array("src").alias("path"))
-    step, left = settle(e.where("src <> dst")), None
-    while True:  # a node without edges in or out lies on no cycle
-        n = step.count()
-        if n == left:
-            break
+    steps: list[DataFrame] = []
+    while not pairs.isEmpty():
+        order = [F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("to")) for c in ("src", "dst")]
+        to = settle(pairs.groupBy("src").agg(F.least(F.min(order[1]), F.min(order[0])).alias("x")).select(F.col("src").alias("id"), "x.to"))
+        steps.append(to)
+        for c in ("src", "dst"):
+            pairs = pairs.join(to.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")), c).drop(c).withColumnRenamed(f"{c}_to", c)
+        pairs = settle(pairs.where("src <> dst").distinct())
+    if not steps:
+        return pairs.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    found = steps[-1]
+    for to in reversed(steps[:-1]):
+        found = settle(to.join(found.select(F.col("id").alias("to"), F.col("to").alias("further")), "to", "left").select("id", F.coalesce("further", "to").alias("to")))
+    first = found.groupBy("to").agg(F.min("id").alias("component"))
+    return settle(found.join(first, "to").select("id", "component"))
+
+
+def _trimmed(steps: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without edges in or out go, again and again: the others lie on no cycle."""
+    left = None
+    while (n := steps.count()) != left:
         left = n
-        on = step.select(F.col("src").alias("id")).intersect(step.select(F.col("dst").alias("id")))
-        step = settle(step.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        on = settle(steps.select(F.col("src").alias("id")).intersect(steps.select(F.col("dst").alias("id"))))
+        steps = settle(steps.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    return steps
+
+
+def _coloured(steps: DataFrame) -> DataFrame:
+    """``id, colour``: the first node, in the order of a hash, from which each can be reached, itself included."""
+    own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("id"))
+    colour = settle(steps.select("src").distinct().select(F.col("src").alias("id"), own.alias("colour")))
+    front = colour
+    while not front.isEmpty():
+        told = front.join(steps, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("new"))
+        new = settle(colour.join(told, F.col("id") == F.col("dst"), "left").select("id", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("moved")))
+        colour, front = new.select("id", "colour"), new.where("moved").select("id", "colour")
+    return colour.select("id", F.col("colour.id").alias("colour"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, component`` (smallest id) of every node that lies on a cycle of two nodes or more.
+
+    Trims what lies on no cycle, colours nodes by the first node that reaches them, and walks back from each colour's node within the
+    colour: what that reaches is its component. Components go, and the rest is trimmed and coloured anew until nothing is left.
+    """
+    steps = _trimmed(settle(edges.where("src <> dst").select("src", "dst").distinct()))
+    found = steps.select(F.col("src").alias("id"), F.col("dst").alias("root")).limit(0)
+    while not steps.isEmpty():
+        colour = settle(_coloured(steps))
+        inner = steps.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst")
+        inner = settle(inner.where("a = b").select("src", "dst", F.col("a").alias("root")))
+        back = front = settle(colour.where("id = colour").select("id", F.col("colour").alias("root")))
+        while not front.isEmpty():
+            new = front.join(inner.select("src", F.col("dst").alias("id")), "id").select(F.col("src").alias("id"), "root").distinct()
+            front = settle(new.join(back, "id", "left_anti"))
+            back = settle(back.unionByName(front))
+        found = found.unionByName(back)
+        gone = back.select("id")
+        steps = _trimmed(settle(steps.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")))
+    found = settle(found)
+    # a node that is alone in its colour lies between two cycles, on none
+    own = found.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return settle(found.join(own, "root").select("id", "component"))
+
+
+def file_graph(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...] = ("imports_from", "re_exports")) -> DataFrame:
+    """``src, dst`` of files, oriented by the file that an import stands in (``edges.source_file``), whichever way its edge runs; deferred imports don't count.
+
+    The other end's file is the target; where no end is in the importing file the edge's target's is, or else its source's. Ends without a file give none.
+    """
+    files = nodes.select("id", "source_file")
+    kept = edges.where(F.col("relation").isin(*relations) & (F.coalesce("source_file", F.lit("")) != ""))
+    if "deferred" in edges.columns:
+        kept = kept.where(~F.coalesce("deferred", F.lit(False)))
+    both = kept.select("src", "dst", F.col("source_file").alias("at"))
+    for c in ("src", "dst"):
+        both = both.join(files.select(F.col("id").alias(c), F.coalesce("source_file", F.lit("")).alias(f"{c}_file")), c, "left")
+    a, b = F.coalesce("src_file", F.lit("")), F.coalesce("dst_file", F.lit(""))
+    target = F.when(a == F.col("at"), b).when((b == F.col("at")) | (b == ""), a).otherwise(b)
+    return both.select(F.col("at").alias("src"), target.alias("dst")).where("dst <> ''").distinct()
+
+
+def cycles(edges: DataFrame, longest: int = 5, top: int | None = None) -> DataFrame:
+    """``cycle, length``: simple cycles of at most ``longest`` nodes, each once, written from its smallest node; the ``top`` shortest, then first in text, if given.
+
+    Paths grow inside strongly connected components only, from their smallest node, a step a round; with ``top`` the rounds end at the
+    length at which there are enough, so that longer paths of a dense graph are never made.
+    """
+    e = edges.select("src", "dst").distinct()
+    found = e.where("src = dst").select(F.array("src").alias("path"))
+    of = strong_components(e)
+    step = e.where("src <> dst").join(of.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    step = settle(step.where("a = b").select("src", "dst"))
+    last, first = F.element_at("path", -1), F.element_at("path", 1)
     paths = step.where("src < dst").select(F.array("src", "dst").alias("path"))
-    out = loops
-    for _ in range(longest - 1):
-        last, first = F.element_at("path", -1), F.element_at("path", 1)
-        out = out.unionByName(paths.join(step, (last == F.col("src")) & (first == F.col("dst"))).select("path"))
-        paths = settle(paths.where(F.size("path") < longest).join(step, last == F.col("src")).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
-    return out.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+    found = settle(found)
+    for n in range(2, longest + 1):
+        if top is not None and found.count() >= top or paths.isEmpty():
+            break
+        found = settle(found.unionByName(paths.join(step, (last == F.col("src")) & (first == F.col("dst")), "left_semi").select("path")))
+        if n < longest:
+            paths = settle(paths.join(step, last == F.col("src")).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+    out = found.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+    return out if top is None else out.orderBy("length", "cycle").limit(top)
+
 
 def _adjacent(edges: DataFrame, directed: bool) -> DataFrame:
     steps = edges.where("src <> dst").select("src", "dst").distinct()

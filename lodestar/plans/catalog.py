@@ -380,18 +380,34 @@ def induced_edges(spark, sf):
 
 
 def _files(spark, sf):
-    li, o, c, s, n = (table(spark, sf, x) for x in ("lineitem", "orders", "customer", "supplier", "nation"))
-    trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey").distinct()
-    a, b = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("ra")), n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("rb"))
-    got = trade.join(a, "c_nationkey").join(b, "s_nationkey")
-    return got.select(F.col("ra").cast("string").alias("src"), F.col("rb").cast("string").alias("dst")).distinct()
+    """Parts as files: within an order each line's part imports the next line's."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("src"))
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
+    both = li.join(after, ["l_orderkey", "l_linenumber"]).select("src", "dst", F.lit("imports_from").alias("relation"), F.col("src").alias("source_file"))
+    own = table(spark, sf, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id")).withColumn("source_file", F.col("id"))
+    return V.file_graph(own, both)
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(a.n_regionkey AS VARCHAR) AS src, CAST(b.n_regionkey AS VARCHAR) AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey),
-p AS (SELECT [src] AS path, src AS last FROM (SELECT DISTINCT src FROM e) UNION ALL SELECT list_append(path, dst), dst FROM p JOIN e ON src = last WHERE len(path) < 5 AND dst > path[1] AND NOT list_contains(path, dst))
-SELECT array_to_string(path, '>') AS cycle, len(path) AS length FROM p WHERE EXISTS (SELECT 1 FROM e WHERE src = last AND dst = path[1])""")
+_FILES = "e AS (SELECT DISTINCT 'p:'||a.l_partkey AS src, 'p:'||b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+@register(f"""WITH {_FILES}, f AS (SELECT src, dst FROM e WHERE src <> dst), c AS (SELECT src AS cycle, 1 AS length FROM e WHERE src = dst
+UNION ALL SELECT a.src||'>'||a.dst, 2 FROM f a JOIN f b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src||'>'||a.dst||'>'||b.dst, 3 FROM f a JOIN f b ON a.dst = b.src JOIN f c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst)
+SELECT cycle, CAST(length AS BIGINT) AS length FROM c ORDER BY length, cycle LIMIT 20""")
 def import_cycles(spark, sf):
-    return V.cycles(_files(spark, sf))
+    """The report's twenty shortest cycles."""
+    return V.cycles(_files(spark, sf), top=20)
+
+
+@register(f"""WITH RECURSIVE {_FILES}, e2 AS (SELECT src, dst FROM e WHERE src <> dst), hub AS (SELECT src AS h FROM (SELECT src FROM e2 UNION ALL SELECT dst FROM e2) GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+fw AS (SELECT h AS id FROM hub UNION SELECT dst FROM fw JOIN e2 ON src = id), bw AS (SELECT h AS id FROM hub UNION SELECT src FROM bw JOIN e2 ON dst = id),
+big AS (SELECT id FROM fw INTERSECT SELECT id FROM bw), r AS (SELECT src, dst FROM e2 WHERE src NOT IN (SELECT id FROM big) AND dst NOT IN (SELECT id FROM big)),
+p AS (SELECT src, dst FROM r UNION SELECT p.src, r.dst FROM p JOIN r ON p.dst = r.src),
+o AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
+SELECT id, component FROM o UNION ALL SELECT id, (SELECT min(id) FROM big) FROM big WHERE (SELECT count(*) FROM big) > 1""")
+def strong_components(spark, sf):
+    return V.strong_components(_files(spark, sf))
 
 
 @register(_sql("SELECT DISTINCT id, component FROM w JOIN c USING (root)", "st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT DISTINCT dst, src FROM edges WHERE src <> dst), w AS (SELECT 'r:'||r_regionkey AS id, r_regionkey AS root FROM region UNION SELECT b, root FROM w JOIN st ON a = id), c AS (SELECT root, min(id) AS component FROM w GROUP BY root)", True))
@@ -529,7 +545,17 @@ def chunk_documents(spark, sf):
     return D.chunk(table(spark, sf, "documents")).withColumn("chunk", F.md5("chunk"))
 
 
-@register("SELECT doc_id, CAST(i AS BIGINT) AS seq, CAST(i * 2000 AS BIGINT) AS start, CAST(least((i + 1) * 2000, n) AS BIGINT) AS \"end\" FROM (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)")
+def _before_end(mark: str, chars: int) -> str:
+    """Where the last ``mark`` of ``w`` begins, 0 or less if nowhere past its first character."""
+    return f"CASE WHEN contains(w, {mark}) THEN length(w) - instr(reverse(w), reverse({mark})) - {chars - 1} ELSE 0 END"
+
+
+_SLICES = f"""cut AS (SELECT doc_id, text, n, 0::BIGINT AS seq, 0::BIGINT AS start, 0::BIGINT AS stop FROM (SELECT doc_id, text, length(text) AS n FROM documents) WHERE n > 0
+UNION ALL SELECT doc_id, text, n, seq + 1, stop, CAST(CASE WHEN n - stop <= 2000 THEN n WHEN h > 0 THEN stop + h + 1 WHEN b > 0 THEN stop + b + 2 WHEN l > 0 THEN stop + l + 1 ELSE stop + 2000 END AS BIGINT)
+FROM (SELECT *, {_before_end("chr(10)||'#'", 2)} AS h, {_before_end("chr(10)||chr(10)", 2)} AS b, {_before_end("chr(10)", 1)} AS l FROM (SELECT *, substr(text, stop + 1, 2000) AS w FROM cut WHERE stop < n)))"""
+
+
+@register(f'WITH RECURSIVE {_SLICES} SELECT doc_id, seq - 1 AS seq, start, stop AS "end" FROM cut WHERE seq > 0')
 def slice_documents(spark, sf):
     return D.slices(table(spark, sf, "documents"))
 

@@ -48,9 +48,8 @@ def dfs_nodes(spark, sf):
 
 @register()
 def louvain(spark, sf):
-    """Communities of nations, regions, suppliers and parts."""
-    e = edges(spark, sf).where("relation in ('in_region', 'located_in', 'supplied_by')")
-    return cluster.cluster(nodes(spark, sf).where("id not like 'o:%'"), e)
+    """Communities of all nodes by all relations."""
+    return cluster.cluster(nodes(spark, sf), edges(spark, sf))
 
 
 @register()

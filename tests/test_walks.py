@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from lodestar.operators import cluster, question
 from lodestar.operators import traverse as V
+from plain import louvain
 
 
 def frame(spark, pairs):
@@ -116,13 +117,60 @@ def planted(seed, groups=6, size=12):
     return names, inside + [(a, b) for a, b in combinations(names, 2) if a[:2] != b[:2] and rnd.random() < 0.015]
 
 
-@pytest.mark.parametrize("most", [cluster.PAIRS, 60])
-def test_partition_finds_planted_groups(spark, most):
-    names, pairs = planted(3)
-    got = {r.id: r.community for r in cluster.partition(frame(spark, pairs), most=most).collect()}
-    assert set(got) == {x for p in pairs for x in p}
-    best = modularity(pairs, {x: x[:2] for x in names})
-    assert modularity(pairs, got) >= (0.98 if most > 60 else 0.85) * best
+def together(pairs, of):
+    """Whether every community is connected by pairs within it."""
+    root = {x: x for x in of}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if of[a] == of[b]:
+            root[find(a)] = find(b)
+    return all(len({find(x) for x in of if of[x] == c}) == 1 for c in set(of.values()))
+
+
+@pytest.mark.parametrize("seed,groups,size", [(3, 6, 12), (8, 25, 10)])
+def test_partition_is_as_good_as_one_at_a_time(spark, seed, groups, size):
+    names, pairs = planted(seed, groups, size)
+    got = {r.id: r.community for r in cluster.partition(frame(spark, pairs)).collect()}
+    assert set(got) == {x for p in pairs for x in p} and together(pairs, got)
+    at = {x: k for k, x in enumerate(sorted(got))}
+    ends = np.array([sorted((at[a], at[b])) for a, b in pairs])
+    plain = louvain(ends[:, 0], ends[:, 1], np.ones(len(ends)), len(at))
+    assert modularity(pairs, got) >= 0.99 * modularity(pairs, {x: plain[k] for x, k in at.items()})
+
+
+def test_partition_is_the_same_in_rounds_of_joins_and_in_one_task(spark):
+    rnd = np.random.default_rng(5)
+    ends = [(int(a), int(a * rnd.random() ** 2)) for a in rnd.integers(1, 120, 260)]  # early nodes are hubs
+    _, dense = planted(2, 4, 9)
+    pairs = [(f"h{a:03}", f"h{b:03}") for a, b in ends] + dense
+    a, b = (cluster.partition(frame(spark, pairs), most=most).collect() for most in (cluster.PAIRS, 150))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and together(pairs, {r.id: r.community for r in a})
+
+
+def test_hash_is_the_engines(spark):
+    x = np.array([0, 1, -5, 1 << 60, 7], np.int64)
+    df = spark.createDataFrame([(int(v), int(v) * 3 % 1000) for v in x], "x long, y long")
+    assert [r[0] for r in df.select(cluster._drawn(9, "x", "y")).collect()] == cluster._drawn_np(9, x, x * 3 % 1000).tolist()
+
+
+def test_parts_are_graphs_of_their_own(spark):
+    """Each part's communities are those it has when it is alone, though a member may be in several parts."""
+    one, two = planted(11, 3, 8)[1], planted(12, 2, 10)[1]
+    rows = [("p", a, b, 1.0) for a, b in one] + [("q", a, b, 2.0) for a, b in two] + [("z", "x", "x", 0.0)]
+    got = cluster.communities(spark.createDataFrame(rows, "part string, a string, b string, w double")).collect()
+    for part, pairs in (("p", one), ("q", two)):
+        of = {r.id: r.group for r in got if r.part == part}
+        at = {x: k for k, x in enumerate(sorted(of))}
+        ends = np.array([sorted((at[a], at[b])) for a, b in pairs])
+        plain = louvain(ends[:, 0], ends[:, 1], np.ones(len(ends)), len(at))
+        assert together(pairs, of) and modularity(pairs, of) >= 0.97 * modularity(pairs, {x: plain[k] for x, k in at.items()})
+    assert [r.id for r in got if r.part == "z"] == ["x"]
 
 
 def test_louvain_does_no_worse_than_single_moves():
@@ -138,7 +186,7 @@ def test_louvain_does_no_worse_than_single_moves():
             best = max(sorted({of[y] for p in pairs if x in p for y in p} | {of[x]}), key=lambda c: (round(modularity(pairs, dict(enumerate(of[:x] + [c] + of[x + 1 :]))), 12), c == of[x]))
             if best != of[x]:
                 of[x], moved = best, True
-    got = cluster.louvain(a, b, np.ones(len(a)), 40)
+    got = louvain(a, b, np.ones(len(a)), 40)
     assert modularity(pairs, dict(enumerate(got.tolist()))) >= modularity(pairs, dict(enumerate(of))) - 1e-9
 
 
