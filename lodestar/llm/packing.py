@@ -15,12 +15,14 @@ ids too; an empty table gives no rows. Very long texts are tokenised in slices t
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from .common import checked_broadcast, small_batches, stage, unused
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and their parts, about (more only within a text); the longest word, in bytes, that it does.
-WORDS, LONGEST = 300_000, 64
+WORDS, LONGEST = 500_000, 64
 #: Words that are parted here, and their parts as the tokenizer has them, in lower case. Its pattern, for these letters.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
@@ -52,7 +54,12 @@ class Encoder:
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_str(zlib.decompress(model).decode())
+        whole = zlib.decompress(model).decode()
+        self.own = Tokenizer.from_str(whole)
+        # the same merges without what new parts no longer need: normal form, lower case, special tokens, parting by signs
+        bare = json.loads(whole) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         ends = [i for token, i in self.own.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.own.get_vocab_size() + 1, bool)
         self.ends[ends] = True
@@ -69,7 +76,7 @@ class Encoder:
         return self.own.encode(text, add_special_tokens=False).ids
 
     def _new_parts(self, parts: list[str]) -> None:
-        ids = np.array(self.encode(" ".join(parts)), np.uint32)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(parts):
             flat = ids.tolist()
@@ -94,10 +101,11 @@ class Encoder:
     def _words(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > WORDS:
             self.forget()
-        new = set(words).difference(self.place)
+        k = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(k < 0).tolist()
         if new:
-            self.learn(new)
-        k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.learn({words[j] for j in new})
+            k[new] = [self.place[words[j]] for j in new]
         last = np.frombuffer(self.last, np.int64)
         begin, size = last[k], last[k + 1] - last[k]
         ends = np.cumsum(size)
