@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.store import settle
+from ..functions.store import fresh, settle
 from ..operators import community as C
-from ..operators import cluster, federation, rag, symbols, vectors
+from ..operators import cluster, federation, index, rag, symbols, vectors
 from ..operators import documents as D
 from ..operators import entity as E
 from ..operators import graph as G
@@ -327,6 +327,32 @@ def memory_search(spark, sf):
     return v.select("vec_id", F.round(R.cosine(F.col("embedding"), q), 6).alias("score"), "label").where("score >= 0.07").orderBy(F.desc("score"), "vec_id").limit(5)
 
 
+def _text_index(spark, sf):
+    root = fresh(spark)
+    index.put_texts(table(spark, sf, "documents"), root)
+    return root
+
+
+@register(f"WITH {_bm25_sql()} SELECT doc_id, score, source FROM bm JOIN documents USING (doc_id)")
+def index_texts_topk(spark, sf):
+    """All documents are indexed, then asked."""
+    return index.search_texts(spark, _text_index(spark, sf), TERMS)
+
+
+@register(f"WITH {_bm25_sql().replace('ORDER BY score DESC, doc_id LIMIT 10', '')} SELECT doc_id, score, source FROM bm JOIN documents USING (doc_id) WHERE source IN ('src3', 'src8') ORDER BY score DESC, doc_id LIMIT 10")
+def index_texts_scoped(spark, sf):
+    """Answers of two sources only; how rare a term is counts over all."""
+    return index.search_texts(spark, _text_index(spark, sf), TERMS, scope=["src3", "src8"])
+
+
+@register(f"SELECT vec_id, {_COS} AS score, CAST(label AS VARCHAR) AS source FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def index_vectors_topk(spark, sf):
+    """All vectors are indexed by cell, a label as source; the cells that may hold one of the ten nearest are read."""
+    root = fresh(spark)
+    index.put_vectors(table(spark, sf, "embeddings"), root, source="label")
+    return index.search_vectors(spark, root, PROBE, exact=True)
+
+
 @register(f"WITH {_bm25_sql()}, v AS (SELECT vec_id AS doc_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10), r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS r FROM bm UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM v) SELECT doc_id, round(sum(r), 9) AS score, count(*) AS channels FROM r GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def rrf_fusion(spark, sf):
     v = R.cosine_topk(table(spark, sf, "embeddings"), PROBE).withColumnRenamed("vec_id", "doc_id")
