@@ -7,22 +7,21 @@ hash of the segment) and probe that index with the few substrings that may match
 meet under a key are compared in a left semi join whose condition holds two parity sketches, then a bit-parallel edit distance
 over the band of ``2 * edits + 1`` diagonals: it stops at the first earlier line, so a group of n variants gives n rows at most.
 
-Lines of one make, such as those of a log, share whole segments by the thousand. A key that a sample of the documents shows to be that
-common tells nothing: its lines are looked at without that segment and without what they all begin and end with, what is left is cut in
+Lines of one make, such as those of a log, share whole segments by the thousand. All keys are counted, and one that is that common tells nothing: its lines are looked at without that segment and without what they all begin and end with, what is left is cut in
 segments in its turn, and so on until the keys are rare. So a common key costs in proportion to its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, fits, stage
 
 #: Bits that a position's line number and the text's hash take beside the document id.
 _LINE, _HASH = 1 << 28, 1 << 32
-#: A key is common if a sample of one document in SAMPLE holds SEEN lines of it, or (where it is counted) if its lines make over PAIRS pairs.
-SAMPLE, SEEN, PAIRS = 64, 64, 1 << 22
+#: A key is common if its lines make over PAIRS pairs.
+PAIRS = 1 << 20
 DEC = "decimal(38,0)"
 
 
@@ -82,11 +81,12 @@ def _keys(texts: DataFrame, edits: int, rest: bool = False) -> DataFrame:
     return rows.where("start >= 1 and start + length - 1 <= n").select("id", key.alias("key"), "role", *left)
 
 
-def _common(lines: DataFrame, edits: int) -> DataFrame:
-    """``h``: keys of which the documents in the sample (``text``) hold SEEN lines or more, and one in either role."""
-    some = lines.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).distinct()
-    met = _keys(some, edits).groupBy("key").agg(F.count_if(F.col("role") == 1).alias("n1"), F.count_if(F.col("role") == 2).alias("n2"))
-    return met.where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") + F.col("n2") >= SEEN)).select(F.col("key").alias("h"))
+def _met(keys: DataFrame) -> DataFrame:
+    """``h, many``: keys under which lines that differ meet in both roles, and whether they make over PAIRS pairs; counted before the shuffle, whatever a key holds."""
+    both = F.sum(F.when(F.col("role") == 1, F.lit(1).cast("long")).otherwise(F.lit(1 << 32))).alias("both")
+    found = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), both)
+    n1, n2 = F.col("both").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("both", 32)
+    return found.where((F.col("lo") != F.col("hi")) & (n1 > 0) & (n2 > 0)).select(F.col("key").alias("h"), (n1.cast("double") * n2 > PAIRS).alias("many"))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -113,8 +113,7 @@ def _refined(rows: DataFrame, edits: int) -> DataFrame:
         done = texts.where("not long").select(F.col("g").alias("key"), "id", F.col("part").alias("role"))
         own = texts.where("long").drop("long")
         keys = _keys(own, edits)
-        sizes = keys.groupBy("key").agg(F.count_if(F.col("role") == 1).alias("n1"), F.count_if(F.col("role") == 2).alias("n2"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        sizes = stage(sizes.where("n1 > 0 and n2 > 0 and lo <> hi").select(F.col("key").alias("h"), (F.col("n1") * F.col("n2") > PAIRS).alias("many")), "sizes")
+        sizes = stage(_met(keys), "sizes")
         rare = keys.join(checked_broadcast(sizes.where("not many").select("h")), F.col("key") == F.col("h"), "left_semi").select("key", "id", "role")
         more = stage(done.unionByName(rare).distinct(), "rare")
         met = more if met is None else met.unionByName(more)
@@ -198,15 +197,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     distinct = at.select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= least) & (F.get(F.col("mask"), i) == "1"))).alias("line"))
     distinct = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"))
     keys, refined = _keys(distinct, edits), None
-    some = own.where(F.pmod(F.xxhash64("unit"), F.lit(SAMPLE)) == 0).select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least)
-    common = stage(_common(some, edits), "often")
-    if not common.isEmpty():
-        common = checked_broadcast(common)
-        refined = _refined(_keys(distinct, edits, rest=True).join(common, F.col("key") == F.col("h"), "left_semi"), edits)
-        keys = keys.join(common, F.col("key") == F.col("h"), "left_anti")
-    w = Window.partitionBy("key")
-    met = keys.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "r1": F.min("role").over(w), "r2": F.max("role").over(w)})
-    met = stage(met.where("lo <> hi and r1 <> r2").select("key", "id", "role").distinct(), "met")
+    sizes = stage(_met(keys), "sizes")
+    many = sizes.where("many").select("h")
+    if not many.isEmpty():
+        refined = _refined(_keys(distinct, edits, rest=True).join(checked_broadcast(many), F.col("key") == F.col("h"), "left_semi"), edits)
+    met = stage(keys.join(checked_broadcast(sizes.where("not many").select("h")), F.col("key") == F.col("h"), "left_semi").select("key", "id", "role").distinct(), "met")
     met = met if refined is None else met.unionByName(refined.select(met.columns))
     ids = checked_broadcast(met.select(F.col("id").alias("i")).distinct())
     first = stage(firsts.join(ids, F.col("id") == F.col("i"), "left_semi").select(F.col("id").alias("i"), F.col("ord").alias("o")), "first")

@@ -94,8 +94,7 @@ def test_empty_table_and_repeats(spark):
 
 def test_common_keys_are_refined(spark, monkeypatch):
     """With every key of a few lines taken as common, results are those of the plain version."""
-    for name, value in (("SAMPLE", 1), ("SEEN", 3), ("PAIRS", 4)):
-        monkeypatch.setattr(L, name, value)
+    monkeypatch.setattr(L, "PAIRS", 4)
     docs = corpus(21, 40)
     rnd = random.Random(8)
     logs = [f"user {rnd.randrange(10**6):06d} logged in from host-{rnd.randrange(3)}" for _ in range(60)]
@@ -105,13 +104,13 @@ def test_common_keys_are_refined(spark, monkeypatch):
     assert got == brute(docs, 2, 8)
 
 
-def test_lines_of_one_make(spark, monkeypatch):
-    """Lines that share all but a number: keys of thousands of lines, few of them near one another."""
-    monkeypatch.setattr(L, "SAMPLE", 4)
+@pytest.mark.parametrize("at_once", [10, 10_000])
+def test_lines_of_one_make(spark, at_once):
+    """Lines that share all but a number, in many documents or in a single one: keys of thousands of lines, few of them near one another."""
     rnd = random.Random(9)
     numbers = [f"{rnd.randrange(10**14):014d}" for _ in range(8000)]
     near = [(k, n[:5] + ("7" if n[5] != "7" else "3") + n[6:]) for k, n in enumerate(numbers[:50])]
     lines = [f"2024-01-01 worker finished request {n} for the usual customer without an error" for n in numbers + [x for _, x in near]]
-    docs = [(k, "\n".join(lines[i : i + 10])) for k, i in enumerate(range(0, len(lines), 10))]
+    docs = [(k, "\n".join(lines[i : i + at_once])) for k, i in enumerate(range(0, len(lines), at_once))]
     got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
-    assert sum(r.n_dropped for r in got) == 50 and sum(r.n_dropped for r in got if r.doc_id >= 800) == 50
+    assert sum(r.n_dropped for r in got) == 50 and sum(r.n_dropped for r in got if r.doc_id >= 8000 // at_once) == 50
