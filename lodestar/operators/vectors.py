@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .slicing import bounded_batches
+
 #: Words that are dropped, endings that are cut (the first that applies), the hash's start and factor, weights.
 STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "as", "by", "at", "be", "this", "that", "are", "was", "will", "if", "not")
 ENDINGS = ("ing", "edly", "ed", "es", "s")
 START, FACTOR = 2166136261, 16777619
 WORD, TRIGRAM = 1.0, 0.25
 DIM = 512
-#: Features whose buckets a worker remembers.
-KNOWN = 1 << 20
+#: Texts that a worker looks at at once.
+TEXTS = 256
 
 
 def _without_ending(word: Column) -> Column:
@@ -39,60 +43,70 @@ def words(text: Column) -> Column:
     return F.transform(F.transform(kept, _without_ending), _without_e)
 
 
-def features(stems: Column) -> Column:
-    """Array of (feature, weight): stems and pairs of neighbours weigh 1, trigrams of stems of four bytes or more 0.25."""
-
-    def weighed(x: Column, w: float) -> Column:
-        return F.transform(x, lambda f: F.struct(f.alias("feature"), F.lit(w).alias("weight")))
-
-    rest = F.slice(stems, 2, F.greatest(F.size(stems) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(stems, 1, F.greatest(F.size(stems) - 1, F.lit(0))), rest, lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.transform(F.filter(stems, lambda s: (F.octet_length(s) >= 4) & (F.length(s) >= 3)), lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(F.lit("#"), F.substring(s, i, F.lit(3)))))
-    return F.concat(weighed(stems, WORD), weighed(pairs, WORD), weighed(F.flatten(grams), TRIGRAM))
-
+def fnv1a(parts: list[bytes], start: np.ndarray | None = None) -> np.ndarray:
+    """The 32-bit FNV-1a hashes of byte strings, all at once, a byte of each a step; ``start`` goes on from the hashes of what stands before them."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    order = np.argsort(-size, kind="stable")
+    data, begin = np.frombuffer(b"".join(parts), np.uint8), (np.cumsum(size) - size)[order]
+    h = np.full(len(parts), START, np.uint32) if start is None else start[order].astype(np.uint32)
+    left = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # how many are longer than each number of bytes
+    for k, n in enumerate(left.tolist()):
+        h[:n] = (h[:n] ^ data[begin[:n] + k]) * np.uint32(FACTOR)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
-def fnv1a(data: bytes) -> int:
-    """The 32-bit FNV-1a hash."""
-    h = START
-    for b in data:
-        h = (h ^ b) * FACTOR & 0xFFFFFFFF
-    return h
 
+def _sums(stems: pa.ListArray, dim: int) -> np.ndarray:
+    """Summed weights by text and bucket: stems and pairs of neighbours weigh 1, trigrams of stems of four bytes or more 0.25."""
+    size = np.asarray(stems.value_lengths().fill_null(0), np.int64)
+    told = stems.flatten().dictionary_encode()
+    names, at, text = told.dictionary.to_pylist(), np.asarray(told.indices, np.int64), np.repeat(np.arange(len(stems)), size)
+    data, k = [x.encode() for x in names], len(names)
+    own = fnv1a(data) % dim
+    grams = [[("#" + x[i : i + 3]).encode() for i in range(len(x) - 2)] if len(y) >= 4 else [] for x, y in zip(names, data, strict=True)]
+    many = np.fromiter(map(len, grams), np.int64, k)
+    gram = fnv1a([g for one in grams for g in one]) % dim
+    seen, times = np.unique(text * k + at, return_counts=True)
+    n = many[seen % k] if k else many
+    ends = np.cumsum(n)
+    which = gram[np.repeat((np.cumsum(many) - many)[seen % k] - ends + n, n) + np.arange(ends[-1])] if k and ends[-1] else gram[:0]
+    next_to = np.flatnonzero(text[1:] == text[:-1])
+    pair, back = np.unique(at[next_to] * k + at[next_to + 1], return_inverse=True)
+    spaced = fnv1a([x + b" " for x in data])
+    both = fnv1a([data[j] for j in (pair % k).tolist()], spaced[pair // k]) % dim if len(pair) else own[:0]
+    place = np.concatenate([text * dim + own[at], text[next_to] * dim + both[back], np.repeat(seen // max(k, 1), n) * dim + which])
+    weight = np.concatenate([np.full(len(at) + len(next_to), WORD), np.repeat(times, n) * TRIGRAM])
+    return np.bincount(place.astype(np.int64), weight, len(stems) * dim).reshape(len(stems), dim)
+
+
+def embedded(text: Column, dim: int = DIM) -> Column:
+    """Dense unit vectors: 1 + ln of a bucket's summed weights; a text without features, or a null one, has the zero vector."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(stems: pa.Array) -> pa.Array:
+        out = []
+        for k in range(0, len(stems), TEXTS):
+            sums = _sums(stems.slice(k, TEXTS), dim)
+            w = np.where(sums > 0, 1 + np.log(np.where(sums > 0, sums, 1)), 0.0)
+            size = np.sqrt((w * w).sum(axis=1))[:, None]
+            out.append(w / np.where(size > 0, size, 1))
+        flat = np.concatenate([np.zeros((0, dim)), *out])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dim, pa.int32()), pa.array(flat.ravel()))
+
+    return run(words(text))
 
-def _buckets(dim: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
-        for s in parts:
-            out = []
-            for names in s:
-                row = []
-                for f in names if names is not None else ():
-                    if (at := known.get(f)) is None:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        at = known[f] = fnv1a(f.encode()) % dim
-                    row.append(at)
-                out.append(row)
-            yield pd.Series(out, dtype=object)
 
-    return run
+def embed(docs: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
+    """``key, embedding``: a row per text, which never leaves its task."""
+    bounded_batches(docs)
+    return docs.select(F.col(key), embedded(F.col(text), dim).alias("embedding"))
 
 
 def weights(docs: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """``key, bucket, weight``: 1 + ln of the summed weights of a bucket's features, scaled to unit length by text."""
-    own = docs.select(F.col(key), features(words(F.col(text))).alias("f"))
-    own = own.withColumn("at", _buckets(dim)(F.transform("f", lambda x: x["feature"])))
-    each = own.select(key, F.explode(F.arrays_zip("at", "f")).alias("x")).groupBy(key, F.col("x.at").cast("long").alias("bucket")).agg(F.sum("x.f.weight").alias("w"))
-    w = 1 + F.log("w")
-    return each.select(key, "bucket", (w / F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))).alias("weight"))  # at most dim rows a text
-
-
-def embed(docs: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """``key, embedding``: dense vectors; a text without features has the zero vector. Keys are taken as unique."""
-    got = weights(docs, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0)))
-    return docs.select(key).join(got, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+    """``key, bucket, weight`` of the buckets that a text fills."""
+    each = embed(docs, key, text, dim).select(key, F.posexplode("embedding").alias("bucket", "weight"))
+    return each.where("weight <> 0").withColumn("bucket", F.col("bucket").cast("long"))
 
 
 def remote(call: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64):

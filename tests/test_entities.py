@@ -95,7 +95,8 @@ def test_embedder(spark):
         assert got.get(k, {}) == pytest.approx(plain_embedding(t)), t
     dense = {r.k: r.embedding for r in vectors.embed(docs, "k").collect()}
     assert all(len(v) == 512 for v in dense.values()) and not any(dense[3]) and sum(x * x for x in dense[0]) == pytest.approx(1)
-    assert vectors.fnv1a(b"") == 0x811C9DC5 and vectors.fnv1a(b"a") == 0xE40C292C
+    assert vectors.fnv1a([b"a", b"", b"foobar"]).tolist() == [0xE40C292C, 0x811C9DC5, 0xBF9CF968]
+    assert vectors.fnv1a([b"bar", b""], vectors.fnv1a([b"foo", b"foobar"])).tolist() == [0xBF9CF968] * 2
 
 
 def test_memory(spark):
