@@ -770,4 +770,4 @@ def label_propagation(spark, sf):
     return C.propagate(edges(spark, sf))
 
 
-from . import more, upkeep  # noqa: E402,F401  register their queries in the tables above
+from . import code, more, upkeep  # noqa: E402,F401  register their queries in the tables above
