@@ -81,12 +81,19 @@ def _keys(texts: DataFrame, edits: int, rest: bool = False) -> DataFrame:
     return rows.where("start >= 1 and start + length - 1 <= n").select("id", key.alias("key"), "role", *left)
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """``h, many``: keys under which lines that differ meet in both roles, and whether they make over PAIRS pairs; counted before the shuffle, whatever a key holds."""
+def _met(keys: DataFrame, every: bool = False) -> DataFrame:
+    """``h, many``: keys under which lines that differ meet in both roles, and whether they make over PAIRS pairs; counted before the shuffle, whatever a key holds.
+
+    Where ``every`` line has both roles it also probes its own place in the index, so that two lines meet only under keys of three rows or more: a
+    count is enough (and lets through a line that repeats within itself, which meets nothing).
+    """
     both = F.sum(F.when(F.col("role") == 1, F.lit(1).cast("long")).otherwise(F.lit(1 << 32))).alias("both")
-    found = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), both)
     n1, n2 = F.col("both").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("both", 32)
-    return found.where((F.col("lo") != F.col("hi")) & (n1 > 0) & (n2 > 0)).select(F.col("key").alias("h"), (n1.cast("double") * n2 > PAIRS).alias("many"))
+    if every:
+        found = keys.groupBy("key").agg(both).where((n1 > 0) & (n1 + n2 > 2))
+    else:
+        found = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), both).where((F.col("lo") != F.col("hi")) & (n1 > 0) & (n2 > 0))
+    return found.select(F.col("key").alias("h"), (n1.cast("double") * n2 > PAIRS).alias("many"))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -197,7 +204,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     distinct = at.select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= least) & (F.get(F.col("mask"), i) == "1"))).alias("line"))
     distinct = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"))
     keys, refined = _keys(distinct, edits), None
-    sizes = stage(_met(keys), "sizes")
+    sizes = stage(_met(keys, every=True), "sizes")
     many = sizes.where("many").select("h")
     if not many.isEmpty():
         refined = _refined(_keys(distinct, edits, rest=True).join(checked_broadcast(many), F.col("key") == F.col("h"), "left_semi"), edits)
