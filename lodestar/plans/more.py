@@ -145,6 +145,16 @@ def fragment_problems(spark, sf):
 _RULES = "# rules\n*.tbl\n!customer/*.tbl\npart/\n!part/Brand#1.tbl\n"
 
 
+@register("""WITH p AS (SELECT p_partkey, p_brand, 'part/'||p_brand||'/'||p_size||'/p'||p_partkey||'.tbl' AS path, right(p_brand, 1) AS d FROM part)
+SELECT path FROM p WHERE p_partkey::VARCHAR LIKE d||'%' AND p_partkey::VARCHAR NOT LIKE d||d||'%' OR path LIKE 'part/'||p_brand||'/'||d||'/%'""")
+def ignored_by_folder(spark, sf):
+    """Every brand's folder has an ignore file of its own: parts by the brand's last digit, with an exception, and a folder."""
+    own = table(spark, sf, "part").select("p_brand", F.concat(F.lit("part/"), "p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".tbl")).alias("path"))
+    digit = F.right("p_brand", F.lit(1))
+    files = own.select("p_brand").distinct().select(F.concat(F.lit("part/"), "p_brand", F.lit("/.gitignore")).alias("path"), F.concat(F.lit("# parts\np"), digit, F.lit("*.tbl\n!p"), digit, digit, F.lit("*.tbl\n/"), digit, F.lit("/\n")).alias("text"))
+    return manifests.ignored(own, manifests.rules_of(files))
+
+
 @register(_sql("SELECT DISTINCT source_file AS path, NOT (source_file LIKE 'customer/%' OR source_file = 'nation/') AS ignored FROM nodes"))
 def ignored_files(spark, sf):
     return nodes(spark, sf).select(F.col("source_file").alias("path")).distinct().select("path", manifests.is_ignored(F.col("path"), manifests.ignore_rules(_RULES)).alias("ignored"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import settle
+
 #: File categories by suffix.
 CODE = tuple(
     "py ts tsx mts cts js jsx mjs cjs ejs ets go rs java groovy gradle cpp cc cxx c h hpp cu cuh metal rb rake swift kt kts cs scala php lua luau toc zig "
@@ -109,16 +111,14 @@ def scan(spark: SparkSession, root: str, glob: str = "*", excludes: str = "", ig
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+://[^/]*", "")
     rel = F.call_function("substring_index", F.col("path"), F.concat(base, F.lit("/")), F.lit(-1))
     files = files.withColumn("rel", rel).where(~is_noise(F.col("rel")))
-    rules = []
-    for r in files.where(F.element_at(F.split("rel", "/"), -1) == ignore_files).select("rel", F.decode("content", "UTF-8").alias("text")).orderBy(F.length("rel"), "rel").collect():
-        rules += M.ignore_rules(r.text, r.rel.rpartition("/")[0])
-    rules += M.ignore_rules(excludes)
-    proven = [r.folder for r in marked_noise(files.select(F.col("rel").alias("path"))).collect()]
-    for folder in proven:
-        files = files.where(~F.col("rel").startswith(f"{folder}/"))
-    out = files.where(~is_sensitive(F.col("rel")))
-    if rules:
-        out = out.where(~M.is_ignored(F.col("rel"), rules))
+    own = files.where(F.element_at(F.split("rel", "/"), -1) == ignore_files).select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    # excludes of the call come after all files' rules
+    wide = M.rules_of(spark.createDataFrame([(excludes,)], "text string").select(F.lit("").alias("path"), "text")).withColumn("at", F.lit("~" * 4096))
+    paths = settle(files.select(F.col("rel").alias("path")))
+    gone = settle(M.ignored(paths, M.rules_of(own).unionByName(wide)))
+    inside = paths.select("path", F.explode(M.prefixes(F.col("path"))).alias("e")).where("e.folder").select("path", F.col("e.path").alias("folder"))
+    gone = settle(gone.unionByName(inside.join(marked_noise(paths), "folder", "left_semi").select("path")).distinct())
+    out = files.where(~is_sensitive(F.col("rel"))).join(gone.select(F.col("path").alias("gone")), F.col("rel") == F.col("gone"), "left_anti")
     if glob != "*":
         out = out.where(F.element_at(F.split("rel", "/"), -1).rlike("^" + M._regex(glob) + "$"))
     out = out.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))

@@ -386,3 +386,38 @@ def is_ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
         return out
 
     return F.exists(every, hit)
+
+
+RULES = "folder string, at string, line int, regex string, negated boolean, only boolean"
+
+
+def rules_of(files: DataFrame) -> DataFrame:
+    """The rules (see RULES) of ignore files (``path, text``): each holds for the folder that its file lies in."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(p.rpartition("/")[0], p, k, *r) for p, t in zip(pdf["path"], pdf["text"], strict=True) for k, r in enumerate(ignore_rules(t or "", p.rpartition("/")[0]))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
+
+    return files.select("path", "text").mapInPandas(run, RULES)
+
+
+def prefixes(path: Column) -> Column:
+    """Array of ``path, folder``: a path and each folder above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), (i < F.size(parts)).alias("folder")))
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """``path`` of the paths that rules leave out: the last rule that matches decides, those of deeper folders coming last, for the path and each folder
+    above it; an ignored folder stays so.
+
+    Every folder and file is joined once with the rules of the folders above it, so that the plan doesn't grow with the number of rules.
+    """
+    each = paths.select("path", F.explode(prefixes(F.col("path"))).alias("e")).select("path", F.col("e.path").alias("entry"), F.col("e.folder").alias("is_folder"))
+    entries = each.select("entry", "is_folder").distinct()
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split("entry", "/")) - 1), lambda i: F.array_join(F.slice(F.split(F.col("entry"), "/"), 1, i), "/"))
+    met = entries.select("entry", "is_folder", F.explode(above).alias("folder")).join(rules, "folder")
+    met = met.where((F.col("is_folder") | ~F.col("only")) & F.regexp_like("entry", F.col("regex")))
+    last = met.groupBy("entry", "is_folder").agg(F.max(F.struct(F.length("at").alias("n"), "at", "line", "negated")).alias("x"))
+    return each.join(last.where("not x.negated").select("entry", "is_folder"), ["entry", "is_folder"], "left_semi").select("path").distinct()

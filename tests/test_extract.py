@@ -211,3 +211,23 @@ def test_ignore_rules(spark):
     want = {"a.log": True, "x/a.log": True, "keep.log": False, "build/x.py": True, "x/build/y": True, "build": False, "top.txt": True, "x/top.txt": False, "docs/draft.md": True, "docs/a/b/draft.md": True, "sub/a.tmp": True, "a.tmp": False, "file3.c": True, "filex.c": False}
     df = spark.createDataFrame([(p,) for p in want], "path string")
     assert {r.path: r.i for r in df.select("path", M.is_ignored(F.col("path"), rules).alias("i")).collect()} == want
+
+
+def test_ignore_rules_as_a_table(spark):
+    """The same decisions as rule by rule, however many folders have rules of their own."""
+    text = "# comment\n*.log\n!keep.log\nbuild/\n/top.txt\ndocs/**/draft.md\n!build/x.py\nfile[0-9].c\n"
+    rules = M.ignore_rules(text) + M.ignore_rules("*.tmp\n!a.log\n", "sub")
+    paths = ["a.log", "x/a.log", "keep.log", "build/x.py", "x/build/y", "build", "top.txt", "x/top.txt", "docs/draft.md", "docs/a/b/draft.md", "sub/a.tmp", "sub/a.log", "sub/b.log", "a.tmp", "file3.c", "filex.c"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    table = M.rules_of(spark.createDataFrame([(".gitignore", text), ("sub/.gitignore", "*.tmp\n!a.log\n"), ("none/.gitignore", None)], "path string, text string"))
+    want = {r.path for r in df.where(M.is_ignored(F.col("path"), rules)).collect()}
+    assert {r.path for r in M.ignored(df, table).collect()} == want and "sub/a.log" not in want
+
+
+def test_many_folders_with_rules(spark):
+    """100,000 files in 10,000 folders, each with an ignore file: a plan of constant size."""
+    files = spark.range(100_000).selectExpr("concat('d', id % 10000, '/f', id, '.py') AS path")
+    rules = M.rules_of(spark.range(10_000).selectExpr("concat('d', id, '/.gitignore') AS path", "concat('f', id, '.py') AS text"))
+    got = M.ignored(files, rules)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert got.count() == 10_000
