@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,35 @@ from pyspark.sql import functions as F
 STOPWORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "is", "are", "what", "how", "does", "do")
 
 
-def tokens(x: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(x), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+def fold(text: str) -> str:
+    """Lower case without accents, in compatibility form where that is one character."""
+    plain = "".join(_SINGLE.get(c, c) for c in text.lower())
+    return "".join(c for c in plain if unicodedata.category(c) != "Mn")
+
+
+def _single() -> dict[str, str]:
+    """Characters that stand for one other with accents or in another width, by the normal form NFKD."""
+    out = {}
+    for code in range(0xA0, 0x10000):
+        if not 0xAC00 <= code < 0xE000:  # syllables keep their form, surrogates have none
+            parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn"]
+            if len(parts) == 1 and (low := parts[0].lower()) != chr(code) and len(low) == 1:
+                out[chr(code)] = low
+    return out
+
+
+_SINGLE = _single()
+_FROM, _TO = "".join(_SINGLE), "".join(_SINGLE.values())
+
+
+def folded(x: Column) -> Column:
+    """:func:`fold` as a column."""
+    return F.regexp_replace(F.translate(F.lower(x), _FROM, _TO), r"\p{Mn}+", "")
+
+
+def tokens(x: Column, blind: bool = False) -> Column:
+    """Lower-case runs of letters and digits; ``blind`` to accents."""
+    return F.filter(F.split(folded(x) if blind else F.lower(x), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
 def searchable(t: Column) -> Column:

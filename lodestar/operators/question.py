@@ -9,6 +9,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.store import settle
 from . import retrieval, traverse
 from .graph import degree
@@ -87,8 +88,8 @@ def contexts(question: str, wanted: list[str] | None = None) -> tuple[list[str],
 
 def rank(nodes: DataFrame, wanted: list[str]) -> DataFrame:
     """``id, label, score, matched`` of nodes by terms; a term weighs by how few labels hold it."""
-    label = F.lower("label")
-    wanted = list(dict.fromkeys(wanted))
+    label = X.folded(F.col("label"))
+    wanted = list(dict.fromkeys(X.fold(t) for t in wanted))
     if not wanted:
         return nodes.select("id", "label", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).where("false")
     row = nodes.agg(F.count("*").alias("n"), *[F.count_if(label.contains(t)).alias(f"t{k}") for k, t in enumerate(wanted)]).first()
@@ -103,11 +104,11 @@ def seeds(nodes: DataFrame, edges: DataFrame, question: str, k: int = 3, share:
     wanted = terms(question)
     scored = settle(rank(nodes, wanted))
     best = retrieval.seeds(scored, k, share)
-    own = [t for t in dict.fromkeys(wanted) if t not in RELATIONAL] or list(dict.fromkeys(wanted))
+    own = [X.fold(t) for t in dict.fromkeys(wanted) if t not in RELATIONAL] or [X.fold(t) for t in dict.fromkeys(wanted)]
     told = scored.join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     for t in own:
-        hit = told.where(F.lower("label").contains(t))
-        one = hit.orderBy((F.lower("label") != t).cast("int"), F.desc("degree"), F.length("label"), "id").limit(1)
+        hit = told.where(X.folded(F.col("label")).contains(t))
+        one = hit.orderBy((X.folded(F.col("label")) != t).cast("int"), F.desc("degree"), F.length("label"), "id").limit(1)
         best = best.unionByName(one.select("id", "label", "score"))
     return settle(best.groupBy("label").agg(F.max_by(F.struct("id", "score"), F.struct("score", F.hash("id"))).alias("x")).select("x.id", "label", "x.score"))
 

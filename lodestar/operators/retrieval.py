@@ -11,10 +11,10 @@ from ..functions.store import settle
 
 
 def document_frequency(docs: DataFrame, text: str, terms: list[str] | None = None) -> DataFrame:
-    """``term, df, idf`` with idf = ln(1 + n / (1 + df)); only of ``terms`` where given."""
-    words = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    """``term, df, idf`` with idf = ln(1 + n / (1 + df)), terms without accents; only of ``terms`` where given."""
+    words = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text), blind=True))).alias("term"))
     if terms is not None:
-        words = words.where(F.col("term").isin(terms))
+        words = words.where(F.col("term").isin([T.fold(t) for t in terms]))
     n = docs.agg(F.count("*").alias("n"))
     return words.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
 
@@ -22,11 +22,11 @@ def document_frequency(docs: DataFrame, text: str, terms: list[str] | None = Non
 def score(nodes: DataFrame, idf: dict[str, float]) -> DataFrame:
     """``id, score, matched``: tiers per term (exact 1000, prefix 100, inside 1; source 0.5), weighed by idf.
 
-    Exact and prefix matches are scaled by the square of the share of terms they cover.
+    Exact and prefix matches are scaled by the square of the share of terms they cover. Labels and terms are compared without accents.
     """
-    label, source = F.lower("label"), F.lower("source_file")
+    label, source = T.folded(F.col("label")), F.lower("source_file")
     strong, weak, hits = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for term, w in idf.items():
+    for term, w in ((T.fold(t), w) for t, w in idf.items()):
         tier = F.when(label == term, 1000.0).when(label.startswith(term), 100.0).otherwise(0.0)
         strong = strong + tier * w
         weak = weak + F.when((tier == 0) & label.contains(term), w).otherwise(0.0) + F.when(source.contains(term), 0.5 * w).otherwise(0.0)
@@ -45,8 +45,8 @@ def seeds(scored: DataFrame, k: int = 3, share: float = 0.2) -> DataFrame:
 
 def tiers(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes by lookup tier: 0 source file, 1 exact label, 2 prefix, 3 inside."""
-    label, q = F.lower("label"), query.lower()
-    tier = F.when(F.lower("source_file") == q, 0).when(label == q, 1).when(label.startswith(q), 2).when(label.contains(q), 3)
+    label, q = T.folded(F.col("label")), T.fold(query)
+    tier = F.when(F.lower("source_file") == query.lower(), 0).when(label == q, 1).when(label.startswith(q), 2).when(label.contains(q), 3)
     return nodes.select("id", "label", "source_file", tier.cast("long").alias("tier")).where("tier is not null")
 
 

@@ -254,7 +254,7 @@ TERMS = ["the", "de", "tion", "and", "les"]
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
-@register(f"WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / (1 + count(*))), 6) AS idf FROM w GROUP BY term")
+@register(f"WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK.replace('lower(text)', 'strip_accents(lower(text))')}) AS term FROM documents) SELECT term, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / (1 + count(*))), 6) AS idf FROM w GROUP BY term")
 def idf_terms(spark, sf):
     return R.document_frequency(table(spark, sf, "documents"), "text").withColumn("idf", F.round("idf", 6))
 

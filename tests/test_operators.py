@@ -157,3 +157,15 @@ def test_label_propagation_and_modularity(spark):
     n = spark.createDataFrame([(i, 1 if i in "abcd" else 2) for i in "abcdwxyz"], "id string, community long")
     q = sum(r.q for r in C.modularity(n, edges(spark, [*clique, ("d", "w", "x")])).collect())
     assert abs(q - (12 / 13 - 0.5)) < 1e-6
+
+
+def test_search_is_blind_to_accents(spark):
+    nodes = spark.createDataFrame([("a", "Café()", "a.py"), ("b", "cafe\u0301 noir", "b.py"), ("c", "CAFE", "c.py"), ("d", "ｃａｆｅ", "d.py"), ("e", "coffee", "e.py"), ("f", "강남 한글", "f.py")], "id string, label string, source_file string")
+    for query in ("cafe", "CAFÉ", "cafe\u0301"):
+        assert {r.id for r in R.score(nodes, {query: 1.0}).collect()} == {"a", "b", "c", "d"}
+        assert {r.id: r.tier for r in R.tiers(nodes, query).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1}
+    assert [r.id for r in R.score(nodes, {"한글": 1.0}).collect()] == ["f"]
+    texts = ["Été à Zürich", "Kelvin K Å ﬁ", "İstanbul ΣΑΣ", "naïve Ångström", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.folded(F.col("t"))).collect()] == [X.fold(t) for t in texts]
+    assert {r.term for r in R.document_frequency(df, "t", ["ete", "zürich"]).collect()} == {"ete", "zurich"}
