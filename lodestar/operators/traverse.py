@@ -51,10 +51,35 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").where("src <> dst").select("src", "dst", "relation").distinct()
 
 
-def affected(edges: DataFrame, seed: DataFrame, relations: list[str], depth: int = 2) -> DataFrame:
-    """What depends on ``seed``: reverse steps along ``relations``; seeds are no hits."""
-    back = edges.where(F.col("relation").isin(relations)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return bfs(back, seed, depth).where("depth > 0")
+#: Relations of a node to its members.
+MEMBERS = ("method", "contains")
+
+
+def affected(edges: DataFrame, seed: DataFrame, relations: list[str], depth: int = 2, members: tuple[str, ...] = MEMBERS) -> DataFrame:
+    """``id, depth, via, relation, relations, file, place``: what depends on ``seed`` or its members, by steps against ``relations``.
+
+    The walk starts from the seeds and what they hold (one step along ``members``); neither are hits. ``via`` is the node that a hit was
+    reached from, of several the smallest; ``relations`` are all that lead to it, ``relation`` the first of them, with the file and place of its edge
+    (``source_file`` and ``source_location``, null where edges have none).
+    """
+    blank = F.lit(None).cast("string")
+    told = [(F.col(c).cast("string") if c in edges.columns else blank).alias(n) for c, n in (("source_file", "file"), ("source_location", "place"))]
+    back = settle(edges.where(F.col("relation").isin(relations)).select("src", "dst", "relation", *told).distinct())
+    own = edges.where(F.col("relation").isin(*members)).join(seed.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("id"))
+    reached = front = settle(seed.select("id").unionByName(own).distinct())
+    hits = back.select(F.col("src").alias("id"), F.lit(0).alias("depth"), F.col("dst").alias("via"), "relation", F.array("relation").alias("relations"), "file", "place").limit(0)
+    for level in range(1, depth + 1):
+        step = front.join(back, F.col("id") == F.col("dst")).select("src", F.col("id").alias("via"), "relation", "file", "place").join(reached.withColumnRenamed("id", "src"), "src", "left_anti")
+        # per pair first, so that a node with very many ways in is no group of its own
+        first = F.min(F.struct("relation", F.coalesce("file", F.lit("")).alias("f"), F.coalesce("place", F.lit("")).alias("p"), "file", "place")).alias("first")
+        pairs = step.groupBy("src", "via").agg(first, F.array_sort(F.collect_set("relation")).alias("relations"))
+        one = pairs.groupBy("src").agg(F.min_by(F.struct("via", "first", "relations"), "via").alias("x"))
+        new = settle(one.select(F.col("src").alias("id"), F.lit(level).alias("depth"), "x.via", "x.first.relation", "x.relations", "x.first.file", "x.first.place"))
+        if new.isEmpty():
+            break
+        hits, front = hits.unionByName(new), new.select("id")
+        reached = reached.unionByName(front)
+    return hits
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -390,9 +390,23 @@ def subgraph_edges(spark, sf):
     return V.subgraph(edges(spark, sf), _seed(spark, START), 2)
 
 
-@register(_sql("SELECT id, CAST(min(d) AS INTEGER) AS depth FROM w GROUP BY id HAVING min(d) > 0", f"st AS (SELECT DISTINCT src, dst FROM edges WHERE relation IN ('located_in', 'placed_by')), w AS (SELECT '{START}' AS id, 0 AS d UNION SELECT src, d + 1 FROM w JOIN st ON dst = id WHERE d < 2)", True))
+def _impact_sql(start: str, relations: str) -> str:
+    return _sql(
+        f"SELECT m.id, CAST(m.d AS INTEGER) AS depth, min(e.dst) AS via, min(e.relation) AS relation FROM m JOIN edges e ON e.src = m.id AND e.relation IN ({relations}) JOIN m p ON p.id = e.dst AND p.d = m.d - 1 WHERE m.d > 0 GROUP BY m.id, m.d",
+        f"st AS (SELECT DISTINCT src, dst FROM edges WHERE relation IN ({relations})), w AS (SELECT id, 0 AS d FROM ({start}) UNION SELECT src, d + 1 FROM w JOIN st ON dst = id WHERE d < 2), m AS (SELECT id, min(d) AS d FROM w GROUP BY id)",
+        True,
+    )
+
+
+@register(_impact_sql(f"SELECT '{START}' AS id", "'located_in', 'placed_by'"))
 def affected(spark, sf):
-    return V.affected(edges(spark, sf), _seed(spark, START), ["located_in", "placed_by"])
+    return V.affected(edges(spark, sf), _seed(spark, START), ["located_in", "placed_by"]).select("id", "depth", "via", "relation")
+
+
+@register(_impact_sql("SELECT 'o:7' AS id UNION SELECT dst FROM edges WHERE src = 'o:7' AND relation = 'contains'", "'contains'"))
+def affected_members(spark, sf):
+    """What depends on an order through the parts it holds: orders of the same parts."""
+    return V.affected(edges(spark, sf), _seed(spark, "o:7"), ["contains"]).select("id", "depth", "via", "relation")
 
 
 @register(_sql("SELECT id, CAST(min(d) AS INTEGER) AS depth FROM w WHERE id = 'r:1' GROUP BY id", "st AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT 'o:7' AS id, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN st ON src = id WHERE d < 8)", True))

@@ -169,3 +169,11 @@ def test_search_is_blind_to_accents(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.folded(F.col("t"))).collect()] == [X.fold(t) for t in texts]
     assert {r.term for r in R.document_frequency(df, "t", ["ete", "zürich"]).collect()} == {"ete", "zurich"}
+
+
+def test_impact_starts_from_members_and_tells_how(spark):
+    rows = [("svc", "svc.call", "method", "svc.py", "L3"), ("job", "svc.call", "calls", "job.py", "L9"), ("job", "svc.call", "imports", "job.py", "L1"), ("job", "svc.call", "calls", "job.py", "L4"), ("cli", "job", "calls", "cli.py", None), ("far", "cli", "calls", "far.py", "L1"), ("svc.call", "job", "calls", "svc.py", "L5"), ("x", "svc", "mentions", "x.py", "L1")]
+    e = spark.createDataFrame(rows, "src string, dst string, relation string, source_file string, source_location string")
+    got = {r.id: (r.depth, r.via, r.relation, r.relations, r.file, r.place) for r in V.affected(e, spark.createDataFrame([("svc",)], "id string"), ["calls", "imports"]).collect()}
+    assert got == {"job": (1, "svc.call", "calls", ["calls", "imports"], "job.py", "L4"), "cli": (2, "job", "calls", ["calls"], "cli.py", None)}
+    assert V.affected(e.drop("source_file", "source_location"), spark.createDataFrame([("none",)], "id string"), ["calls"]).count() == 0
