@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import versions
 from ..functions.store import settle
 from .graph import dedupe_edges, dedupe_nodes, prune_dangling
 from .question import path_match
@@ -14,6 +16,7 @@ from .rag import retag
 
 #: What a fragment may hold, and the relation of each kind of declared link.
 LIMITS = {"nodes": 10_000, "edges": 100_000, "hyperedges": 10_000, "members": 256, "id": 256}
+RESOURCE = "resource"
 LINKS = {"api_call": "calls_api", "mirrored_file": "mirrors", "depends_on": "depends_on", "references": "references", "shared_resource": "uses"}
 
 
@@ -84,15 +87,60 @@ def rekey(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- a shared graph of repos
 
 
+def _tagged(rows: DataFrame, tag: str) -> DataFrame:
+    """Nodes or edges of a repo under its tag."""
+    if "id" in rows.columns:
+        return retag(rows, tag)
+    return rows.withColumns({"src": F.concat(F.lit(f"{tag}::"), "src"), "dst": F.concat(F.lit(f"{tag}::"), "dst"), "repo": F.lit(tag)})
+
+
 def replace_repo(shared: DataFrame | None, fresh: DataFrame, tag: str) -> DataFrame:
-    """The shared table with the rows of repo ``tag`` replaced; a repo whose rows are unchanged is left as it is."""
-    mine = retag(fresh, tag) if "id" in fresh.columns else fresh.withColumns({"src": F.concat(F.lit(f"{tag}::"), "src"), "dst": F.concat(F.lit(f"{tag}::"), "dst"), "repo": F.lit(tag)})
+    """The shared table with the rows of repo ``tag`` replaced."""
+    mine = _tagged(fresh, tag)
     return mine if shared is None else shared.where(F.col("repo") != tag).unionByName(mine, allowMissingColumns=True)
 
 
-def write_repo(fresh: DataFrame, path: str) -> None:
-    """Replaces only the partitions of the repos in ``fresh``."""
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
+def _content(df: DataFrame) -> str:
+    """A hash of a table's rows that doesn't depend on their order."""
+    row = df.select(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
+    return f"{row.n}:{row.h}"
+
+
+def put_repo(nodes: DataFrame, edges: DataFrame, root: str, tag: str) -> bool:
+    """Publishes a repo's graph in the shared one at ``root``; whether anything was written. A repo whose rows are unchanged is left as it is.
+
+    Each repo lies in a segment of its own, and the published table of repos says in which: other repos' files aren't touched.
+    """
+    spark, content = nodes.sparkSession, f"{_content(nodes)}/{_content(edges)}"
+    at = versions.current(spark, root)
+    old = versions.table(spark, at, "repos") if at else None
+    if old is not None and not old.where((F.col("repo") == tag) & (F.col("content") == content)).isEmpty():
+        return False
+    segment = f"s{uuid.uuid4().hex}"
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        _tagged(rows, tag).write.parquet(f"{root}/{name}/segment={segment}")
+    mine = spark.createDataFrame([(tag, content, segment)], "repo string, content string, segment string")
+    repos = mine if old is None else old.where(F.col("repo") != tag).unionByName(mine)
+    with versions.publish(spark, root) as folder:
+        repos.write.parquet(f"{folder}/repos")
+    return True
+
+
+def drop_repo(spark: SparkSession, root: str, tag: str) -> None:
+    """The repo leaves the shared graph."""
+    repos = versions.table(spark, versions.current(spark, root), "repos").where(F.col("repo") != tag)
+    with versions.publish(spark, root) as folder:
+        repos.write.parquet(f"{folder}/repos")
+
+
+def shared_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges) of all repos as published now; what is read stays that version, whatever is published meanwhile."""
+    at = versions.current(spark, root)
+    if at is None:
+        return None
+    held = [r.segment for r in versions.table(spark, at, "repos").select("segment").collect()]  # a row per repo
+    nodes, edges = (spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").where(F.col("segment").isin(held)).drop("segment") for name in ("nodes", "edges"))
+    return nodes, edges
 
 
 def list_repos(shared: DataFrame) -> DataFrame:
@@ -120,6 +168,13 @@ def merge_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFr
 # --- declared links
 
 
+def _ends(link: dict) -> list[tuple[str, dict]]:
+    """Names and selectors of what a link joins: two ends, or the referents of a shared resource."""
+    if link.get("type") == "shared_resource":
+        return [(f"referents[{k}]", r) for k, r in enumerate(link.get("referents") or [])]
+    return [(end, link.get(end)) for end in ("from", "to")]
+
+
 def check_spec(spec: dict) -> list[str]:
     """What is wrong with the declaration of a group of repos; empty if nothing."""
     out = []
@@ -133,8 +188,9 @@ def check_spec(spec: dict) -> list[str]:
         if not isinstance(link, dict) or link.get("type") not in LINKS:
             out.append(f"links[{k}]: type must be one of {', '.join(sorted(LINKS))}")
             continue
-        for end in ("from", "to"):
-            s = link.get(end)
+        if link["type"] == "shared_resource" and not (link.get("name") and link.get("referents")):
+            out.append(f"links[{k}]: a shared resource needs a name and referents")
+        for end, s in _ends(link):
             if not isinstance(s, dict) or s.get("member") not in tags:
                 out.append(f"links[{k}].{end}: member is unknown")
             elif not any(s.get(c) for c in ("id", "file", "label")):
@@ -142,28 +198,53 @@ def check_spec(spec: dict) -> list[str]:
     return out
 
 
-def select(nodes: DataFrame, selector: dict) -> DataFrame:
-    """``id`` of the nodes that a selector means: by id, by file (equal or at a slash), by label (exact, else in any case)."""
-    own = nodes.where(F.col("repo") == selector["member"])
-    if selector.get("id"):
-        return own.where(F.col("id") == f"{selector['member']}::{selector['id']}").select("id")
-    if selector.get("file"):
-        return own.where(path_match(F.col("source_file"), F.lit(selector["file"])) & (F.col("label") == F.element_at(F.split("source_file", "/"), -1))).select("id")
-    exact = own.where(F.col("label") == selector["label"]).select("id")
-    return exact if not exact.isEmpty() else own.where(F.lower("label") == selector["label"].lower()).select("id")
+def _hub(link: dict) -> str:
+    return f"{RESOURCE}::{link.get('kind') or 'resource'}:{link['name']}"
+
+
+def resources(spark: SparkSession, spec: dict) -> DataFrame:
+    """``id, label, file_type, repo``: a node for each shared resource that a spec declares."""
+    rows = {_hub(x): x for x in spec.get("links") or [] if x.get("type") == "shared_resource"}
+    return spark.createDataFrame([(i, x["name"], x.get("kind") or "resource", RESOURCE) for i, x in sorted(rows.items())], "id string, label string, file_type string, repo string")
+
+
+def select(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """``link, end, id`` of the nodes that selectors (``link, end, member, by, value``) mean: by id, by file (the file's own node, its path equal or at a slash),
+    by label (exact, else in any case).
+
+    All selectors are joined at once, each kind on a key that it shares with few nodes.
+    """
+    own = nodes.select("id", "repo", "label", "source_file")
+    by = {k: F.broadcast(selectors.where(F.col("by") == k)) for k in ("id", "file", "label")}  # a spec's table
+    ids = own.join(by["id"], (F.col("repo") == F.col("member")) & (F.col("id") == F.concat("member", F.lit("::"), "value"))).select("link", "end", "id")
+    base = F.element_at(F.split("value", "/"), -1)
+    files = own.join(by["file"], (F.col("repo") == F.col("member")) & (F.col("label") == base)).where(path_match(F.col("source_file"), F.col("value")) & (F.col("label") == F.element_at(F.split("source_file", "/"), -1))).select("link", "end", "id")
+    named = own.join(by["label"], (F.col("repo") == F.col("member")) & (F.lower("label") == F.lower("value"))).select("link", "end", "id", (F.col("label") == F.col("value")).alias("exact"))
+    sure = named.where("exact").select("link", "end").distinct()
+    named = named.join(F.broadcast(sure.withColumn("sure", F.lit(True))), ["link", "end"], "left").where("exact or sure is null").select("link", "end", "id")
+    return ids.unionByName(files).unionByName(named)
 
 
 def declared(nodes: DataFrame, spec: dict, strict: bool = True) -> tuple[DataFrame, list[str]]:
-    """Edges (``src, dst, relation``) of the links that a spec declares, and reports on those that name none or several nodes."""
+    """Edges (``src, dst, relation``) of the links that a spec declares, and reports on selectors that mean no node or several.
+
+    What refers to a shared resource is linked with the resource's node (:func:`resources`); a link with an unclear end gives no edge,
+    an unclear referent leaves the others.
+    """
     if wrong := check_spec(spec):
         raise ValueError("; ".join(wrong))
-    rows, reports = [], []
-    for k, link in enumerate(spec.get("links") or []):
-        ends = [select(nodes, link[end]).limit(2).collect() for end in ("from", "to")]
-        if all(len(e) == 1 for e in ends):
-            rows.append((ends[0][0].id, ends[1][0].id, LINKS[link["type"]]))
-        else:
-            reports += [f"links[{k}].{name}: {'no node' if not e else 'several nodes'}" for name, e in zip(("from", "to"), ends, strict=True) if len(e) != 1]
+    spark, links = nodes.sparkSession, spec.get("links") or []
+    kinds = [(k, end, s["member"], next(c for c in ("id", "file", "label") if s.get(c)), s) for k, link in enumerate(links) for end, s in _ends(link)]
+    wanted = spark.createDataFrame([(k, end, member, by, s[by]) for k, end, member, by, s in kinds], "link int, end string, member string, by string, value string")
+    found = {(r.link, r.end): r for r in select(nodes, wanted).groupBy("link", "end").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).collect()}  # a row per selector
+    reports = [f"links[{k}].{end}: {'no node' if (k, end) not in found else 'several nodes'}" for k, end, *_ in kinds if (k, end) not in found or found[k, end].n > 1]
     if strict and reports:
         raise ValueError("; ".join(reports))
-    return nodes.sparkSession.createDataFrame(rows, "src string, dst string, relation string"), reports
+    clear = {key: r.id for key, r in found.items() if r.n == 1}
+    rows = []
+    for k, link in enumerate(links):
+        if link["type"] == "shared_resource":
+            rows += [(clear[k, end], _hub(link), LINKS[link["type"]]) for end, _ in _ends(link) if (k, end) in clear]
+        elif (k, "from") in clear and (k, "to") in clear:
+            rows.append((clear[k, "from"], clear[k, "to"], LINKS[link["type"]]))
+    return spark.createDataFrame(rows, "src string, dst string, relation string"), reports

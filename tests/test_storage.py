@@ -116,16 +116,29 @@ def test_shared_graph_and_declared_links(spark, small, tmp_path):
     shared = FE.replace_repo(FE.replace_repo(None, small.nodes, "one"), small.nodes, "two")
     again = FE.replace_repo(shared, small.nodes.limit(1), "one")
     assert {r.repo: r.n for r in FE.list_repos(again).collect()} == {"one": 1, "two": 4}
-    path = str(tmp_path / "shared")
-    FE.write_repo(shared, path)
-    FE.write_repo(again.where("repo = 'one'"), path)
-    assert {r.repo: r.n for r in FE.list_repos(spark.read.parquet(path)).collect()} == {"one": 1, "two": 4}
+    root = f"file://{tmp_path}/shared"
+    assert FE.shared_graph(spark, root) is None
+    assert FE.put_repo(small.nodes, small.edges, root, "one") and FE.put_repo(small.nodes, small.edges, root, "two")
+    pinned, _ = FE.shared_graph(spark, root)
+    files = sorted(p.name for p in (tmp_path / "shared" / "nodes").iterdir())
+    assert not FE.put_repo(small.nodes.repartition(5), small.edges, root, "two")  # unchanged: nothing is written
+    assert sorted(p.name for p in (tmp_path / "shared" / "nodes").iterdir()) == files
+    assert FE.put_repo(small.nodes.limit(1), small.edges, root, "one")
+    assert {r.repo: r.n for r in FE.list_repos(FE.shared_graph(spark, root)[0]).collect()} == {"one": 1, "two": 4}
+    assert pinned.count() == 8  # a reader of the version before
+    FE.drop_repo(spark, root, "one")
+    assert {r.repo for r in FE.list_repos(FE.shared_graph(spark, root)[1]).collect()} == {"two"}
     spec = {"members": [{"tag": "one"}, {"tag": "two"}], "links": [{"type": "api_call", "from": {"member": "one", "label": "alpha"}, "to": {"member": "two", "id": "c"}}]}
     edges, reports_ = FE.declared(shared, spec)
     assert [(r.src, r.dst, r.relation) for r in edges.collect()] == [("one::a", "two::c", "calls_api")] and not reports_
     spec["links"][0]["to"] = {"member": "two", "label": "none"}
     with pytest.raises(ValueError, match="no node"):
         FE.declared(shared, spec)
+    one = {"type": "shared_resource", "name": "orders", "kind": "topic", "referents": [{"member": "one", "label": "ALPHA"}, {"member": "two", "id": "b"}, {"member": "two", "label": "none"}]}
+    edges, reports_ = FE.declared(shared, {"members": spec["members"], "links": [one]}, strict=False)
+    assert [(r.src, r.dst, r.relation) for r in edges.orderBy("src").collect()] == [("one::a", "resource::topic:orders", "uses"), ("two::b", "resource::topic:orders", "uses")]
+    assert reports_ == ["links[0].referents[2]: no node"] and [tuple(r) for r in FE.resources(spark, {"links": [one, one]}).collect()] == [("resource::topic:orders", "orders", "topic", "resource")]
+    assert "needs a name" in FE.check_spec({"members": [{"tag": "a"}], "links": [{"type": "shared_resource"}]})[0]
     assert FE.check_spec({}) and "used twice" in FE.check_spec({"members": [{"tag": "a"}, {"tag": "a"}]})[0] and "type must" in FE.check_spec({"members": [{"tag": "a"}], "links": [{"type": "x"}]})[0]
 
 
