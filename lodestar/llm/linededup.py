@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, fits, stage
+from .common import checked_broadcast, drop_folder, new_folder, release, stage
 
 #: Bits that a position's line number and the text's hash take beside the document id.
 _LINE, _HASH = 1 << 28, 1 << 32
@@ -202,7 +202,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     held = own.select("unit", "text")
     at = held.join(mask, F.col("unit") == F.col("u"))
     distinct = at.select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= least) & (F.get(F.col("mask"), i) == "1"))).alias("line"))
-    distinct = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"))
+    # looked at several times, so it is kept for as long as that takes
+    folder = new_folder(docs.sparkSession, "distinct")
+    distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).write.parquet(folder)
+    distinct = docs.sparkSession.read.schema("id long, line string, n int").parquet(folder)
+    release(docs.sparkSession)
     keys, refined = _keys(distinct, edits), None
     sizes = stage(_met(keys, every=True), "sizes")
     many = sizes.where("many").select("h")
@@ -212,15 +216,10 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 40, doc_id: str =
     met = met if refined is None else met.unionByName(refined.select(met.columns))
     ids = checked_broadcast(met.select(F.col("id").alias("i")).distinct())
     first = stage(firsts.join(ids, F.col("id") == F.col("i"), "left_semi").select(F.col("id").alias("i"), F.col("ord").alias("o")), "first")
-    if fits(first):
-        chosen = lines.select(F.xxhash64("line").alias("id"), place.cast(DEC).alias("ord"), "line").join(F.broadcast(first), (F.col("id") == F.col("i")) & (F.col("ord") == F.col("o")))
-    else:
-        # too many to send to all: each document is sent the numbers of its lines that are wanted
-        wanted = held.join(_mask(first.select(F.col("o").alias("ord"))), F.col("unit") == F.col("u")).select("unit", "mask", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-        chosen = wanted.where(F.get("mask", F.col("no")) == "1").select(F.xxhash64("line").alias("id"), place.cast(DEC).alias("ord"), "line")
-    chosen = chosen.select("id", "ord", "line").distinct()
+    chosen = distinct.select("id", "line").join(checked_broadcast(first), F.col("id") == F.col("i")).select("id", F.col("o").alias("ord"), "line").distinct()
     codes = chosen.select("id", "ord", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("codes"))
     codes = stage(codes, "codes")
+    drop_folder(docs.sparkSession, folder)
     codes = stage(codes.withColumns({"p1": _parity(F.col("codes"), 1), "p2": _parity(F.col("codes"), 2)}), "sketches")
     full = met.withColumnRenamed("id", "i").join(codes, F.col("i") == F.col("id")).drop("i")
     full = stage(full, "full")
