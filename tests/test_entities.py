@@ -8,6 +8,7 @@ import pytest
 from lodestar.operators import entity as E
 from lodestar.operators import memory as M
 from lodestar.operators import vectors
+from pyspark.sql import functions as F
 
 NODE = "id string, label string, file_type string, source_file string, community long"
 
@@ -108,3 +109,16 @@ def test_memory(spark):
     first = M.listed(again).first()
     assert first.title == "Other" and M.get(again, first.id).count() == 1 and M.remove(again, first.id).count() == 1
     assert first.id.startswith("note-other-17")
+
+
+def test_misspelt_and_odd_words(spark):
+    pairs = [("managr", "manger", False), ("abcd", "abdc", True), ("abcd", "abce", True), ("abcd", "badc", False), ("a", "b", True), ("", "", True), ("abc", "abcd", False), ("pane", "plane", False)]
+    df = spark.createDataFrame(pairs, "x string, y string, want boolean")
+    assert all(r.m == r.want for r in df.withColumn("m", E.misspelt(F.col("x"), F.col("y"))).collect())
+    df = spark.createDataFrame([("export a read only list", "export the read only lost"), ("income flow handler", "budget flow handler"), ("one two", "one two three")], "a string, b string")
+    got = [[tuple(p) for p in r.o] for r in df.withColumn("o", E.odd_words(F.col("a"), F.col("b"))).collect()]
+    assert got == [[], [("income", "budget")], []]
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcde", k=rnd.randint(1, 9))) for _ in range(80)]
+    both = spark.createDataFrame([(a, b, E.winkler(a, b)) for a in words[:40] for b in words[40:]], "a string, b string, score double")
+    assert both.where(E.reach(F.col("a"), F.col("b")) < F.col("score") - 1e-9).count() == 0
