@@ -50,7 +50,9 @@ def command(help_: str, **arguments):
 
 
 def _rows(df: DataFrame, most: int = 1000) -> Rows:
-    return [r.asDict() for r in df.limit(most).collect()]
+    """The first ``most`` rows; if there are more, a last one says how many were left out."""
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    return rows if len(rows) <= most else [*rows[:most], {"left_out": df.count() - most}]
 
 
 @command("answer a question with a piece of the graph", question="", mode="bfs", depth=3, budget=2000)
@@ -113,7 +115,7 @@ def communities(g: Graph) -> Rows:
 
 @command("surprising connections", k=5)
 def surprises(g: Graph, k: int) -> Rows:
-    return _rows(C.surprises(g.nodes, g.edges).orderBy(F.desc("score"), "src", "dst"), int(k))
+    return _rows(C.surprises(g.nodes, g.edges).orderBy(F.desc("score"), "src", "dst").limit(int(k)))
 
 
 @command("a report in Markdown")
@@ -131,7 +133,7 @@ def export(g: Graph, form: str, path: str) -> str:
 
 @command("symbols by name", q="", kind="")
 def search_symbol(g: Graph, q: str, kind: str) -> Rows:
-    return _rows(symbols.search(g.nodes.withColumnRenamed("label", "name"), q, kind), 200)
+    return _rows(symbols.search(g.nodes.withColumnRenamed("label", "name"), q, kind).limit(200))
 
 
 def run(g: Graph, name: str, **arguments) -> Rows | str:

@@ -15,6 +15,8 @@ from ..operators import graph as G
 
 #: Nodes that a page or picture shows one by one; a larger graph is shown by its communities.
 SHOWN = 5000
+#: Folders on a page.
+FOLDERS = 50_000
 #: Share of ambiguous edges above which a report speaks of gaps.
 GAPS = 20
 
@@ -66,10 +68,15 @@ def svg(nodes: DataFrame, edges: DataFrame, width: int = 1200) -> str:
 
 
 def tree_page(rollup: DataFrame, most: int = 200) -> str:
-    """A page of nested folders with their totals (``path, total``); of a folder's children the ``most`` largest are shown, the others counted."""
+    """A page of nested folders with their totals (``path, total``); of a folder's children the ``most`` largest are shown, the others counted.
+
+    At most ``FOLDERS`` are shown, upper ones first; how many are left out stands at the end."""
     parent = F.when(F.col("path") == "", None).otherwise(F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     ranked = rollup.withColumn("parent", parent).withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("total"), "path")))
-    rows = ranked.where(F.col("k") <= most).orderBy("path").limit(50_000).collect()
+    shown = ranked.where(F.col("k") <= most)
+    rows = shown.orderBy(F.size(F.split("path", "/")), F.desc("total"), "path").limit(FOLDERS + 1).collect()
+    left = shown.count() - FOLDERS if len(rows) > FOLDERS else 0
+    rows = sorted(rows[:FOLDERS], key=lambda r: r.path)
     more = {r.parent: r.n for r in ranked.where(F.col("k") > most).groupBy("parent").agg(F.count("*").alias("n")).collect()}
     children: dict = {}
     for r in rows:
@@ -81,7 +88,8 @@ def tree_page(rollup: DataFrame, most: int = 200) -> str:
         rest = f"<li>(+{more[r.path]} more)" if r.path in more else ""
         return f"<li>{html.escape(r.path.rsplit('/', 1)[-1] or '/')} ({r.total})" + (f"<ul>{inner}{rest}</ul>" if inner or rest else "")
 
-    return "<!DOCTYPE html><meta charset=utf-8><ul>" + "".join(map(show, children.get(None, ()))) + "</ul>\n"
+    note = f"<p>{left} folders further down are left out" if left else ""
+    return "<!DOCTYPE html><meta charset=utf-8><ul>" + "".join(map(show, children.get(None, ()))) + f"</ul>{note}\n"
 
 
 def flow_page(nodes: DataFrame, edges: DataFrame) -> str:

@@ -217,3 +217,11 @@ def test_plug_ins(spark, small):
     sym = spark.createDataFrame([("s2",), ("s1",)], "id string")
     links = spark.createDataFrame([("s2", "s1", "calls")], "source string, target string, kind string")
     assert [r.id for r in S.full_graph(sym, links)[0].collect()] == ["s1", "s2"]
+
+
+def test_what_is_left_out_is_told(spark, monkeypatch):
+    assert app._rows(spark.range(5), 3)[-1] == {"left_out": 2} and len(app._rows(spark.range(3), 3)) == 3
+    monkeypatch.setattr(reports, "FOLDERS", 2)
+    tree = spark.createDataFrame([("", 9), ("a", 6), ("b", 3), ("a/c", 6)], "path string, total long")
+    page = reports.tree_page(tree)
+    assert "2 folders further down are left out" in page and "a (6)" in page and "c (6)" not in page
