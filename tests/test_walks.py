@@ -7,8 +7,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 from lodestar.operators import cluster, question
+from lodestar.operators import community as C
 from lodestar.operators import traverse as V
 from plain import louvain
+from pyspark.sql import functions as F
 
 
 def frame(spark, pairs):
@@ -228,3 +230,54 @@ def test_question_to_text(spark):
     assert [r.id for r in question.path_text(n, e, "frontiercache", "store").orderBy("step").collect()] == ["a", "b", "c"]
     assert question.resolve_seed(n, "a") == "a" and question.resolve_seed(n, "load") == "b" and question.resolve_seed(n, "h.py") == "c" and question.resolve_seed(n, "zzz") is None
     assert question.endpoint(n, "store") == "c" and not question.unclear(n, "frontiercache")
+
+
+def test_bridge_questions(spark):
+    """Two cliques joined by one node, which alone is asked about; the cliques' other members have no neighbour elsewhere."""
+    left, right = [f"a{k}" for k in range(4)], [f"b{k}" for k in range(4)]
+    pairs = [*combinations(left, 2), *combinations(right, 2), ("m", "a0"), ("m", "b0")]
+    rows = [(x, x, f"{x}.py/", 0 if x[0] == "a" else 1 if x[0] == "b" else 2) for x in [*left, *right, "m"]]
+    nodes = spark.createDataFrame([(i, label, "src/f.py", c) for i, label, _, c in rows], "id string, label string, source_file string, community long")
+    got = {r.about: r.n for r in C.bridge_questions(nodes, frame(spark, pairs)).collect()}
+    assert got == {"m": 2, "a0": 1, "b0": 1}
+    inside = nodes.withColumn("community", F.lit(7).cast("long"))
+    assert C.bridge_questions(inside, frame(spark, pairs)).count() == 0
+
+
+def test_cycles_end_where_there_are_enough(spark):
+    """A dense graph of 10,000 nodes: its paths of five nodes are never made."""
+    dense = spark.range(200_000).selectExpr("concat('f', pmod(xxhash64(id, 1), 10000)) AS src", "concat('f', pmod(xxhash64(id, 2), 10000)) AS dst")
+    got = V.cycles(dense, top=20).collect()
+    assert len(got) == 20 and all(r.length <= 2 for r in got)
+
+
+def test_strong_components(spark):
+    rnd = random.Random(7)
+    pairs = {(f"n{rnd.randrange(40):02}", f"n{rnd.randrange(40):02}") for _ in range(60)} | {("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "v"), ("v", "w"), ("u", "x"), ("q", "q")}
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in after.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    far = {x: reach(x) for p in pairs for x in p}
+    want = {}
+    for x in far:
+        own = {y for y in far[x] if x in far.get(y, ())} | {x}
+        if len(own) > 1:
+            want[x] = min(own)
+    assert {r.id: r.component for r in V.strong_components(frame(spark, pairs)).collect()} == want
+
+
+def test_file_graph_is_oriented_by_the_importing_file(spark):
+    nodes = spark.createDataFrame([("a", "a.ts"), ("b", "b.ts"), ("c", "c.ts"), ("n", None), ("s", "a.ts")], "id string, source_file string")
+    rows = [("a", "b", "imports_from", "a.ts", False), ("b", "a", "imports_from", "a.ts", False), ("c", "b", "re_exports", "c.ts", None), ("b", "c", "imports_from", "b.ts", True), ("a", "b", "calls", "a.ts", False), ("n", "c", "imports_from", "x.ts", False), ("a", "n", "imports_from", "a.ts", False), ("s", "a", "imports_from", "a.ts", False), ("a", "b", "imports_from", None, False)]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string, source_file string, deferred boolean")
+    assert {tuple(r) for r in V.file_graph(nodes, edges).collect()} == {("a.ts", "b.ts"), ("c.ts", "b.ts"), ("x.ts", "c.ts"), ("a.ts", "a.ts")}
