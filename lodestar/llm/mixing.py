@@ -111,7 +111,8 @@ def mix(
 
     Whole documents are taken, 0, 1 or more times: ``taken = copies * size``. ``most`` bounds both a source's target and a
     document's copies. Null texts have size 0 and are never taken; a null source is a source of its own, the last. Draws
-    depend on ``seed`` and the id, so reruns agree; repeated rows are separate documents with equal keys. With ``carry`` all
+    depend on ``seed`` and the id, so reruns agree; repeated rows are separate documents with equal keys, ties go by id, size and row. A very
+    long text is taken whole where it fits and passed over where it doesn't; an empty table gives no rows. With ``carry`` all
     columns of ``docs`` follow (then the result is joined back by position, not by id); of two columns of one name ours is given.
     """
     size = words(text)

@@ -45,6 +45,21 @@ def test_queries(spark, tmp_path, name, empty):
     assert len(got) == (0 if empty else want)
 
 
+def test_values_of_odd_rows(spark, tmp_path):
+    """Nulls, ties and repeats have the same values as what they equal."""
+    got = {name: [r.asDict() for r in QUERIES[name](spark, tables(spark, tmp_path, False)).collect()] if k == 0 else [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).collect()] for k, name in enumerate(("op2_quality", "op4_lm", "op9_langid", "op10_decontaminate"))}
+    for name, rows in got.items():
+        twins = [r for r in rows if r["doc_id"] == 1]
+        assert len(twins) == 2 and twins[0] == twins[1], name  # repeated rows are judged alike
+        assert sum(r["doc_id"] is None for r in rows) == 2, name  # rows without an id stay
+    empty = {r["doc_id"]: r for r in got["op4_lm"] if r["doc_id"] in (2, 3, 6)}
+    assert all((r["n_tokens"], r["n_known"]) == (1, 1) for r in empty.values())  # the end alone
+    assert len({r["score"] for r in empty.values()}) == 1 and len({r["base_score"] for r in empty.values()}) == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in got["op9_langid"] if r["doc_id"] in (2, 3, 6)} == {2: "und", 3: "und", 6: "und"}
+    leaks = {r["doc_id"]: r["item_ids"] for r in got["op10_decontaminate"] if r["doc_id"] in (1, 2, 3, 4, 6)}
+    assert leaks == {1: [1], 2: [], 3: [], 4: [], 6: []}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline(spark, tmp_path, empty):
     got = corpus_pipeline.run(spark, tables(spark, tmp_path, empty)).collect()

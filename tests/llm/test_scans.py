@@ -63,6 +63,15 @@ def test_ownership(spark):
     assert all(got[i] == [] for i in range(4)) and [s.live for s in got[10]] == [True] and got[11][0].n_repositories == 2
 
 
+def test_copies_in_repositories_alone_decide(spark):
+    """One owner, so that only the number of repositories tells a widely copied example from a secret."""
+    a, b = "ghp_" + "e5F6" * 9, "ghp_" + "g7H8" * 9
+    rows = [(i, f"x {a} y", "s") for i in range(24)] + [(100 + i, f"x {b} y", "s") for i in range(25)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all([s.live for s in got[i]] == [True] and got[i][0].n_owners == 1 for i in range(24))
+    assert all(got[100 + i] == [] for i in range(25))
+
+
 def test_pii(spark, tmp_path):
     rnd = random.Random(4)
     parts = ["a.b", "@", "x-y", ".com", ".", "1", "25", "255", "256", " ", "-", "+", "+1 (555) 123-4567", "4111111111111111", "4111 1111 1111 1112", "é", "𝄞", "(", ")", "mail", "\n", "%", "call "]
