@@ -109,16 +109,19 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a hash orders the nodes, every node joins the first of itself and its neighbours, and the graph of what is left is a fraction
     of the last; the rounds' choices are then followed back. All joins are on tables, so that hubs can be split.
     """
-    pairs = edges.where("src <> dst").select("src", "dst")
-    pairs = settle(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    def once(pairs: DataFrame) -> DataFrame:
+        return settle(pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+
+    pairs = once(edges)
     steps: list[DataFrame] = []
     while not pairs.isEmpty():
+        both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         order = [F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("to")) for c in ("src", "dst")]
-        to = settle(pairs.groupBy("src").agg(F.least(F.min(order[1]), F.min(order[0])).alias("x")).select(F.col("src").alias("id"), "x.to"))
+        to = settle(both.groupBy("src").agg(F.least(F.min(order[1]), F.min(order[0])).alias("x")).select(F.col("src").alias("id"), "x.to"))
         steps.append(to)
         for c in ("src", "dst"):
             pairs = pairs.join(to.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")), c).drop(c).withColumnRenamed(f"{c}_to", c)
-        pairs = settle(pairs.where("src <> dst").distinct())
+        pairs = once(pairs)
     if not steps:
         return pairs.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     found = steps[-1]
