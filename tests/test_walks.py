@@ -103,6 +103,45 @@ def test_betweenness(spark, graph):
     assert V.sampled_pivots(frame(spark, pairs), exact=5, sample=7).count() == 7
 
 
+def test_betweenness_of_trees_and_cycles(spark, monkeypatch):
+    """Trees that hang on cycles, a tree alone and pivots that are few: as counted path by path; and what hangs on a graph isn't paired with all of it."""
+    rnd = random.Random(4)
+    core = [(f"c{k}", f"c{(k + 1) % 6}") for k in range(6)] + [("c1", "c4")]
+    names = [f"c{k}" for k in range(6)]
+    hung = []
+    for k in range(14):
+        hung.append((f"h{k:02}", rnd.choice(names)))
+        names.append(f"h{k:02}")
+    tree = [(f"t{k}", f"t{rnd.randrange(k)}") for k in range(1, 7)]
+    pairs = core + hung + tree
+    next_ = after(pairs, False)
+    far = {x: distances(x, next_) for x in next_}
+
+    def paths(s, t):
+        return [[t]] if s == t else [[s, *p] for y in sorted(next_[s]) if far[y].get(t, 99) == far[s][t] - 1 for p in paths(y, t)]
+
+    for pivots in (sorted(next_), ["c2", "h01", "h07", "t3"], ["h13", "elsewhere"]):
+        nodes, edges = {}, {}
+        for s in pivots:
+            for t in far.get(s, ()):
+                every = paths(s, t) if s != t else []
+                for p in every:
+                    for x in p[1:-1]:
+                        nodes[x] = nodes.get(x, 0) + 1 / len(every)
+                    for e in zip(p, p[1:], strict=False):
+                        edges[tuple(sorted(e))] = edges.get(tuple(sorted(e)), 0) + 1 / len(every)
+        n, e = V.betweenness(frame(spark, pairs), ids(spark, pivots))
+        assert {r.id: r.score for r in n.collect()} == pytest.approx(nodes)
+        assert {(r.src, r.dst): r.score for r in e.collect()} == pytest.approx(edges)
+
+    made, settle = [], V.settle
+    monkeypatch.setattr(V, "settle", lambda df: (made.append(x.count()) if (x := settle(df)) is not None else None) or x)
+    star = [("hub", f"x{k:03}") for k in range(300)]
+    n, _ = V.betweenness(frame(spark, star), ids(spark, sorted(after(star, False))))
+    assert [(r.id, r.score) for r in n.collect()] == [("hub", 300.0 * 299)]
+    assert max(made) <= 600  # the pairs of its leaves are 89,700
+
+
 def modularity(pairs, of):
     m = len(pairs)
     k = {}
