@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from lodestar.operators import entity as E
 from lodestar.operators import memory as M
@@ -122,3 +123,33 @@ def test_misspelt_and_odd_words(spark):
     words = ["".join(rnd.choices("abcde", k=rnd.randint(1, 9))) for _ in range(80)]
     both = spark.createDataFrame([(a, b, E.winkler(a, b)) for a in words[:40] for b in words[40:]], "a string, b string, score double")
     assert both.where(E.reach(F.col("a"), F.col("b")) < F.col("score") - 1e-9).count() == 0
+
+
+def test_scores_of_many_pairs_are_those_of_one(monkeypatch):
+    """All pairs at once against pair by pair: equal wherever they can reach the least score, for long labels and many signs too."""
+    rnd = random.Random(3)
+    base = ["the thanedble anea eriner", "in of the", "ab", "a", "", "x" * 63 + "yz", "é" * 5 + "abc", "the thanedble anea " * 4]
+    words = sorted({"".join(c if rnd.random() > 0.15 else rnd.choice("abt hen") for c in rnd.choice(base))[: rnd.randrange(1, 90)] for _ in range(120)} | set(base))
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(words)) for j in range(len(words)) if i != j], strict=True))
+    for signs in (256, 2):
+        monkeypatch.setattr(E, "SIGNS", signs)
+        got = E._winklers(words, a, b, 0.8).tolist()
+        want = [E.winkler(words[i], words[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sum(w >= 0.8 for w in want) > 50
+        assert all(g == w if w >= 0.8 else g <= w for g, w in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fuzzy_pairs_of_a_block_in_chunks(spark, monkeypatch, kind):
+    monkeypatch.setattr(E, "GROUP", 4)
+    rnd = random.Random(5)
+    rows = sorted({(k if kind == "long" else f"k{k}", "common " + "".join(rnd.choice("abc") for _ in range(6)) + rnd.choice(["", " 7", " 007"])) for k in range(40)}) + [(None, "common aaaaaa"), (99 if kind == "long" else "k99", None)]
+    df = spark.createDataFrame(rows, f"id {kind}, norm string")
+
+    def numbers(x):
+        return sorted(str(int(w)) for w in x.split() if w.isdigit())
+
+    full = [r for r in rows if None not in r]
+    want = {(a, b, round(E.winkler(x, y), 6)) for a, x in full for b, y in full if a < b and x != y and numbers(x) == numbers(y) and E.winkler(x, y) >= 0.9}
+    got = E.fuzzy_pairs(df, F.left("norm", F.lit(6)), 0.9).collect()
+    assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want
