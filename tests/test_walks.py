@@ -194,6 +194,20 @@ def test_partition_is_the_same_in_rounds_of_joins_and_in_one_task(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and together(pairs, {r.id: r.community for r in a})
 
 
+def test_rounds_on_blocks_settle_nothing_and_agree_with_joins(spark, monkeypatch):
+    """Rounds on blocks give what rounds of joins and one task give, without a table each."""
+    pairs = planted(2, 4, 9)[1]
+    one = sorted(map(tuple, cluster.partition(frame(spark, pairs)).collect()))
+    made, settle = [], cluster.settle
+    monkeypatch.setattr(cluster, "settle", lambda df: made.append(df) or settle(df))
+    blocks = sorted(map(tuple, cluster.partition(frame(spark, pairs), most=60).collect()))
+    few = len(made)
+    monkeypatch.setattr(cluster, "NODES", 0)
+    joins = sorted(map(tuple, cluster.partition(frame(spark, pairs), most=60).collect()))
+    assert blocks == joins == one
+    assert 2 * few < len(made) - few
+
+
 def test_hash_is_the_engines(spark):
     x = np.array([0, 1, -5, 1 << 60, 7], np.int64)
     df = spark.createDataFrame([(int(v), int(v) * 3 % 1000) for v in x], "x long, y long")
