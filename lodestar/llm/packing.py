@@ -63,7 +63,7 @@ class Encoder:
         ends = [i for token, i in self.own.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.own.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.forget()
 
     def forget(self) -> None:
@@ -75,28 +75,30 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
 
+    def _own(self, text: str) -> bytes:
+        return np.array(self.encode(text), np.uint32).tobytes()
+
     def _new_parts(self, parts: list[str]) -> None:
-        ids = np.array(self.bare.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        ids = np.array(self.bare.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
         if len(ends) == len(parts):
-            flat = ids.tolist()
-            self.parts.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+            self.parts.update(zip(parts, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         else:
-            self.parts.update((p, self.encode(p)) for p in parts)
+            self.parts.update((p, self._own(p)) for p in parts)
 
     def learn(self, words: set[bytes]) -> None:
-        told = [(w, PART.findall(text.lower()) if PLAIN.fullmatch(text) and "<|" not in text else None, text) for w in words for text in (w.decode(),)]
-        new = {p for _, parts, _ in told if parts for p in parts}.difference(self.parts)
+        whole = [w for w in words if w.isalpha()]  # ASCII letters alone: a word is its one part
+        lower = b" ".join(whole).lower().decode().split()
+        told = [(w, PART.findall(text.lower()) if PLAIN.fullmatch(text) and "<|" not in text else None, text) for w in words.difference(whole) for text in (w.decode(),)]
+        new = {p for _, parts, _ in told if parts for p in parts}.union(lower).difference(self.parts)
         if new:
             self._new_parts(list(new))
-        for word, parts, text in told:
-            if parts is None:
-                self.flat.extend(self.encode(text))
-            else:
-                for p in parts:
-                    self.flat.extend(self.parts[p])
-            self.place[word] = len(self.place)
-            self.last.append(len(self.flat))
+        ids = list(map(self.parts.__getitem__, lower))
+        ids += [self._own(text) if parts is None else b"".join(map(self.parts.__getitem__, parts)) for _, parts, text in told]
+        self.place.update(zip([*whole, *(w for w, _, _ in told)], range(len(self.place), len(self.place) + len(ids)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize
+        self.last.frombytes((self.last[-1] + np.cumsum(sizes)).tobytes())
+        self.flat.frombytes(b"".join(ids))
 
     def _words(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > WORDS:

@@ -117,3 +117,11 @@ def test_pack(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.place(packing.cut(df, PATH)).count() == 0
+
+
+def test_words_of_letters_are_learned_without_patterns(monkeypatch):
+    own, encoder = Tokenizer.from_file(PATH), packing.Encoder(zlib.compress(open(PATH, "rb").read()))
+    monkeypatch.setattr(packing, "PLAIN", None)
+    monkeypatch.setattr(packing, "PART", None)
+    for text in ("Of many words of LETTERS of", "of new and many ZZYZX words", ""):
+        assert encoder.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
