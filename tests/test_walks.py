@@ -142,6 +142,15 @@ def test_betweenness_of_trees_and_cycles(spark, monkeypatch):
     assert max(made) <= 600  # the pairs of its leaves are 89,700
 
 
+def test_betweenness_settles_few_tables(spark, monkeypatch):
+    made, settle = [], V.settle
+    monkeypatch.setattr(V, "settle", lambda df: made.append(df) or settle(df))
+    pairs = [("hub", "x1"), ("hub", "x2"), ("hub", "x3"), ("a", "b")]
+    n, _ = V.betweenness(frame(spark, pairs), ids(spark, sorted(after(pairs, False))))
+    assert [(r.id, r.score) for r in n.collect()] == [("hub", 6.0)]
+    assert len(made) <= 9  # 11 when ends were settled each round
+
+
 def modularity(pairs, of):
     m = len(pairs)
     k = {}
