@@ -343,3 +343,68 @@ def test_file_graph_is_oriented_by_the_importing_file(spark):
     rows = [("a", "b", "imports_from", "a.ts", False), ("b", "a", "imports_from", "a.ts", False), ("c", "b", "re_exports", "c.ts", None), ("b", "c", "imports_from", "b.ts", True), ("a", "b", "calls", "a.ts", False), ("n", "c", "imports_from", "x.ts", False), ("a", "n", "imports_from", "a.ts", False), ("s", "a", "imports_from", "a.ts", False), ("a", "b", "imports_from", None, False)]
     edges = spark.createDataFrame(rows, "src string, dst string, relation string, source_file string, deferred boolean")
     assert {tuple(r) for r in V.file_graph(nodes, edges).collect()} == {("a.ts", "b.ts"), ("c.ts", "b.ts"), ("x.ts", "c.ts"), ("a.ts", "a.ts")}
+
+
+def test_betweenness_in_tasks_and_by_joins(spark, monkeypatch):
+    """A graph of cycles, hubs, parts, loops and parallel edges, with few pivots or all: tasks that hold it give what joins of its levels give."""
+    from lodestar.operators import flows as W
+
+    rnd = random.Random(11)
+    pairs = [(f"a{min(rnd.randrange(60), rnd.randrange(60)):02}", f"a{rnd.randrange(60):02}") for _ in range(150)] + [(f"b{k}", f"b{(k + 1) % 7}") for k in range(7)] + [("b0", "b0"), ("a01", "b9"), ("hub", "a03")]
+    for pivots in (sorted(after(pairs, False)), ["a05", "b2", "hub", "elsewhere"]):
+        got = []
+        for most, block, looked in ((10**6, 4, 1), (10**6, 64, 9), (0, 4, 1)):
+            monkeypatch.setattr(W, "PAIRS", most)
+            monkeypatch.setattr(W, "BLOCK", block)
+            monkeypatch.setattr(W, "LOOKED_UP", looked)
+            n, e = V.betweenness(frame(spark, pairs), ids(spark, pivots))
+            got.append(({r.id: r.score for r in n.where("score > 1e-9").collect()}, {(r.src, r.dst): r.score for r in e.collect()}))
+        for nodes, ties in got[:2]:
+            assert nodes and nodes == pytest.approx(got[2][0]) and ties == pytest.approx(got[2][1])
+
+
+@pytest.mark.parametrize("name", ["betweenness_edges"])
+def test_betweenness_queries_take_all_relations(spark, tmp_path, name):
+    """Two orders of a customer share a part and reach a supplier: cycles over relations and nodes other than nations and regions."""
+    import datetime
+
+    import duckdb
+    import pandas as pd
+    from lodestar.plans import catalog
+
+    day = datetime.datetime(2020, 1, 1)
+    tables = {
+        "region": {"r_regionkey": [0], "r_name": ["R"]},
+        "nation": {"n_nationkey": [0, 1], "n_name": ["N", "M"], "n_regionkey": [0, 0]},
+        "customer": {"c_custkey": [0, 1], "c_name": ["C", "D"], "c_nationkey": [0, 1], "c_mktsegment": ["A", "A"]},
+        "supplier": {"s_suppkey": [0], "s_name": ["S"], "s_nationkey": [0]},
+        "part": {"p_partkey": [0, 1], "p_name": ["P", "Q"], "p_brand": ["B", "B"], "p_size": [1, 2]},
+        "orders": {"o_orderkey": [0, 1], "o_custkey": [0, 0], "o_orderstatus": ["F", "O"], "o_orderpriority": ["1", "2"], "o_orderdate": [day, day]},
+        "lineitem": {"l_orderkey": [0, 1, 1], "l_partkey": [0, 0, 1], "l_suppkey": [0, 0, 0], "l_quantity": [1.0, 2.0, 3.0], "l_returnflag": ["A", "R", "N"], "l_linestatus": ["O", "O", "F"]},
+    }
+    con = duckdb.connect()
+    for t, columns in tables.items():
+        pd.DataFrame(columns).to_parquet(tmp_path / f"{t}.parquet", coerce_timestamps="us")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    pairs = [("n:0", "r:0"), ("n:1", "r:0"), ("c:0", "n:0"), ("c:1", "n:1"), ("s:0", "n:0"), ("o:0", "c:0"), ("o:1", "c:0"), ("o:0", "p:0"), ("o:1", "p:0"), ("o:1", "p:1"), ("p:0", "s:0"), ("p:1", "s:0")]
+    next_ = after(pairs, False)
+    far = {x: distances(x, next_) for x in next_}
+
+    def paths(s, t):
+        return [[t]] if s == t else [[s, *p] for y in sorted(next_[s]) if far[y].get(t, 99) == far[s][t] - 1 for p in paths(y, t)]
+
+    want = {}
+    for s in next_:
+        for t in far[s]:
+            every = paths(s, t) if s != t else []
+            for p in every:
+                for x in p[1:-1] if name == "betweenness_nodes" else [tuple(sorted(x)) for x in zip(p, p[1:], strict=False)]:
+                    want[x] = want.get(x, 0) + 1 / len(every)
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    told = con.execute(catalog.ORACLE[name]).fetchall()
+    if name == "betweenness_nodes":
+        assert {r.id: r.score for r in got} == pytest.approx(want) == dict(told)
+        assert {x[:1] for x in want} == set("rnspoc")
+    else:
+        assert {(r.src, r.dst): r.score for r in got} == pytest.approx(want)
+        assert {(a, b): s for a, b, s in told} == pytest.approx(want)
