@@ -363,7 +363,7 @@ def test_betweenness_in_tasks_and_by_joins(spark, monkeypatch):
             assert nodes and nodes == pytest.approx(got[2][0]) and ties == pytest.approx(got[2][1])
 
 
-@pytest.mark.parametrize("name", ["betweenness_edges"])
+@pytest.mark.parametrize("name", ["betweenness_nodes", "betweenness_edges"])
 def test_betweenness_queries_take_all_relations(spark, tmp_path, name):
     """Two orders of a customer share a part and reach a supplier: cycles over relations and nodes other than nations and regions."""
     import datetime
