@@ -185,3 +185,22 @@ def test_shared_types_in_chunks(spark, monkeypatch):
     rows = [(f"i{k:02}", f"n{k % 2}", f"l{k % 3 // 2}", f"r{k % 4 // 2}") for k in range(40)] + [("i01", "n1", "l0", "r1"), ("i03", "n1", "l0", "r1"), (None, "n1", "l0", "r0"), ("x", None, "l0", "r0"), ("y", "n0", "l0", None)]
     want = sorted((a[0], b[0]) for a in rows for b in rows if None not in a and None not in b and a[1:3] == b[1:3] and a[0] < b[0] and a[3] != b[3])
     assert sorted(map(tuple, G.shared_types(spark.createDataFrame(rows, "id string, namespace string, label string, repo string")).collect())) == want
+
+
+def test_label_propagation_by_rows_and_by_joins(spark, monkeypatch):
+    """Loops, parallel edges in both directions, nulls and ids that order as text: rows of neighbours give what joins give, and rows of few pairs too."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"n{rnd.randrange(70)}", f"n{min(rnd.randrange(70), rnd.randrange(70))}", "x") for _ in range(260)] + [("é", "n7", "x"), ("n7", "é", "y"), ("n9", "n9", "x"), ("alone", "alone", "x"), (None, "n1", "x"), ("n1", None, "x")]
+    got = []
+    for most, block in ((10**6, 10**6), (10**6, 7), (0, 7)):
+        monkeypatch.setattr(C, "NODES", most)
+        monkeypatch.setattr(C, "BLOCK", block)
+        got.append(sorted(map(tuple, C.propagate(edges(spark, rows)).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len({a for a, *_ in rows if a not in (None, "alone")} | {b for _, b, _ in rows if b not in (None, "alone")})
+    made, settle = [], C.settle
+    monkeypatch.setattr(C, "NODES", 10**6)
+    monkeypatch.setattr(C, "settle", lambda df: made.append(df) or settle(df))
+    C.propagate(edges(spark, rows))
+    assert len(made) <= 4  # 7 when each round was settled
